@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.functions import codes, race_id as rid
-from furlong.operators import form, latest, serving
+from furlong.operators import form, latest, serving, speed_index as SI
 from furlong.plans import bindings as B
 from furlong.plans import oracle_sql as O
 
@@ -158,6 +158,29 @@ def q_analysis_score(spark, d):
     return a.select("race_id", "umaban", "analysis_score", codes.score_band("analysis_score").alias("score_band"))
 
 
+def _history_min(spark, d):
+    return B.history(spark, d).select("ketto_num", "horse_name", "surface", "time_sec", "distance")
+
+
+def q_index_source(spark, d):
+    n = SI.normalize_source(SI.index_source(B.history(spark, d)))
+    return n.select("horse_key", "horse_name", "surface", "time_sec", "distance", "weight", "num_horses", "age",
+                    "track_condition", "venue", "class_name", "sex",
+                    F.round("log_time", 9).alias("log_time"), F.round("log_dist", 9).alias("log_dist"))
+
+
+def q_speed_index_log_dist(spark, d):
+    return SI.speed_index_master(_history_min(spark, d), as_of=AS_OF)
+
+
+def q_speed_index_full(spark, d):
+    return SI.speed_index_master(B.history(spark, d), as_of=AS_OF)
+
+
+def q_speed_baseline(spark, d):
+    return SI.speed_index_baseline(q_speed_index_log_dist(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_races": q_latest_races,
     "latest_entries": q_latest_entries,
@@ -179,6 +202,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analysis_score": q_analysis_score,
     "race_analysis_all": q_race_analysis_all,
     "race_analysis_one": q_race_analysis_one,
+    "index_source": q_index_source,
+    "speed_index_log_dist": q_speed_index_log_dist,
+    "speed_index_full": q_speed_index_full,
+    "speed_baseline": q_speed_baseline,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -202,4 +229,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "analysis_score": O.q_analysis_score,
     "race_analysis_all": lambda: O.q_race_analysis(False),
     "race_analysis_one": lambda: O.q_race_analysis(True),
+    "index_source": O.q_index_source,
+    "speed_index_log_dist": O.q_speed_index_log_dist,
+    "speed_baseline": O.q_speed_baseline,
 }
