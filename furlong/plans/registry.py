@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.functions import codes, race_id as rid
-from furlong.operators import form, latest, serving, speed_index as SI
+from furlong.operators import form, latest, parse, quality, serving, speed_index as SI
 from furlong.plans import bindings as B
 from furlong.plans import oracle_sql as O
 
@@ -181,6 +181,60 @@ def q_speed_baseline(spark, d):
     return SI.speed_index_baseline(q_speed_index_log_dist(spark, d))
 
 
+FETCHED_AT = "2026-01-01T00:00:00"
+
+
+def q_parse_fixed_width(spark, d):
+    return parse.parse_records(B.text_records(spark, d), fetched_at=FETCHED_AT)
+
+
+def q_parse_lanes(spark, d):
+    p = parse.parse_records(B.docs_raw(spark, d), fetched_at=FETCHED_AT)
+    return p.groupBy("record_type", parse.lane(p).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_record_census(spark, d):
+    return parse.record_census(q_parse_fixed_width(spark, d))
+
+
+def q_sample_by_type(spark, d):
+    s = parse.sample_by_type(q_parse_fixed_width(spark, d), ["RA", "SE", "JG"])
+    return s.select("record_type", "RaceNum", "Hondai", "Kyori", "TrackCD",
+                    codes.track_name("TrackCD").alias("track"), "Umaban", "Bamei", "KettoNum", "HorseName",
+                    "raw_data")
+
+
+def q_layout_profile(spark, d):
+    t = B.text_records(spark, d)
+    return parse.layout_profile(t.withColumn("record_type", F.substring("raw_data", 1, 2)), 0, 32)
+
+
+def _quality_inputs(spark, d):
+    m = model(spark, d)
+    return m["races"], m["entries"]
+
+
+def q_dup_races(spark, d):
+    return quality.duplicate_races(_quality_inputs(spark, d)[0])
+
+
+def q_dup_entries(spark, d):
+    return quality.duplicate_entries(_quality_inputs(spark, d)[1])
+
+
+def q_null_rate(spark, d):
+    return quality.null_rate(_quality_inputs(spark, d)[0])
+
+
+def q_freshness(spark, d):
+    return quality.freshness(_quality_inputs(spark, d)[0], AS_OF)
+
+
+def q_quality_report(spark, d):
+    r, e = _quality_inputs(spark, d)
+    return quality.quality_report(r, e, AS_OF)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_races": q_latest_races,
     "latest_entries": q_latest_entries,
@@ -206,6 +260,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "speed_index_log_dist": q_speed_index_log_dist,
     "speed_index_full": q_speed_index_full,
     "speed_baseline": q_speed_baseline,
+    "parse_fixed_width": q_parse_fixed_width,
+    "parse_lanes": q_parse_lanes,
+    "record_census": q_record_census,
+    "sample_by_type": q_sample_by_type,
+    "layout_profile": q_layout_profile,
+    "dup_races": q_dup_races,
+    "dup_entries": q_dup_entries,
+    "null_rate": q_null_rate,
+    "freshness": q_freshness,
+    "quality_report": q_quality_report,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -232,4 +296,14 @@ ORACLE: dict[str, Callable[[], str]] = {
     "index_source": O.q_index_source,
     "speed_index_log_dist": O.q_speed_index_log_dist,
     "speed_baseline": O.q_speed_baseline,
+    "parse_fixed_width": O.q_parse_fixed_width,
+    "parse_lanes": O.q_parse_lanes,
+    "record_census": O.q_record_census,
+    "sample_by_type": O.q_sample_by_type,
+    "layout_profile": O.q_layout_profile,
+    "dup_races": lambda: O.q_quality(["dup_races"]),
+    "dup_entries": lambda: O.q_quality(["dup_entries"]),
+    "null_rate": lambda: O.q_quality(["null_rate"]),
+    "freshness": lambda: O.q_quality(["freshness"]),
+    "quality_report": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
 }
