@@ -92,7 +92,8 @@ def ingest_time() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def parse_records(df: DataFrame, raw_col: str = "raw_data", fetched_at: Column | str | None = None) -> DataFrame:
+def parse_records(df: DataFrame, raw_col: str = "raw_data", fetched_at: Column | str | None = None,
+                  keep: list[str] = ()) -> DataFrame:
     """Parse a column of fixed-width records into landing rows.
 
     Lanes: NULL / shorter than 2 -> ``error='Too short'`` and no type;
@@ -101,10 +102,11 @@ def parse_records(df: DataFrame, raw_col: str = "raw_data", fetched_at: Column |
     sliced by byte range (short records give what is left, possibly ''),
     decoded with U+FFFD for broken bytes and stripped, plus ``raw_body``.
     Fields absent from a lane are NULL (omitted when written as JSON).
+    ``keep`` names input columns carried through unchanged.
     """
     fa = ingest_time() if fetched_at is None else (F.lit(fetched_at) if isinstance(fetched_at, str) else fetched_at)
-    p = df.select(_parse_udf(F.col(raw_col)).alias("_p"), F.col(raw_col).alias("_raw"), fa.alias("_fa"))
-    return p.select("_p.*", F.col("_fa").alias("fetched_at"), F.col("_raw").alias("raw_data"))
+    p = df.select(*keep, _parse_udf(F.col(raw_col)).alias("_p"), F.col(raw_col).alias("_raw"), fa.alias("_fa"))
+    return p.select(*keep, "_p.*", F.col("_fa").alias("fetched_at"), F.col("_raw").alias("raw_data"))
 
 
 def type_tag(record_type: Column | str = "record_type", raw_data: Column | str = "raw_data",

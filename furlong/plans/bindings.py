@@ -385,3 +385,23 @@ def derived_master(hist: DataFrame) -> DataFrame:
         F.when(k % 7 == 0, F.lit(None).cast("double"))
         .otherwise(F.lit(80.0) + (F.col("_s") % 41).cast("double")).alias("speed_index"),
         "run_count")
+
+
+def bad_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed landing lines (cut-off JSON), one per 500 orders."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey")
+    return od.filter(F.col("o_orderkey") % 500 == 0).select(
+        F.concat(F.lit('{"raw_data": "RA'), F.col("o_orderkey").cast("string")).alias("value"))
+
+
+def no_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing lines without ``raw_data`` (pass through a backfill unchanged)."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey")
+    return od.filter(F.col("o_orderkey") % 100 == 0).select(
+        F.concat(F.lit('{"fetched_at": "x", "note": '), F.col("o_orderkey").cast("string"), F.lit("}"))
+        .alias("value"))
+
+
+SQL_BAD_LINES = "SELECT '{\"raw_data\": \"RA' || CAST(o_orderkey AS VARCHAR) AS line FROM orders WHERE o_orderkey % 500 = 0"
+SQL_NO_RAW_LINES = ("SELECT '{\"fetched_at\": \"x\", \"note\": ' || CAST(o_orderkey AS VARCHAR) || '}' AS line "
+                    "FROM orders WHERE o_orderkey % 100 = 0")

@@ -235,6 +235,73 @@ def q_quality_report(spark, d):
     return quality.quality_report(r, e, AS_OF)
 
 
+def _scratch(spark, name):
+    import uuid
+    from furlong.session import scratch_path
+    return scratch_path(spark, "runs", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _landed(spark, d):
+    from furlong.sources import landing
+    root = _scratch(spark, "landing")
+    landing.write_landing(q_parse_fixed_width(spark, d), root)
+    B.bad_json_lines(spark, d).write.mode("append").text(f"{root}/type_tag=BAD/ingest_date=00000000")
+    return root
+
+
+def q_jsonl_land_and_load(spark, d):
+    from furlong.sources import landing
+    df = landing.read_landing(spark, _landed(spark, d))
+    return parse.record_census(df, corrupt_col=landing.CORRUPT)
+
+
+def q_reparse_backfill(spark, d):
+    from furlong.operators.parse import LANDING_SCHEMA
+    from furlong.sources import landing
+    root = _landed(spark, d)
+    B.no_raw_lines(spark, d).write.mode("append").text(f"{root}/type_tag=NORAW/ingest_date=00000000")
+    out_dir = _scratch(spark, "backfill")
+    landing.write_lines(landing.reparse_lines(spark, root), out_dir)
+    lines = spark.read.text(out_dir).select(F.col("value").alias("line"))
+    rec = F.from_json("line", LANDING_SCHEMA)
+    raw = F.get_json_object("line", "$.raw_data")
+    passthrough = raw.isNull() | (raw == "")
+    return lines.select(
+        *[F.when(~passthrough, rec[c]).alias(c) for c in
+          ["record_type", "_parsed", "error", "Year", "RaceNum", "Hondai", "Bamei", "HorseName", "raw_body",
+           "fetched_at", "raw_data"]],
+        passthrough.alias("passthrough"), F.when(passthrough, F.col("line")).alias("line"))
+
+
+def q_layered_build(spark, d):
+    from furlong.plans import runner
+    from furlong.sources import landing, tables
+    base = _scratch(spark, "warehouse")
+    raw = tables.layer_path(base, "raw")
+    landing.append_raw(B.raw_ra(spark, d), raw, "RA")
+    landing.append_raw(B.raw_se(spark, d), raw, "SE")
+    landing.overwrite(B.results(spark, d), f"{raw}/race_results")
+    ctx = runner.run_steps(spark, base, None, as_of=AS_OF, prefix="w" + base.rsplit("-", 1)[-1])
+    return ctx.outputs["quality_report"]
+
+
+def q_stream_ingest(spark, d):
+    from furlong.sources import landing
+    from furlong.streaming import ingest
+    land = _scratch(spark, "stream-landing")
+    p = q_parse_fixed_width(spark, d)
+    key = [F.col(c) for c in latest.MERGE_KEYS["SE"]]
+    odd = F.coalesce(F.col("Year").try_cast("long") % 2, F.lit(1))
+    for parity in (0, 1):   # two landings with disjoint keys, each key in one file
+        landing.write_landing(p.filter(odd == parity).repartition(4, *key), land)
+    work = _scratch(spark, "stream")
+    ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", max_files_per_trigger=3)
+    from furlong.sources import tables
+    out = tables.read_latest_version(spark, f"{work}/core/SE_latest")
+    from furlong.operators.parse import LANDING_COLUMNS
+    return out.select(*LANDING_COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_races": q_latest_races,
     "latest_entries": q_latest_entries,
@@ -270,6 +337,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_rate": q_null_rate,
     "freshness": q_freshness,
     "quality_report": q_quality_report,
+    "jsonl_land_and_load": q_jsonl_land_and_load,
+    "reparse_backfill": q_reparse_backfill,
+    "layered_build": q_layered_build,
+    "stream_ingest": q_stream_ingest,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -306,4 +377,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "null_rate": lambda: O.q_quality(["null_rate"]),
     "freshness": lambda: O.q_quality(["freshness"]),
     "quality_report": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
+    "jsonl_land_and_load": O.q_jsonl_land_and_load,
+    "reparse_backfill": O.q_reparse_backfill,
+    "layered_build": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
+    "stream_ingest": O.q_stream_ingest,
 }
