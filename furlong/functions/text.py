@@ -66,7 +66,11 @@ def clean_null_markers(c) -> Column:
 
 
 def _nfkc_series(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    out = s.copy()
+    mask = s.notna()
+    if mask.any():
+        out[mask] = s[mask].map(lambda v: unicodedata.normalize("NFKC", v))
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -82,4 +86,7 @@ def nfkc(c) -> Column:
     are already NFKC-normal and skip the Python crossing entirely.
     """
     s = to_str(c)
-    return F.when(s.rlike(r"^[\x00-\x7F]*$"), s).otherwise(_nfkc_udf(s))
+    ascii_only = s.rlike(r"^[\x00-\x7F]*$")
+    # A Python UDF runs on every row even inside CASE, so ASCII rows (already
+    # NFKC-normal) send a NULL instead of their text across the Arrow bridge.
+    return F.when(ascii_only, s).otherwise(_nfkc_udf(F.when(~ascii_only, s)))

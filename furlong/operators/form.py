@@ -80,52 +80,74 @@ def history_runs(history: DataFrame) -> DataFrame:
     ).filter(F.col("name_norm").isNotNull())
 
 
-def form_history(entries: DataFrame, history: DataFrame, n: int = 5,
-                 before_race: bool = False, races: DataFrame | None = None) -> DataFrame:
-    """Last ``n`` runs per entry, matched by normalised name and pooled per
-    (race_id, ketto_num) (C9: J1 + W5).
+ENTRY_COLS = ["race_id", "wakuban", "umaban", "ketto_num", "bamei"]
 
-    Output: one row per kept run with the entry columns, the run columns and
-    ``rn``; an entry without any matched run keeps one all-NULL run row, as
-    the reference's LEFT JOIN does. ``before_race=True`` (needs ``races``)
-    keeps only runs dated before the target race; the pre-limit is then not
-    valid, so the whole matched career is ranked instead.
+
+def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: bool = False,
+              races: DataFrame | None = None) -> DataFrame:
+    """Every entry with its candidate runs, ranked per (race_id, ketto_num).
+
+    Each entry has at least one row (an all-NULL run when nothing matched, as
+    the reference's LEFT JOIN gives) and at most ``n`` matched runs; ``rn``
+    ranks the pooled runs of all entries sharing (race_id, ketto_num). The
+    result is hash-partitioned by ``race_id`` and carries ``name_norm`` (the
+    NFKC name of the entry) for the later name lookup.
     """
     runs = history_runs(history)
-    e = entries.withColumn("_name", nfkc(F.col("bamei")))
+    e = entries.withColumn("name_norm", nfkc(F.col("bamei")))
+    r = runs.withColumnRenamed("name_norm", "_run_name")
     if before_race:
         if races is None:
             raise ValueError("before_race=True needs races")
         e = e.join(races.select("race_id", F.col("kaisai_date").alias("_tdate")).dropDuplicates(["race_id"]),
                    "race_id", "left")
-        cond = (F.col("_name") == F.col("name_norm")) & (F.col("race_date") < F.col("_tdate"))
-        j = e.join(runs, cond, "left").drop("_tdate")
+        cond = (F.col("name_norm") == F.col("_run_name")) & (F.col("race_date") < F.col("_tdate"))
+        j = e.join(r, cond, "left").drop("_tdate")
     else:
-        top = (runs.withColumn("_r", F.row_number().over(
-            Window.partitionBy("name_norm").orderBy(*history_order())))
+        top = (r.withColumn("_r", F.row_number().over(
+            Window.partitionBy("_run_name").orderBy(*history_order())))
             .filter(F.col("_r") <= n).drop("_r"))
-        j = e.join(top, F.col("_name") == F.col("name_norm"), "left")
-    j = j.drop("_name", "name_norm").repartition("race_id")
+        j = e.join(top, F.col("name_norm") == F.col("_run_name"), "left")
+    j = j.drop("_run_name").repartition("race_id")
     w = Window.partitionBy("race_id", "ketto_num").orderBy(
         *history_order(), F.col("umaban").asc_nulls_last(), F.col("wakuban").asc_nulls_last(),
         F.col("bamei").asc_nulls_last())
-    return j.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return j.withColumn("rn", F.row_number().over(w))
+
+
+def form_history(entries: DataFrame, history: DataFrame, n: int = 5,
+                 before_race: bool = False, races: DataFrame | None = None) -> DataFrame:
+    """Last ``n`` runs per entry, matched by normalised name and pooled per
+    (race_id, ketto_num) (C9: J1 + W5).
+
+    Plan: newest ``n`` runs per normalised name first (row_number <= n, with
+    a partial WindowGroupLimit before the shuffle), then the LEFT JOIN, then
+    the pooled rank. Any top-n of a union lies in the union of top-ns, so the
+    pre-limit is exact; ``before_race=True`` (needs ``races``) keeps only runs
+    dated before the target race, where the pre-limit is not valid, so the
+    whole matched career is ranked instead.
+    """
+    return form_runs(entries, history, n, before_race, races).filter(F.col("rn") <= n)
 
 
 def _rate(pred: Column) -> Column:
     return F.avg(F.when(pred, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def form_features(entries: DataFrame, hist: DataFrame, targets: DataFrame) -> DataFrame:
+def form_features(runs: DataFrame, targets: DataFrame, n: int = 5) -> DataFrame:
     """Per-entry form aggregates over the pooled history (C10: J2, J5, A2-A7).
 
-    ``entries`` and ``targets`` are joined on race_id (the batch form of the
-    reference's one-row CROSS JOIN: an entry whose race is missing yields no
-    row, in both). An entry without a usable history has starts 0, NULL
+    ``runs`` is the output of :func:`form_runs` (every entry present). It is
+    joined to ``targets`` on race_id (the batch form of the reference's
+    one-row CROSS JOIN: an entry whose race is missing yields no row, in
+    both). Both sides are partitioned by race_id already, so the join, the
+    entry list, the aggregate per (race_id, ketto_num) and the join back add
+    no shuffle. An entry without a usable history gets starts 0, NULL
     averages and rates 0.0, exactly as the reference's LEFT JOIN gives.
     """
-    rows = hist.filter(F.col("ketto_num").isNotNull()).join(
-        targets.select("race_id", "target_surface", "target_distance"), "race_id")
+    rt = runs.join(targets, "race_id")
+    ent = rt.select(*ENTRY_COLS, "name_norm", *[c for c in targets.columns if c != "race_id"]).distinct()
+    rows = rt.filter((F.col("rn") <= n) & F.col("ketto_num").isNotNull())
     agg = rows.groupBy("race_id", "ketto_num").agg(
         F.count("race_date").alias("starts"),
         F.avg("rank").alias("avg_rank"),
@@ -137,11 +159,10 @@ def form_features(entries: DataFrame, hist: DataFrame, targets: DataFrame) -> Da
         F.avg(F.when(F.col("time_sec") > 0, F.col("distance") / F.col("time_sec"))).alias("avg_speed"),
         F.avg("popularity").alias("avg_popularity"),
         F.max("race_date").alias("last_race_date"))
-    e = entries.repartition("race_id").join(targets, "race_id")
-    f = e.join(agg, ["race_id", "ketto_num"], "left")
+    f = ent.join(agg, ["race_id", "ketto_num"], "left")
     zero = F.lit(0.0)
     return f.select(
-        *[c for c in e.columns],
+        *ENTRY_COLS, "name_norm", *[c for c in targets.columns if c != "race_id"],
         F.coalesce("starts", F.lit(0).cast("long")).alias("starts"),
         "avg_rank", "avg_rank_recent",
         F.coalesce("win_rate", zero).alias("win_rate"),
@@ -192,11 +213,11 @@ def speed_lookup(scored: DataFrame, master: DataFrame | None) -> DataFrame:
     if master is None:
         master = empty_master(scored.sparkSession)
     by_id, by_name = master_lookups(master)
-    s = scored.withColumn("_name_norm", nfkc(F.col("bamei")))
+    s = scored if "name_norm" in scored.columns else scored.withColumn("name_norm", nfkc(F.col("bamei")))
     s = s.join(by_id, (by_id.surface == s.target_surface) & (by_id.horse_key == s.ketto_num), "left") \
          .drop("surface", "horse_key")
-    s = s.join(by_name, (by_name.surface == s.target_surface) & (by_name.horse_name_norm == s._name_norm),
-               "left").drop("surface", "horse_name_norm", "_name_norm")
+    s = s.join(by_name, (by_name.surface == s.target_surface) & (by_name.horse_name_norm == s.name_norm),
+               "left").drop("surface", "horse_name_norm")
     sid, snm = F.col("speed_index_id"), F.col("speed_index_name")
     return (s.withColumn("speed_index_final", F.coalesce(sid, snm, F.lit(100.0) + F.col("speed_z") * 10.0))
              .withColumn("speed_factor", F.coalesce(F.try_divide(sid - 100.0, F.lit(10.0)),
@@ -257,16 +278,21 @@ def race_analysis(races: DataFrame, entries: DataFrame, history: DataFrame,
     """Form-and-score analysis (C14) of one race (``race_id``) or of all races.
 
     The single-race form validates the id (``InvalidRaceId``) and pushes the
-    id filter to both serving-table scans. Rows are ordered by race and by
-    numeric horse number.
+    id filter to both serving-table scans. Output is clustered by race
+    (hash-partitioned by race_id) and sorted within each partition by race
+    and numeric horse number: the display order of every race card without
+    a global sort of all runners.
     """
     if race_id is not None:
         validate_race_id(race_id)
     targets = target_races(races, race_id)
     e = analysis_entries(entries, race_id)
-    hist = form_history(e, history, n=n, before_race=before_race, races=races)
-    feats = form_features(e, hist, targets)
+    runs = form_runs(e, history, n=n, before_race=before_race, races=races)
+    feats = form_features(runs, targets, n)
     scored = field_speed_z(feats)
     enriched = speed_lookup(scored, master)
     out = analysis_score(enriched, as_of)
-    return out.orderBy("race_id", F.col("umaban").try_cast("long").asc_nulls_first(), "umaban")
+    order = ["race_id", F.col("umaban").try_cast("long").asc_nulls_first(), "umaban"]
+    if race_id is not None:
+        return out.orderBy(*order)
+    return out.repartition("race_id").sortWithinPartitions(*order)

@@ -17,6 +17,11 @@ AS_OF = O.AS_OF
 
 
 def model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    with B.shared_base(spark, d):
+        return _model(spark, d)
+
+
+def _model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     results = B.results(spark, d)
     summary = serving.race_summary(results)
     fallback = serving.entry_fallback(results)
@@ -111,32 +116,33 @@ def _analysis_parts(spark, d):
     m = model(spark, d)
     targets = form.target_races(m["races"])
     e = form.analysis_entries(m["entries"])
-    hist = form.form_history(e, m["history"])
-    return m, targets, e, hist
+    runs = form.form_runs(e, m["history"])
+    return m, targets, e, runs
 
 
 def q_form_history(spark, d):
-    _, _, _, hist = _analysis_parts(spark, d)
+    m = model(spark, d)
+    hist = form.form_history(form.analysis_entries(m["entries"]), m["history"])
     return hist.select("race_id", "wakuban", "umaban", "ketto_num", "bamei", "race_date", "rank", "popularity",
                        "distance", "surface", "time_sec", F.col("rn").cast("long").alias("rn"))
 
 
 def q_form_features(spark, d):
-    _, targets, e, hist = _analysis_parts(spark, d)
-    f = form.form_features(e, hist, targets)
+    _, targets, e, runs = _analysis_parts(spark, d)
+    f = form.form_features(runs, targets)
     return f.select("race_id", "wakuban", "umaban", "ketto_num", "bamei", "target_date", "target_distance",
                     "target_surface", "starts", *_r6(O.FEATURE_DOUBLES), "last_race_date")
 
 
 def q_field_speed_z(spark, d):
-    _, targets, e, hist = _analysis_parts(spark, d)
-    z = form.field_speed_z(form.form_features(e, hist, targets))
+    _, targets, e, runs = _analysis_parts(spark, d)
+    z = form.field_speed_z(form.form_features(runs, targets))
     return z.select("race_id", "umaban", "ketto_num", *_r6(["avg_speed", "speed_z"]))
 
 
 def q_speed_lookup(spark, d):
-    m, targets, e, hist = _analysis_parts(spark, d)
-    z = form.field_speed_z(form.form_features(e, hist, targets))
+    m, targets, e, runs = _analysis_parts(spark, d)
+    z = form.field_speed_z(form.form_features(runs, targets))
     s = form.speed_lookup(z, B.derived_master(m["history"]))
     return s.select("race_id", "umaban", "ketto_num", *_r6(["speed_index_final", "speed_factor"]), "speed_source")
 
