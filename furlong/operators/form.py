@@ -84,7 +84,7 @@ ENTRY_COLS = ["race_id", "wakuban", "umaban", "ketto_num", "bamei"]
 
 
 def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: bool = False,
-              races: DataFrame | None = None) -> DataFrame:
+              races: DataFrame | None = None, only_entry_names: bool = False) -> DataFrame:
     """Every entry with its candidate runs, ranked per (race_id, ketto_num).
 
     Each entry has at least one row (an all-NULL run when nothing matched, as
@@ -92,9 +92,17 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
     ranks the pooled runs of all entries sharing (race_id, ketto_num). The
     result is hash-partitioned by ``race_id`` and carries ``name_norm`` (the
     NFKC name of the entry) for the later name lookup.
+
+    ``only_entry_names`` (used for a single race) first keeps only the runs
+    whose name belongs to one of the entries: a LEFT SEMI join against a
+    handful of names, which AQE broadcasts; exact, because the top-n window
+    below is partitioned by that same name.
     """
     runs = history_runs(history)
     e = entries.withColumn("name_norm", nfkc(F.col("bamei")))
+    if only_entry_names:
+        names = e.select(F.col("name_norm").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
+        runs = runs.join(names, runs.name_norm == names._n, "left_semi")
     r = runs.withColumnRenamed("name_norm", "_run_name")
     if before_race:
         if races is None:
@@ -287,7 +295,8 @@ def race_analysis(races: DataFrame, entries: DataFrame, history: DataFrame,
         validate_race_id(race_id)
     targets = target_races(races, race_id)
     e = analysis_entries(entries, race_id)
-    runs = form_runs(e, history, n=n, before_race=before_race, races=races)
+    runs = form_runs(e, history, n=n, before_race=before_race, races=races,
+                     only_entry_names=race_id is not None)
     feats = form_features(runs, targets, n)
     scored = field_speed_z(feats)
     enriched = speed_lookup(scored, master)

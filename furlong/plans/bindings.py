@@ -64,7 +64,10 @@ _READS: dict = {}
 # ---------------------------------------------------------------- Spark side
 
 def _venue(k: str) -> Column:
-    return F.expr(_sql_venue(k))
+    """Venue by key, as one map lookup (a predicate pushed down onto it stays small)."""
+    m = {0: UNKNOWN_VENUE, **{int(code): name for name, code in VENUE_CODES.items()}}
+    pairs = ", ".join(f"{i}, '{n}'" for i, n in sorted(m.items()))
+    return F.expr(f"element_at(map({pairs}), CAST({k} AS INT))")
 
 
 def _case_str(c: str, mapping: dict[str, str]) -> Column:
@@ -74,10 +77,11 @@ def _case_str(c: str, mapping: dict[str, str]) -> Column:
 def _kaisai(ck: Column, ok: Column, venue: Column) -> Column:
     nichi = (ok % 8 + 1).cast("string")
     kai = (ck % 5 + 1)
-    return (F.when(ck % 7 == 0, F.concat(venue, nichi))
-            .when(ck % 13 == 0, F.concat((kai * 101).cast("string"), venue, nichi))
-            .when(ck % 17 == 0, F.concat((kai * 10).cast("string"), venue, nichi))
-            .otherwise(F.concat(kai.cast("string"), venue, nichi)))
+    lead = (F.when(ck % 7 == 0, F.lit(""))
+            .when(ck % 13 == 0, (kai * 101).cast("string"))
+            .when(ck % 17 == 0, (kai * 10).cast("string"))
+            .otherwise(kai.cast("string")))
+    return F.concat(lead, venue, nichi)
 
 
 LINE_COLS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag",

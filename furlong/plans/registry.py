@@ -84,8 +84,19 @@ def _min_race(races: DataFrame) -> str:
     return races.agg(F.min("race_id")).first()[0]
 
 
-def q_race_card_one(spark, d):
+def _served(spark, d):
+    """The serving tables as stored tables (as the layered build writes them),
+    so a single-race read is a filtered scan rather than a rebuild."""
+    from furlong.session import ensure_checkpoint_dir
     m = model(spark, d)
+    ensure_checkpoint_dir(spark)
+    m["races"] = m["races"].checkpoint(eager=True)
+    m["entries"] = m["entries"].checkpoint(eager=True)
+    return m
+
+
+def q_race_card_one(spark, d):
+    m = _served(spark, d)
     return serving.race_card(m["races"], m["entries"], _min_race(m["races"]))
 
 
@@ -154,7 +165,7 @@ def q_race_analysis_all(spark, d):
 
 
 def q_race_analysis_one(spark, d):
-    m = model(spark, d)
+    m = _served(spark, d)
     return form.race_analysis(m["races"], m["entries"], m["history"], B.derived_master(m["history"]),
                               race_id=_min_race(m["races"]), as_of=AS_OF)
 
