@@ -64,10 +64,7 @@ _READS: dict = {}
 # ---------------------------------------------------------------- Spark side
 
 def _venue(k: str) -> Column:
-    """Venue by key, as one map lookup (a predicate pushed down onto it stays small)."""
-    m = {0: UNKNOWN_VENUE, **{int(code): name for name, code in VENUE_CODES.items()}}
-    pairs = ", ".join(f"{i}, '{n}'" for i, n in sorted(m.items()))
-    return F.expr(f"element_at(map({pairs}), CAST({k} AS INT))")
+    return F.expr(_sql_venue(k))
 
 
 def _case_str(c: str, mapping: dict[str, str]) -> Column:
@@ -100,7 +97,12 @@ def shared_base(spark: SparkSession, sf_dir: str):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_COLS)
     od = table(spark, sf_dir, "orders").select("o_orderkey", *ORDER_COLS)
     ensure_checkpoint_dir(spark)
-    _BASE[key] = li.join(od, li.l_orderkey == od.o_orderkey).checkpoint(eager=True)
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    # the synthetic race attributes are materialised with the join, so the
+    # predicates Catalyst pushes down later meet plain columns, as on real data
+    j = j.select("*", _venue("o_custkey % 11").alias("venue"))
+    j = j.select("*", _kaisai(F.col("o_custkey"), F.col("o_orderkey"), F.col("venue")).alias("kaisai"))
+    _BASE[key] = j.checkpoint(eager=True)
     try:
         yield _BASE[key]
     finally:
@@ -110,7 +112,7 @@ def shared_base(spark: SparkSession, sf_dir: str):
 def _joined(spark: SparkSession, sf_dir: str, line_cols: list[str], order_cols: list[str]) -> DataFrame:
     base = _BASE.get((id(spark), sf_dir))
     if base is not None:
-        return base.select("l_orderkey", *line_cols, "o_orderkey", *order_cols)
+        return base.select("l_orderkey", *line_cols, "o_orderkey", *order_cols, "venue", "kaisai")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *line_cols)
     od = table(spark, sf_dir, "orders").select("o_orderkey", *order_cols)
     return li.join(od, li.l_orderkey == od.o_orderkey)
@@ -122,11 +124,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
     ck, ok = F.col("o_custkey"), F.col("o_orderkey")
     # venue first, as a column: the meeting text refers to it four times
-    j = j.select("*", _venue("o_custkey % 11").alias("venue"))
+    if "venue" not in j.columns:
+        j = j.select("*", _venue("o_custkey % 11").alias("venue"))
+        j = j.select("*", _kaisai(ck, ok, F.col("venue")).alias("kaisai"))
     return j.select(
         F.col("o_orderdate").cast("date").alias("date"),
-        "venue",
-        _kaisai(ck, ok, F.col("venue")).alias("kaisai"),
+        "venue", "kaisai",
         (ok % 12 + 1).alias("race_num"),
         F.when(F.col("o_orderstatus") == "P", F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("race_name"),
         (F.lit(1000) + F.lit(200) * (ck % 13)).alias("distance"),
@@ -153,7 +156,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("long").alias("rank"),
         (F.col("l_quantity").cast("long") % 18 + 1).alias("popularity"),
         (F.lit(50.0) + F.lit(100.0) * F.col("l_tax")).alias("weight"),
-        _venue("o_custkey % 11").alias("venue"),
+        (F.col("venue") if "venue" in j.columns else _venue("o_custkey % 11")).alias("venue"),
         F.col("o_orderpriority").alias("class_name"),
         _case_str("o_orderstatus", CONDITION_BY_STATUS).alias("track_condition"),
     )
