@@ -191,6 +191,9 @@ def race_card(races: DataFrame, entries: DataFrame, race_id: str | None = None)
         F.coalesce(trim_ws("ketto_num"), F.lit("")).alias("ketto_num"),
         F.coalesce(trim_ws("bamei"), F.lit("")).alias("bamei"),
         F.col("umaban").try_cast("long").alias("_uma_n"), F.col("umaban").alias("_uma"))
-    return (e.join(h, "race_id", "inner")
-            .orderBy("race_id", F.col("_uma_n").asc_nulls_first(), F.col("_uma").asc_nulls_first())
-            .drop("_uma_n", "_uma"))
+    card = e.join(h, "race_id", "inner")
+    order = ["race_id", F.col("_uma_n").asc_nulls_first(), F.col("_uma").asc_nulls_first()]
+    if race_id is not None:
+        return card.orderBy(*order).drop("_uma_n", "_uma")
+    # every card: clustered by race and sorted within partitions, no global sort
+    return card.repartition("race_id").sortWithinPartitions(*order).drop("_uma_n", "_uma")
