@@ -226,6 +226,26 @@ def q_layout_profile(spark, d):
     return parse.layout_profile(t.withColumn("record_type", F.substring("raw_data", 1, 2)), 0, 32)
 
 
+def q_check_projection(spark, d):
+    return parse.check_projection(q_parse_fixed_width(spark, d), "RA", ["RaceNum", "Hondai", "Kyori", "TrackCD"], 5)
+
+
+FULL_WIDTH = str.maketrans("H0123456789", "Ｈ０１２３４５６７８９")
+
+
+def q_nfkc_match(spark, d):
+    """Runs whose name is written in full-width forms (every even rank) must
+    still match the ASCII names of the results through NFKC."""
+    h = B.history(spark, d)
+    src, dst = "H0123456789", "H0123456789".translate(FULL_WIDTH)
+    h = h.withColumn("horse_name", F.when(F.col("rank") % 2 == 0, F.translate("horse_name", src, dst))
+                     .otherwise(F.col("horse_name")))
+    runs = form.history_runs(h)
+    names = B.results(spark, d).select(F.col("horse_name").alias("name")).distinct()
+    j = names.join(runs, names.name == runs.name_norm)
+    return j.groupBy("name").agg(F.count(F.lit(1)).alias("n_runs"), F.max("race_date").alias("last_date"))
+
+
 def _quality_inputs(spark, d):
     m = model(spark, d)
     return m["races"], m["entries"]
@@ -354,6 +374,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_rate": q_null_rate,
     "freshness": q_freshness,
     "quality_report": q_quality_report,
+    "check_projection": q_check_projection,
+    "nfkc_match": q_nfkc_match,
     "jsonl_land_and_load": q_jsonl_land_and_load,
     "reparse_backfill": q_reparse_backfill,
     "layered_build": q_layered_build,
@@ -394,6 +416,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "null_rate": lambda: O.q_quality(["null_rate"]),
     "freshness": lambda: O.q_quality(["freshness"]),
     "quality_report": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
+    "check_projection": O.q_check_projection,
+    "nfkc_match": O.q_nfkc_match,
     "jsonl_land_and_load": O.q_jsonl_land_and_load,
     "reparse_backfill": O.q_reparse_backfill,
     "layered_build": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
