@@ -90,9 +90,9 @@ _BASE: dict = {}
 @contextmanager
 def shared_base(spark: SparkSession, sf_dir: str):
     """Within this block every binding of ``sf_dir`` is derived from one
-    ``lineitem JOIN orders``, computed once and cut with ``checkpoint()``
-    into the shared checkpoint folder (instead of one join per binding)."""
-    from furlong.session import ensure_checkpoint_dir
+    ``lineitem JOIN orders``, computed once and written as a parquet table
+    under the shared checkpoint folder (instead of one join per binding)."""
+    from furlong.session import ensure_checkpoint_dir, materialize
     key = (id(spark), sf_dir)
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_COLS)
     od = table(spark, sf_dir, "orders").select("o_orderkey", *ORDER_COLS)
@@ -102,7 +102,7 @@ def shared_base(spark: SparkSession, sf_dir: str):
     # predicates Catalyst pushes down later meet plain columns, as on real data
     j = j.select("*", _venue("o_custkey % 11").alias("venue"))
     j = j.select("*", _kaisai(F.col("o_custkey"), F.col("o_orderkey"), F.col("venue")).alias("kaisai"))
-    _BASE[key] = j.checkpoint(eager=True)
+    _BASE[key] = materialize(j, "race-base")
     try:
         yield _BASE[key]
     finally:

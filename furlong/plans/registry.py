@@ -87,11 +87,10 @@ def _min_race(races: DataFrame) -> str:
 def _served(spark, d):
     """The serving tables as stored tables (as the layered build writes them),
     so a single-race read is a filtered scan rather than a rebuild."""
-    from furlong.session import ensure_checkpoint_dir
+    from furlong.session import materialize
     m = model(spark, d)
-    ensure_checkpoint_dir(spark)
-    m["races"] = m["races"].checkpoint(eager=True)
-    m["entries"] = m["entries"].checkpoint(eager=True)
+    m["races"] = materialize(m["races"], "serving-races")
+    m["entries"] = materialize(m["entries"], "serving-entries")
     return m
 
 

@@ -59,3 +59,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path for written intermediates under the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base, "furlong", *parts)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: cuts the lineage like ``checkpoint()`` (the written files
+    survive executor loss), but later reads are vectorised and column-pruned."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
