@@ -41,6 +41,19 @@ MASTER_SCHEMA = T.StructType([
 ])
 
 
+def null_spread_key(key: Column, *row_cols: str) -> Column:
+    """A LEFT-join key in which NULLs never match and do not pile up.
+
+    SQL NULL keys never match, but a hash partitioner sends every NULL to one
+    reducer: with a third of the rows lacking a key, that reducer would get a
+    third of the data. A NULL key becomes a per-row value that no right-side
+    key can equal (a NUL-prefixed hash of the row, deterministic on retry),
+    so the rows spread and still find no partner. Hot non-NULL keys are split
+    by AQE's skew-join handling.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*row_cols).cast("string")))
+
+
 def history_order() -> list[Column]:
     """Most recent first (the reference's only key), then every value the
     aggregates read, so tied runs are interchangeable and results are exact."""
@@ -115,7 +128,8 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
         top = (r.withColumn("_r", F.row_number().over(
             Window.partitionBy("_run_name").orderBy(*history_order())))
             .filter(F.col("_r") <= n).drop("_r"))
-        j = e.join(top, F.col("name_norm") == F.col("_run_name"), "left")
+        j = e.join(top, null_spread_key(F.col("name_norm"), "race_id", "umaban", "bamei") == F.col("_run_name"),
+                   "left")
     j = j.drop("_run_name").repartition("race_id")
     w = Window.partitionBy("race_id", "ketto_num").orderBy(
         *history_order(), F.col("umaban").asc_nulls_last(), F.col("wakuban").asc_nulls_last(),
@@ -222,9 +236,11 @@ def speed_lookup(scored: DataFrame, master: DataFrame | None) -> DataFrame:
         master = empty_master(scored.sparkSession)
     by_id, by_name = master_lookups(master)
     s = scored if "name_norm" in scored.columns else scored.withColumn("name_norm", nfkc(F.col("bamei")))
-    s = s.join(by_id, (by_id.surface == s.target_surface) & (by_id.horse_key == s.ketto_num), "left") \
+    id_key = null_spread_key(s.ketto_num, "race_id", "umaban")
+    name_key = null_spread_key(s.name_norm, "race_id", "umaban")
+    s = s.join(by_id, (by_id.surface == s.target_surface) & (by_id.horse_key == id_key), "left") \
          .drop("surface", "horse_key")
-    s = s.join(by_name, (by_name.surface == s.target_surface) & (by_name.horse_name_norm == s.name_norm),
+    s = s.join(by_name, (by_name.surface == s.target_surface) & (by_name.horse_name_norm == name_key),
                "left").drop("surface", "horse_name_norm")
     sid, snm = F.col("speed_index_id"), F.col("speed_index_name")
     return (s.withColumn("speed_index_final", F.coalesce(sid, snm, F.lit(100.0) + F.col("speed_z") * 10.0))
