@@ -26,6 +26,7 @@ ENTRIES = [  # race_id, wakuban, umaban, ketto_num, bamei
     ("2024063005010101", "3", "5", None, "Delta"),      # NULL id: starts 0
     ("2024063005010101", "3", "6", "K6", "Eps"),        # last run 181 days ago
     ("2024063005010101", "4", "7", "K7", "Zeta"),       # last run 180 days ago, fewer than 3 runs
+    ("2024063005010101", "4", "8", "K8", None),         # NULL name: matches nothing
     ("2024063005010102", "1", "1", "K1", "Alpha"),
     ("2024063005010103", "1", "1", "K9", "Solo"),
     ("2099010105010101", "1", "1", "K1", "Alpha"),      # race missing: no rows
@@ -175,7 +176,7 @@ def test_all_races_match_brute_force(frames):
     exp = [row for rid in sorted({e[0] for e in ENTRIES}) for row in brute(rid)]
     key = lambda r: (r["race_id"], r["umaban"])
     got, exp = sorted(got, key=key), sorted(exp, key=key)
-    assert len(got) == len(exp) == 9
+    assert len(got) == len(exp) == 10
     for g, e in zip(got, exp):
         for k in e:
             assert close(g[k], e[k]), (key(e), k, g[k], e[k])
@@ -191,7 +192,7 @@ def test_single_race_matches_batch_and_validates_id(frames):
     races, entries, history, master = frames
     one = [r.asDict() for r in form.race_analysis(races, entries, history, master,
                                                   race_id="2024063005010101", as_of=AS_OF).collect()]
-    assert [r["umaban"] for r in one] == ["01", "02", "03", "04", "05", "06", "07"]
+    assert [r["umaban"] for r in one] == ["01", "02", "03", "04", "05", "06", "07", "08"]
     exp = {r["umaban"]: r for r in brute("2024063005010101")}
     for r in one:
         for k, v in exp[r["umaban"]].items():
