@@ -331,7 +331,7 @@ def q_stream_ingest(spark, d):
     for parity in (0, 1):   # two landings with disjoint keys, each key in one file
         landing.write_landing(p.filter(odd == parity).repartition(4, *key), land)
     work = _scratch(spark, "stream")
-    ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", max_files_per_trigger=3)
+    ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", max_files_per_trigger=16)
     from furlong.sources import tables
     out = tables.read_latest_version(spark, f"{work}/core/SE_latest")
     from furlong.operators.parse import LANDING_COLUMNS
