@@ -193,6 +193,14 @@ def q_speed_index_full(spark, d):
     return SI.speed_index_master(B.history(spark, d), as_of=AS_OF)
 
 
+def q_speed_index_three(spark, d):
+    """Three predictors: log distance, weight and a one-hot category with
+    NULLs (track condition; NULL pools with the dropped first level)."""
+    src = B.history(spark, d).select("ketto_num", "horse_name", "surface", "time_sec", "distance", "weight",
+                                     "track_condition")
+    return SI.speed_index_master(src, as_of=AS_OF)
+
+
 def q_speed_baseline(spark, d):
     return SI.speed_index_baseline(q_speed_index_log_dist(spark, d))
 
@@ -362,6 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_source": q_index_source,
     "speed_index_log_dist": q_speed_index_log_dist,
     "speed_index_full": q_speed_index_full,
+    "speed_index_three": q_speed_index_three,
     "speed_baseline": q_speed_baseline,
     "parse_fixed_width": q_parse_fixed_width,
     "parse_lanes": q_parse_lanes,
@@ -404,6 +413,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "race_analysis_one": lambda: O.q_race_analysis(True),
     "index_source": O.q_index_source,
     "speed_index_log_dist": O.q_speed_index_log_dist,
+    "speed_index_three": O.q_speed_index_three,
     "speed_baseline": O.q_speed_baseline,
     "parse_fixed_width": O.q_parse_fixed_width,
     "parse_lanes": O.q_parse_lanes,
