@@ -214,3 +214,15 @@ def test_before_race_option_drops_later_runs(frames, spark):
     assert all(r["race_date"] is None or r["race_date"] < D(2024, 6, 30) for r in h)
     with pytest.raises(ValueError):
         form.form_history(form.analysis_entries(entries), history, before_race=True)
+
+
+def test_null_keys_spread_and_never_match(spark):
+    from pyspark.sql import functions as F
+    left = spark.range(2000).select(F.col("id").cast("string").alias("race_id"),
+                                    F.lit("01").alias("umaban"), F.lit(None).cast("string").alias("k"))
+    key = form.null_spread_key(F.col("k"), "race_id", "umaban")
+    keys = left.select(key.alias("j"))
+    assert keys.distinct().count() == 2000                       # spread, not one hot value
+    right = keys.limit(0).union(spark.createDataFrame([("x",), ("",)], "j string"))
+    assert left.join(right, key == right.j, "inner").count() == 0
+    assert left.join(right, key == right.j, "left").count() == 2000
