@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from furlong.llm import mixing, sharding
+from furlong.llm import decontamination, language, mixing, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_prefix_decontamination": decontamination.q_decontamination,
     "op2_virtual_slot_sharding": sharding.q_sharding,
+    "op5_ppm_language": language.q_language,
+    "op6_simhash_vantage_trees": simhash.q_simhash,
     "op9_low_discrepancy_mixing": mixing.q_mixing,
+    "op10_secret_battery": secrets.q_secrets,
 }
 ORACLE = {
     "op9_low_discrepancy_mixing": mixing.ORACLE_MIXING,
