@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from furlong.llm import decontamination, language, mixing, secrets, sharding, simhash
+from furlong.llm import decontamination, language, mixing, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_prefix_decontamination": decontamination.q_decontamination,
     "op2_virtual_slot_sharding": sharding.q_sharding,
+    "op4_warc_capture_index": warc.q_warc,
     "op5_ppm_language": language.q_language,
     "op6_simhash_vantage_trees": simhash.q_simhash,
     "op9_low_discrepancy_mixing": mixing.q_mixing,
