@@ -111,3 +111,36 @@ def span(p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows sorted by ``keys``: tables of whole groups, and where each group
+    begins (with the end). Only the group that is still open is held back."""
+    held: list[pa.RecordBatch] = []
+
+    def changes(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            c = batch.column(k)
+            c = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).to_numpy(zero_copy_only=False)
+            new |= c[1:] != c[:-1]
+        return np.flatnonzero(new) + 1
+
+    def table(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, np.concatenate([[0], changes(t), [t.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = changes(batch)
+        if len(at):
+            yield table([*held, batch.slice(0, int(at[-1]))])
+            held = [batch.slice(int(at[-1]))]
+        elif held and any(held[-1].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield table(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield table(held)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,3 +36,9 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra
     columns of the input can never clash with columns the operator adds."""
     return df.select(*[df[src].alias(dst) for dst, src in columns.items()])
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from furlong.llm import decontamination, language, mixing, secrets, sharding, simhash, warc
+from furlong.llm import decontamination, embeddings, language, mixing, quality, repeats, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_prefix_decontamination": decontamination.q_decontamination,
     "op2_virtual_slot_sharding": sharding.q_sharding,
+    "op3_pu_quality": quality.q_quality,
     "op4_warc_capture_index": warc.q_warc,
     "op5_ppm_language": language.q_language,
     "op6_simhash_vantage_trees": simhash.q_simhash,
+    "op7_repeat_intervals": repeats.q_repeats,
+    "op8_quantised_embeddings": embeddings.q_embeddings,
     "op9_low_discrepancy_mixing": mixing.q_mixing,
     "op10_secret_battery": secrets.q_secrets,
 }
