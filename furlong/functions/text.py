@@ -29,6 +29,13 @@ def trim_ws(c) -> Column:
     return F.trim(to_str(c), F.lit(WHITESPACE))
 
 
+def number(c) -> Column:
+    """A double, with NaN as missing: Spark orders NaN above every number, so
+    ``NaN > 0`` would hold and one NaN would spoil any mean."""
+    x = _c(c).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def blank_to_null(c) -> Column:
     """NULLIF(TRIM(c), '')."""
     return F.nullif(trim_ws(c), F.lit(""))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furlong.functions.text import nfkc, sql_lpad, trim_ws
+from furlong.functions.text import nfkc, number, sql_lpad, trim_ws
 from furlong.operators.serving import race_header, validate_race_id
 
 HISTORY_COLS = ["race_date", "rank", "popularity", "distance", "surface", "time_sec"]
@@ -85,11 +85,11 @@ def history_runs(history: DataFrame) -> DataFrame:
     return history.select(
         nfkc(trim_ws("horse_name")).alias("name_norm"),
         F.col("race_date").cast("date").alias("race_date"),
-        F.col("rank").try_cast("double").alias("rank"),
-        F.col("popularity").try_cast("double").alias("popularity"),
-        F.col("distance").try_cast("double").alias("distance"),
+        number("rank").alias("rank"),
+        number("popularity").alias("popularity"),
+        number("distance").alias("distance"),
         trim_ws("surface").alias("surface"),
-        F.col("time_sec").try_cast("double").alias("time_sec"),
+        number("time_sec").alias("time_sec"),
     ).filter(F.col("name_norm").isNotNull())
 
 
@@ -218,7 +218,7 @@ def master_lookups(master: DataFrame) -> tuple[DataFrame, DataFrame]:
         trim_ws(F.col("horse_key").cast("string")).alias("horse_key"),
         nfkc(trim_ws(F.col("horse_name").cast("string"))).alias("horse_name_norm"),
         trim_ws(F.col("surface").cast("string")).alias("surface"),
-        F.col("speed_index").try_cast("double").alias("speed_index"),
+        number("speed_index").alias("speed_index"),
         F.col("run_count").try_cast("long").alias("run_count"),
     ).filter(F.col("speed_index").isNotNull())
     by_id = (m.filter(F.col("horse_key").isNotNull() & (F.col("horse_key") != ""))
@@ -236,8 +236,9 @@ def speed_lookup(scored: DataFrame, master: DataFrame | None) -> DataFrame:
         master = empty_master(scored.sparkSession)
     by_id, by_name = master_lookups(master)
     s = scored if "name_norm" in scored.columns else scored.withColumn("name_norm", nfkc(F.col("bamei")))
-    id_key = null_spread_key(s.ketto_num, "race_id", "umaban")
-    name_key = null_spread_key(s.name_norm, "race_id", "umaban")
+    # blank keys are in no lookup side, so they are spread like NULLs
+    id_key = null_spread_key(F.nullif(s.ketto_num, F.lit("")), "race_id", "umaban")
+    name_key = null_spread_key(F.nullif(s.name_norm, F.lit("")), "race_id", "umaban")
     s = s.join(by_id, (by_id.surface == s.target_surface) & (by_id.horse_key == id_key), "left") \
          .drop("surface", "horse_key")
     s = s.join(by_name, (by_name.surface == s.target_surface) & (by_name.horse_name_norm == name_key),

@@ -12,7 +12,8 @@ Mapping (one order = one race, one line = one runner):
   o_orderkey % 12 + 1; race name = order priority, blank for status P
 - distance 1000 + 200 * (o_custkey % 13); surface by l_returnflag
   (R turf, A dirt, N steeplechase - an invalid surface for the index)
-- horse number = l_linenumber, horse id = l_partkey, name 'H' || l_partkey
+- horse number = l_linenumber, horse id = l_partkey, name 'H' || l_partkey;
+  results have extra runners that only the fallback source can serve
 - history: rank = l_linenumber, popularity = l_quantity % 18 + 1,
   time = l_extendedprice / 1000 + 60, weight = 50 + 100 * l_tax
 """
@@ -20,6 +21,7 @@ Mapping (one order = one race, one line = one runner):
 from __future__ import annotations
 
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,33 +34,9 @@ TRACK_BY_FLAG = {"R": "10", "A": "23", "N": "29"}
 CONDITION_BY_STATUS = {"O": "良", "F": "稍重"}  # status P -> NULL category
 
 
-REDISTRIBUTE_CONF = "spark.furlong.scan.redistribute"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a provided table.
-
-    A parquet row group is the smallest unit a scan can split, and the
-    provided files hold one row group each, so a scan would feed one task
-    however many cores there are. When a table has fewer files than the
-    default parallelism, its rows are dealt round-robin over that many
-    partitions (only the columns the plan needs are shuffled). With the many
-    files of a real lake the rule does not fire; ``spark.furlong.scan.redistribute
-    = off`` disables it.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _READS:  # the plan only (schema, file list), never data
-        df = spark.read.parquet(path)
-        _READS[key] = (df, len(df.inputFiles()))
-    df, n_files = _READS[key]
-    if spark.conf.get(REDISTRIBUTE_CONF, "auto") == "off":
-        return df
-    n = spark.sparkContext.defaultParallelism
-    return df.repartition(n) if n_files < n else df
-
-
-_READS: dict = {}
+    """Read a provided table, as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- Spark side
@@ -81,52 +59,71 @@ def _kaisai(ck: Column, ok: Column, venue: Column) -> Column:
     return F.concat(lead, venue, nichi)
 
 
-LINE_COLS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag",
-             "l_shipdate"]
-ORDER_COLS = ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
-_BASE: dict = {}
+# Columns of lineitem and orders that each binding reads.
+NEEDS: dict[str, tuple[list[str], list[str]]] = {
+    "results": (["l_partkey", "l_linenumber", "l_returnflag"],
+                ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "history": (["l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag"],
+                ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "raw_se": (["l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"], ["o_custkey", "o_orderdate"]),
+    "raw_ra": (["l_suppkey", "l_shipdate", "l_returnflag"], ["o_custkey", "o_orderdate", "o_orderpriority"]),
+}
+_BASE: ContextVar[tuple[str, DataFrame] | None] = ContextVar("race_base", default=None)
+
+
+def _needed(names: list[str]) -> tuple[list[str], list[str]]:
+    return tuple(list(dict.fromkeys(c for n in names for c in NEEDS[n][k])) for k in (0, 1))
+
+
+def _with_race_text(j: DataFrame) -> DataFrame:
+    # venue first, as a column: the meeting text refers to it four times
+    j = j.select("*", _venue("o_custkey % 11").alias("venue"))
+    return j.select("*", _kaisai(F.col("o_custkey"), F.col("o_orderkey"), F.col("venue")).alias("kaisai"))
 
 
 @contextmanager
-def shared_base(spark: SparkSession, sf_dir: str):
-    """Within this block every binding of ``sf_dir`` is derived from one
-    ``lineitem JOIN orders``, computed once and written as a parquet table
-    under the shared checkpoint folder (instead of one join per binding)."""
-    from furlong.session import ensure_checkpoint_dir, materialize
-    key = (id(spark), sf_dir)
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_COLS)
-    od = table(spark, sf_dir, "orders").select("o_orderkey", *ORDER_COLS)
-    ensure_checkpoint_dir(spark)
-    j = li.join(od, li.l_orderkey == od.o_orderkey)
+def shared_base(spark: SparkSession, sf_dir: str, names: list[str]):
+    """Within this block the bindings ``names`` of ``sf_dir`` are derived from
+    one ``lineitem JOIN orders`` of the columns they need, written once under
+    the shared checkpoint folder (instead of one join per binding). A single
+    binding is left to its own join."""
+    from furlong.session import materialize
+    if len(names) < 2:
+        yield None
+        return
+    line_cols, order_cols = _needed(names)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *line_cols)
+    od = table(spark, sf_dir, "orders").select("o_orderkey", *order_cols)
     # the synthetic race attributes are materialised with the join, so the
     # predicates Catalyst pushes down later meet plain columns, as on real data
-    j = j.select("*", _venue("o_custkey % 11").alias("venue"))
-    j = j.select("*", _kaisai(F.col("o_custkey"), F.col("o_orderkey"), F.col("venue")).alias("kaisai"))
-    _BASE[key] = materialize(j, "race-base")
+    token = _BASE.set((sf_dir, materialize(_with_race_text(li.join(od, li.l_orderkey == od.o_orderkey)), "race-base")))
     try:
-        yield _BASE[key]
+        yield _BASE.get()[1]
     finally:
-        _BASE.pop(key, None)
+        _BASE.reset(token)
 
 
-def _joined(spark: SparkSession, sf_dir: str, line_cols: list[str], order_cols: list[str]) -> DataFrame:
-    base = _BASE.get((id(spark), sf_dir))
-    if base is not None:
-        return base.select("l_orderkey", *line_cols, "o_orderkey", *order_cols, "venue", "kaisai")
+def _joined(spark: SparkSession, sf_dir: str, binding: str) -> DataFrame:
+    line_cols, order_cols = NEEDS[binding]
+    base = _BASE.get()
+    if base is not None and base[0] == sf_dir and {*line_cols, *order_cols} <= set(base[1].columns):
+        return base[1].select("l_orderkey", *line_cols, "o_orderkey", *order_cols, "venue", "kaisai")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *line_cols)
     od = table(spark, sf_dir, "orders").select("o_orderkey", *order_cols)
     return li.join(od, li.l_orderkey == od.o_orderkey)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``raw_race_results``: one row per runner of every race."""
-    j = _joined(spark, sf_dir, ["l_partkey", "l_linenumber", "l_returnflag"],
-                ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
-    ck, ok = F.col("o_custkey"), F.col("o_orderkey")
-    # venue first, as a column: the meeting text refers to it four times
+    """``raw_race_results``: one row per runner of every race. Each line 1 or 2
+    adds a runner (horse number + 10, horse id + ten million) that no raw
+    record has, so that only the fallback source can serve it."""
+    j = _joined(spark, sf_dir, "results")
+    ck, ok, ln = F.col("o_custkey"), F.col("o_orderkey"), F.col("l_linenumber")
     if "venue" not in j.columns:
-        j = j.select("*", _venue("o_custkey % 11").alias("venue"))
-        j = j.select("*", _kaisai(ck, ok, F.col("venue")).alias("kaisai"))
+        j = _with_race_text(j)
+    extra = F.explode(F.when(ln <= 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    j = j.select("*", extra.alias("extra"))
+    horse = F.col("l_partkey") + F.col("extra") * 10_000_000
     return j.select(
         F.col("o_orderdate").cast("date").alias("date"),
         "venue", "kaisai",
@@ -134,28 +131,29 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("race_name"),
         (F.lit(1000) + F.lit(200) * (ck % 13)).alias("distance"),
         _case_str("l_returnflag", SURFACE_BY_FLAG).alias("surface"),
-        F.col("l_linenumber").cast("long").alias("horse_num"),
-        F.col("l_partkey").alias("horse_id"),
-        F.concat(F.lit("H"), F.col("l_partkey").cast("string")).alias("horse_name"),
+        (ln.cast("long") + F.col("extra") * 10).alias("horse_num"),
+        horse.alias("horse_id"),
+        F.concat(F.lit("H"), horse.cast("string")).alias("horse_name"),
     )
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``analysis_view``: past runs of every horse."""
-    j = _joined(spark, sf_dir, ["l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax",
-                                "l_returnflag"],
-                ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
-    ck = F.col("o_custkey")
+    """``analysis_view``: past runs of every horse. Some times and weights are
+    NaN, some weights NULL, and the age is the same everywhere."""
+    j = _joined(spark, sf_dir, "history")
+    ck, ok = F.col("o_custkey"), F.col("o_orderkey")
+    nan = F.lit(float("nan"))
     return j.select(
         F.col("l_partkey").cast("string").alias("ketto_num"),
         F.concat(F.lit("H"), F.col("l_partkey").cast("string")).alias("horse_name"),
         _case_str("l_returnflag", SURFACE_BY_FLAG).alias("surface"),
         (F.lit(1000) + F.lit(200) * (ck % 13)).cast("double").alias("distance"),
-        (F.col("l_extendedprice") / 1000 + 60).alias("time_sec"),
+        F.when(ok % 97 == 0, nan).otherwise(F.col("l_extendedprice") / 1000 + 60).alias("time_sec"),
         F.col("o_orderdate").cast("date").alias("race_date"),
         F.col("l_linenumber").cast("long").alias("rank"),
         (F.col("l_quantity").cast("long") % 18 + 1).alias("popularity"),
-        (F.lit(50.0) + F.lit(100.0) * F.col("l_tax")).alias("weight"),
+        F.when(ok % 89 == 0, nan).when(ok % 83 != 0, F.lit(50.0) + F.lit(100.0) * F.col("l_tax")).alias("weight"),
+        F.lit(4).alias("age"),
         (F.col("venue") if "venue" in j.columns else _venue("o_custkey % 11")).alias("venue"),
         F.col("o_orderpriority").alias("class_name"),
         _case_str("o_orderstatus", CONDITION_BY_STATUS).alias("track_condition"),
@@ -182,11 +180,10 @@ def _fetched_at() -> Column:
 
 
 def raw_se(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw runner records (unpadded key parts, repeated fetches), lines 1-4."""
-    j = _joined(spark, sf_dir, ["l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"],
-                ["o_custkey", "o_orderdate"])
+    """Raw runner records (unpadded key parts, repeated fetches)."""
+    j = _joined(spark, sf_dir, "raw_se")
     ln = F.col("l_linenumber")
-    return j.filter(ln <= 4).select(
+    return j.select(
         F.lit("SE").alias("RecordSpec"), *_raw_key_cols(),
         F.concat(F.lit(" "), ln.cast("string")).alias("Umaban"),
         ((ln + 1) / 2).cast("long").cast("string").alias("Wakuban"),
@@ -198,8 +195,7 @@ def raw_se(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw race records: one per runner line, so every race is fetched repeatedly."""
-    j = _joined(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_returnflag"],
-                ["o_custkey", "o_orderdate", "o_orderpriority"])
+    j = _joined(spark, sf_dir, "raw_ra")
     return j.select(
         F.lit("RA").alias("RecordSpec"), *_raw_key_cols(),
         F.col("o_orderpriority").alias("Hondai"),
@@ -209,17 +205,17 @@ def raw_ra(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stage_rows(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    j = _joined(spark, sf_dir, ["l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"],
-                ["o_custkey", "o_orderdate"])
+def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load rows of every line; ``l_suppkey`` tells the two batches apart."""
+    j = _joined(spark, sf_dir, "raw_se")
     ln, pk = F.col("l_linenumber"), F.col("l_partkey")
     keys = _raw_key_cols()
     # NULL and '' in one key part of one batch: the MERGE treats them as one key.
     keys[3] = (F.when(pk % 89 == 0, F.lit(None).cast("string"))
                .when(pk % 89 == 1, F.lit(""))
                .otherwise((F.col("o_custkey") % 5 + 1).cast("string")).alias("Kaiji"))
-    return j.filter((ln <= 4) & (F.col("l_suppkey") % 2 == parity)).select(
-        *keys,
+    return j.select(
+        "l_suppkey", *keys,
         F.concat(F.lit(" "), ln.cast("string")).alias("Umaban"),
         ((ln + 1) / 2).cast("long").cast("string").alias("Wakuban"),
         F.col("l_partkey").cast("string").alias("KettoNum"),
@@ -229,11 +225,12 @@ def _stage_rows(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
 
 
 def stage_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two load batches of runner records, split by supplier parity. The first
-    lacks ``Wakuban`` (a stage column the target does not have yet)."""
-    first = _stage_rows(spark, sf_dir, 0).drop("Wakuban")
-    second = _stage_rows(spark, sf_dir, 1)
-    return first, second
+    """Two load batches of runner records that share keys: every line is in
+    the first or the second by supplier, and every fourth supplier's in both.
+    The first lacks ``Wakuban`` (a stage column the target does not have yet)."""
+    rows, s = stage_rows(spark, sf_dir), F.col("l_suppkey")
+    first = rows.filter((s % 2 == 0) | (s % 4 == 1)).drop("l_suppkey", "Wakuban")
+    return first, rows.filter(s % 2 == 1).drop("l_suppkey")
 
 
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,10 +315,11 @@ SELECT CAST(o_orderdate AS DATE) AS date,
        CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE o_orderpriority END AS race_name,
        1000 + 200 * (o_custkey % 13) AS distance,
        {_sql_case('l_returnflag', SURFACE_BY_FLAG)} AS surface,
-       CAST(l_linenumber AS BIGINT) AS horse_num,
-       l_partkey AS horse_id,
-       'H' || CAST(l_partkey AS VARCHAR) AS horse_name
+       CAST(l_linenumber AS BIGINT) + 10 * x.extra AS horse_num,
+       l_partkey + 10000000 * x.extra AS horse_id,
+       'H' || CAST(l_partkey + 10000000 * x.extra AS VARCHAR) AS horse_name
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN (VALUES (0), (1)) x(extra) ON x.extra = 0 OR l_linenumber <= 2
 """
 
 SQL_HISTORY = f"""
@@ -329,11 +327,12 @@ SELECT CAST(l_partkey AS VARCHAR) AS ketto_num,
        'H' || CAST(l_partkey AS VARCHAR) AS horse_name,
        {_sql_case('l_returnflag', SURFACE_BY_FLAG)} AS surface,
        CAST(1000 + 200 * (o_custkey % 13) AS DOUBLE) AS distance,
-       l_extendedprice / 1000 + 60 AS time_sec,
+       CASE WHEN o_orderkey % 97 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 1000 + 60 END AS time_sec,
        CAST(o_orderdate AS DATE) AS race_date,
        CAST(l_linenumber AS BIGINT) AS rank,
        CAST(l_quantity AS BIGINT) % 18 + 1 AS popularity,
-       50.0 + 100.0 * l_tax AS weight,
+       CASE WHEN o_orderkey % 89 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 83 != 0 THEN 50.0 + 100.0 * l_tax END AS weight,
+       4 AS age,
        {_sql_venue('o_custkey % 11')} AS venue,
        o_orderpriority AS class_name,
        {_sql_case('o_orderstatus', CONDITION_BY_STATUS)} AS track_condition
@@ -359,7 +358,6 @@ SELECT 'SE' AS RecordSpec, {_SQL_KEYS},
        'H' || CAST(l_partkey AS VARCHAR) AS Bamei,
        {_SQL_FETCHED} AS fetched_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_linenumber <= 4
 """
 
 SQL_RAW_RA = f"""
@@ -372,7 +370,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 
-def sql_stage(parity: int, with_wakuban: bool) -> str:
+STAGE_FIRST, STAGE_SECOND = "l_suppkey % 2 = 0 OR l_suppkey % 4 = 1", "l_suppkey % 2 = 1"
+
+
+def sql_stage(where: str, with_wakuban: bool) -> str:
     waku = "CAST((l_linenumber + 1) // 2 AS VARCHAR) AS Wakuban," if with_wakuban else ""
     keys = _SQL_KEYS.replace(
         "CAST(o_custkey % 5 + 1 AS VARCHAR) AS Kaiji",
@@ -385,7 +386,7 @@ SELECT {keys},
        'H' || CAST(l_partkey AS VARCHAR) AS Bamei,
        {_SQL_FETCHED} AS fetched_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_linenumber <= 4 AND l_suppkey % 2 = {parity}
+WHERE {where}
 """
 
 

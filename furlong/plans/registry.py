@@ -16,20 +16,21 @@ from furlong.plans import oracle_sql as O
 AS_OF = O.AS_OF
 
 
-def model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    with B.shared_base(spark, d):
-        return _model(spark, d)
-
-
-def _model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    results = B.results(spark, d)
-    summary = serving.race_summary(results)
-    fallback = serving.entry_fallback(results)
-    races = serving.serving_races(summary)
-    se_latest = latest.latest_entries(B.raw_se(spark, d))
-    entries = serving.serving_entries(se_latest, fallback)
-    return dict(results=results, summary=summary, fallback=fallback, races=races, se_latest=se_latest,
-                entries=entries, history=B.history(spark, d))
+def model(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """Serving tables and history; ``names`` are the bindings that are used."""
+    names = names or ("results", "raw_se", "history")
+    with B.shared_base(spark, d, list(names)):
+        m: dict[str, DataFrame] = {}
+        if "results" in names:
+            m["results"] = B.results(spark, d)
+            m["summary"] = serving.race_summary(m["results"])
+            m["races"] = serving.serving_races(m["summary"])
+        if "raw_se" in names:
+            fallback = serving.entry_fallback(m["results"])
+            m["entries"] = serving.serving_entries(latest.latest_entries(B.raw_se(spark, d)), fallback)
+        if "history" in names:
+            m["history"] = B.history(spark, d)
+        return m
 
 
 def _r6(cols):
@@ -45,7 +46,7 @@ def q_latest_entries(spark, d):
 
 
 def q_stage_dedup(spark, d):
-    return latest.stage_dedup(B.stage_batches(spark, d)[1], latest.MERGE_KEYS["SE"])
+    return latest.stage_dedup(B.stage_rows(spark, d).drop("l_suppkey"), latest.MERGE_KEYS["SE"])
 
 
 def q_upsert_latest(spark, d):
@@ -63,19 +64,19 @@ def q_entry_fallback(spark, d):
 
 
 def q_serving_races(spark, d):
-    return model(spark, d)["races"]
+    return model(spark, d, "results")["races"]
 
 
 def q_serving_entries(spark, d):
-    return model(spark, d)["entries"]
+    return model(spark, d, "results", "raw_se")["entries"]
 
 
 def q_race_list(spark, d):
-    return serving.race_list(model(spark, d)["races"], 50)
+    return serving.race_list(model(spark, d, "results")["races"], 50)
 
 
 def q_race_card_all(spark, d):
-    m = model(spark, d)
+    m = model(spark, d, "results", "raw_se")
     return serving.race_card(m["races"], m["entries"])
 
 
@@ -100,7 +101,7 @@ def q_race_card_one(spark, d):
 
 
 def q_race_id_parts(spark, d):
-    r = model(spark, d)["races"]
+    r = model(spark, d, "results")["races"]
     p = rid.race_id_parts("race_id")
     return r.select(
         "race_id", p["year"].alias("year"), p["month_day"].alias("month_day"), p["jyo_cd"].alias("jyo_cd"),
@@ -113,7 +114,7 @@ def q_race_id_parts(spark, d):
 
 
 def q_code_lookup(spark, d):
-    s = model(spark, d)["summary"]
+    s = model(spark, d, "results")["summary"]
     kn = rid.kaiji_nichiji("kaisai")
     return s.select("ymd", "venue", "kaisai", "race_num",
                     codes.venue_code("venue").alias("code_or_null"),
@@ -254,12 +255,16 @@ def q_nfkc_match(spark, d):
 
 
 def _quality_inputs(spark, d):
-    m = model(spark, d)
+    m = model(spark, d, "results", "raw_se")
     return m["races"], m["entries"]
 
 
+def _races(spark, d):
+    return model(spark, d, "results")["races"]
+
+
 def q_dup_races(spark, d):
-    return quality.duplicate_races(_quality_inputs(spark, d)[0])
+    return quality.duplicate_races(_races(spark, d))
 
 
 def q_dup_entries(spark, d):
@@ -267,11 +272,11 @@ def q_dup_entries(spark, d):
 
 
 def q_null_rate(spark, d):
-    return quality.null_rate(_quality_inputs(spark, d)[0])
+    return quality.null_rate(_races(spark, d))
 
 
 def q_freshness(spark, d):
-    return quality.freshness(_quality_inputs(spark, d)[0], AS_OF)
+    return quality.freshness(_races(spark, d), AS_OF)
 
 
 def q_quality_report(spark, d):
@@ -413,6 +418,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "race_analysis_one": lambda: O.q_race_analysis(True),
     "index_source": O.q_index_source,
     "speed_index_log_dist": O.q_speed_index_log_dist,
+    "speed_index_full": O.q_speed_index_full,
     "speed_index_three": O.q_speed_index_three,
     "speed_baseline": O.q_speed_baseline,
     "parse_fixed_width": O.q_parse_fixed_width,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,8 +41,10 @@ def get_session(master: str | None = None, app: str = "furlong",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is left alone. Only when
-    it is unset (a laptop, a unit test) a private temporary folder is used.
+    On a cluster this setting names storage that all executors share. Only a
+    local master may go without it (a laptop, a unit test): there a private
+    temporary folder is used. Anywhere else a missing setting is an error, as
+    each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,16 +52,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name shared storage on master {sc.master}")
         path = tempfile.mkdtemp(prefix="furlong-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path for written intermediates under the shared checkpoint folder."""
+    """A path for written intermediates: a folder of this application under the
+    shared checkpoint folder, deleted when the application's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return os.path.join(base, "furlong", *parts)
+    root = os.path.join(base, "furlong", spark.sparkContext.applicationId)
+    if root not in _SCRATCH:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _SCRATCH.add(root)
+    return os.path.join(root, *parts)
 
 
 def materialize(df, name: str):
@@ -69,4 +86,4 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
