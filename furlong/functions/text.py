@@ -73,11 +73,10 @@ def clean_null_markers(c) -> Column:
 
 
 def _nfkc_series(s: pd.Series) -> pd.Series:
-    out = s.copy()
-    mask = s.notna()
-    if mask.any():
-        out[mask] = s[mask].map(lambda v: unicodedata.normalize("NFKC", v))
-    return out
+    """Each distinct value of the batch is normalised once."""
+    code, values = pd.factorize(s)
+    table = pd.array([unicodedata.normalize("NFKC", v) for v in values] + [None], dtype=object)
+    return pd.Series(table[code], index=s.index)
 
 
 @F.pandas_udf(T.StringType())
@@ -89,8 +88,8 @@ def nfkc(c) -> Column:
     """NORMALIZE(c, NFKC) (X11).
 
     Spark SQL has no Unicode normalisation function, so this is the one
-    Arrow-batched Python helper besides the record parser. Pure-ASCII values
-    are already NFKC-normal and skip the Python crossing entirely.
+    Arrow-batched Python helper besides the record parser; it normalises the
+    distinct values of a batch. Pure-ASCII values are already NFKC-normal.
     """
     s = to_str(c)
     ascii_only = s.rlike(r"^[\x00-\x7F]*$")

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from furlong.functions.text import nfkc, number, sql_lpad, trim_ws
 from furlong.operators.serving import race_header, validate_race_id
+from furlong.session import materialize
 
 HISTORY_COLS = ["race_date", "rank", "popularity", "distance", "surface", "time_sec"]
 
@@ -93,6 +94,44 @@ def history_runs(history: DataFrame) -> DataFrame:
     ).filter(F.col("name_norm").isNotNull())
 
 
+def runs_as_of(entries: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """Each entry (with ``name_norm`` and ``_tdate``) with the newest ``n`` runs
+    of its name dated before ``_tdate``; an all-NULL run where there is none.
+
+    A name's runs are cut by year, so that a very common name is work for many
+    tasks. Within a name and year a running window holds the last ``n`` runs at
+    each run, and the entry, sorted in by its date, takes the last of these; the
+    last ``n`` of each earlier year fill up what the year itself lacks. At most
+    ``n`` runs an entry and ``n`` a name and year are ever held.
+    """
+    oldest_first = [F.col("run.race_date"), F.col("run.rank").desc_nulls_first(), F.col("run.popularity").desc_nulls_first(),
+                    F.col("run.distance").desc_nulls_first(), F.col("run.surface").desc_nulls_first(),
+                    F.col("run.time_sec").desc_nulls_first()]
+    year = Window.partitionBy("name", "year")
+    last_n = F.collect_list("run").over(year.orderBy(*oldest_first).rowsBetween(-(n - 1), 0))
+    r = (runs.filter(F.col("race_date").isNotNull())
+         .select(F.col("name_norm").alias("name"), F.year("race_date").alias("year"), F.struct(*HISTORY_COLS).alias("run"))
+         .withColumn("hist", last_n).withColumn("nth", F.row_number().over(year.orderBy(*oldest_first))))
+    e = entries.select(null_spread_key(F.nullif("name_norm", F.lit("")), *entries.columns).alias("name"),
+                       F.year("_tdate").alias("year"), F.struct("*").alias("entry"))
+    of_year = r.groupBy("name", "year").agg(F.max_by("hist", "nth").alias("hist"))
+    years = of_year.unionByName(e.select("name", "year").distinct().withColumn("hist", F.lit(None).cast(r.schema["hist"].dataType)))
+    years = years.groupBy("name", "year").agg(F.first("hist", ignorenulls=True).alias("hist"))
+    earlier = F.flatten(F.collect_list("hist").over(
+        Window.partitionBy("name").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)))
+    years = years.select("name", "year", earlier.alias("earlier"))
+    events = r.select("name", "year", F.col("run.race_date").alias("at"), "nth", "hist", F.lit(None).cast(e.schema["entry"].dataType).alias("entry")) \
+        .unionByName(e.select("name", "year", F.col("entry._tdate").alias("at"), F.lit(0).alias("nth"),
+                              F.lit(None).cast(r.schema["hist"].dataType).alias("hist"), "entry"))
+    so_far = F.last("hist", ignorenulls=True).over(
+        year.orderBy("at", "nth").rowsBetween(Window.unboundedPreceding, 0))
+    met = events.withColumn("here", so_far).filter("entry is not null").join(years, ["name", "year"], "left")
+    none = F.array().cast(r.schema["hist"].dataType)
+    both = F.concat(F.coalesce("earlier", none), F.coalesce("here", none))
+    newest = F.slice(F.reverse(both), 1, n)
+    return met.select("entry", F.explode_outer(newest).alias("run")).select("entry.*", "run.*")
+
+
 ENTRY_COLS = ["race_id", "wakuban", "umaban", "ketto_num", "bamei"]
 
 
@@ -120,14 +159,16 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
     if before_race:
         if races is None:
             raise ValueError("before_race=True needs races")
-        e = e.join(races.select("race_id", F.col("kaisai_date").alias("_tdate")).dropDuplicates(["race_id"]),
-                   "race_id", "left")
-        cond = (F.col("name_norm") == F.col("_run_name")) & (F.col("race_date") < F.col("_tdate"))
-        j = e.join(r, cond, "left").drop("_tdate")
+        dates = race_header(races).select("race_id", F.col("kaisai_date").alias("_tdate"))
+        j = runs_as_of(e.join(dates, "race_id", "left"), runs, n).drop("_tdate")
     else:
         top = (r.withColumn("_r", F.row_number().over(
             Window.partitionBy("_run_name").orderBy(*history_order())))
             .filter(F.col("_r") <= n).drop("_r"))
+        if not only_entry_names:
+            # stored, so that the join shuffles this side too: AQE splits a hot
+            # name only where both sides of the join are plain shuffles
+            top = materialize(top, "newest-runs")
         j = e.join(top, null_spread_key(F.col("name_norm"), "race_id", "umaban", "bamei") == F.col("_run_name"),
                    "left")
     j = j.drop("_run_name").repartition("race_id")
@@ -145,9 +186,8 @@ def form_history(entries: DataFrame, history: DataFrame, n: int = 5,
     Plan: newest ``n`` runs per normalised name first (row_number <= n, with
     a partial WindowGroupLimit before the shuffle), then the LEFT JOIN, then
     the pooled rank. Any top-n of a union lies in the union of top-ns, so the
-    pre-limit is exact; ``before_race=True`` (needs ``races``) keeps only runs
-    dated before the target race, where the pre-limit is not valid, so the
-    whole matched career is ranked instead.
+    pre-limit is exact; ``before_race=True`` (needs ``races``) takes the newest
+    ``n`` runs dated before the target race (:func:`runs_as_of`).
     """
     return form_runs(entries, history, n, before_race, races).filter(F.col("rn") <= n)
 

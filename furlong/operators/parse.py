@@ -2,14 +2,18 @@
 
 Layouts are cp932 *byte* offsets, so slicing needs the cp932 encoding of
 each record. Spark has no cp932 codec without legacy flags, so one Arrow
-``pandas_udf`` does encode -> slice -> decode for a whole batch and returns
-every field in one struct (one JVM<->Python crossing per batch). Everything
+``pandas_udf`` encodes a whole batch at once, slices it field by field and
+decodes each field at once, returning every field in one struct. Everything
 else (lanes, metadata, tags, census, profiles) is built-in column work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,45 +52,73 @@ LANDING_SCHEMA = T.StructType(list(PARSED_SCHEMA.fields) + [T.StructField("fetch
                                                             T.StructField("raw_data", T.StringType())])
 
 
-def parse_record(raw: str | None) -> dict:
-    """One record -> dict of present keys (the per-row helper inside the UDF)."""
-    if not raw or len(raw) < 2:
-        return {"error": ERROR_TOO_SHORT}
-    spec = raw[:2]
-    fields = SPECS.get(spec)
-    if fields is None:
-        return {"record_type": spec, "_parsed": False}
-    try:
-        b = raw.encode("cp932")
-    except UnicodeEncodeError:
-        return {"record_type": spec, "error": ERROR_ENCODING}
-    out: dict = {"record_type": spec, "_parsed": True}
-    max_end = 0
-    for name, start, length in fields:
-        out[name] = b[start:start + length].decode("cp932", errors="replace").strip()
-        max_end = max(max_end, start + length)
-    if max_end < len(b):
-        out["raw_body"] = b[max_end:].decode("cp932", errors="replace").strip()
+def _encoded(values: list[str]) -> list[bytes | None]:
+    """cp932 of each value, None where it has none: one encoding of the whole
+    batch, cut at a separator that no value holds. Only a batch with a value
+    that can't be encoded is encoded value by value."""
+    if not any("\x00" in v for v in values):
+        try:
+            return "\x00".join(values).encode("cp932").split(b"\x00") if values else []
+        except UnicodeEncodeError:
+            pass
+    out: list[bytes | None] = []
+    for v in values:
+        try:
+            out.append(v.encode("cp932"))
+        except UnicodeEncodeError:
+            out.append(None)
     return out
 
 
+def _texts(pieces: list[bytes]) -> list[str]:
+    """Stripped text of each piece, broken bytes replaced. No cp932 sequence
+    reaches past a zero byte, so pieces without one are decoded together."""
+    if any(b"\x00" in p for p in pieces):
+        return [p.decode("cp932", errors="replace").strip() for p in pieces]
+    return [t.strip() for t in b"\x00".join(pieces).decode("cp932", errors="replace").split("\x00")] if pieces else []
+
+
 _STRING_FIELDS = [f.name for f in PARSED_SCHEMA.fields if f.name != "_parsed"]
 
 
+def parse_batch(raw: list[str | None]) -> dict[str, np.ndarray]:
+    """Landing fields of a batch of records, as columns: records are grouped by
+    type, and each field of a layout is one slice of all its records."""
+    n = len(raw)
+    out = {name: np.full(n, None, dtype=object) for name in [f.name for f in PARSED_SCHEMA.fields]}
+    spec = np.array([v[:2] if v is not None and len(v) >= 2 else None for v in raw], dtype=object)
+    short = np.array([s is None for s in spec], dtype=bool)
+    out["error"][short] = ERROR_TOO_SHORT
+    out["record_type"][~short] = spec[~short]
+    known = np.array([s in SPECS for s in spec], dtype=bool)
+    out["_parsed"][~short & ~known] = False
+    for name in {s for s in spec[known]}:
+        at = np.flatnonzero(spec == name)
+        body = _encoded([raw[i] for i in at])
+        bad = np.array([b is None for b in body], dtype=bool)
+        out["error"][at[bad]] = ERROR_ENCODING
+        at, body = at[~bad], [b for b in body if b is not None]
+        out["_parsed"][at] = True
+        for field, start, length in SPECS[name]:
+            out[field][at] = _texts([b[start:start + length] for b in body])
+        end = max(start + length for _, start, length in SPECS[name])
+        longer = np.array([len(b) > end for b in body], dtype=bool)
+        out["raw_body"][at[longer]] = _texts([b[end:] for b in body if len(b) > end])
+    return out
+
+
+def parse_record(raw: str | None) -> dict:
+    """One record -> dict of present keys."""
+    return {k: v[0] for k, v in parse_batch([raw]).items() if v[0] is not None}
+
+
 @F.pandas_udf(PARSED_SCHEMA)
 def _parse_udf(raw: pd.Series) -> pd.DataFrame:
-    rows = [parse_record(v) for v in raw]
-    out = {name: pd.array([r.get(name) for r in rows], dtype="string") for name in _STRING_FIELDS}
-    out["_parsed"] = pd.array([r.get("_parsed") for r in rows], dtype="boolean")
+    out = parse_batch([None if v is None or v != v else v for v in raw])
+    out["_parsed"] = pd.array(out["_parsed"], dtype="boolean")
     return pd.DataFrame(out, columns=[f.name for f in PARSED_SCHEMA.fields])
 
 
-@F.pandas_udf(T.BinaryType())
-def cp932_bytes(raw: pd.Series) -> pd.Series:
-    """cp932 bytes of each record, unencodable characters replaced."""
-    return raw.map(lambda v: None if v is None else v.encode("cp932", errors="replace"))
-
-
 def ingest_time() -> Column:
     """ISO local time of the batch, evaluated once per query."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -130,20 +162,42 @@ def lane(df: DataFrame) -> Column:
             .otherwise(F.lit("parsed")))
 
 
-def layout_profile(df: DataFrame, lo: int, hi: int, raw_col: str = "raw_data",
+def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records by (type, offset, byte), counted per batch and type."""
+    for batch in batches:
+        types = batch.column("record_type").to_pylist()
+        groups: dict[str | None, list[bytes]] = {}
+        for t, v in zip(types, batch.column("raw").to_pylist(), strict=True):
+            if v is not None:
+                groups.setdefault(t, []).append(v.encode("cp932", errors="replace"))
+        cols: list[list] = [[], [], [], []]
+        for t, records in groups.items():
+            size = np.array([len(b) for b in records])
+            begin = np.cumsum(size) - size
+            offset = np.arange(size.sum()) - np.repeat(begin, size)
+            key, n = np.unique(offset * 256 + np.frombuffer(b"".join(records), np.uint8), return_counts=True)
+            for col, v in zip(cols, ([t] * len(key), (key // 256).tolist(), (key % 256).tolist(), n.tolist()), strict=True):
+                col += v
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
+                                         names=["record_type", "offset", "byte", "n"])
+
+
+def layout_profile(df: DataFrame, lo: int = 0, hi: int | None = None, raw_col: str = "raw_data",
                    by: str | None = "record_type") -> DataFrame:
     """Byte-layout profile over *all* records (P9): for each offset in
-    [lo, hi), how many records reach it, how many distinct byte values it
-    takes and the smallest / largest byte (hex)."""
-    b = df.select(*([F.col(by).alias("record_type")] if by else []), cp932_bytes(F.col(raw_col)).alias("_b"))
-    x = b.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("offset")) \
-         .filter(F.length("_b") > F.col("offset")) \
-         .select(*(["record_type"] if by else []), "offset",
-                 F.hex(F.substring("_b", F.col("offset") + 1, 1)).alias("byte_hex"))
+    [lo, hi), or of the whole record, how many records reach it, how many
+    distinct byte values it takes and the smallest / largest byte (hex). Each
+    batch sends counts by type, offset and byte, not its bytes."""
+    src = df.select((F.col(by) if by else F.lit(None)).cast("string").alias("record_type"), F.col(raw_col).alias("raw"))
+    x = src.mapInArrow(_byte_counts, "record_type string, offset long, byte long, n long").filter(F.col("offset") >= lo)
+    if hi is not None:
+        x = x.filter(F.col("offset") < hi)
     keys = (["record_type"] if by else []) + ["offset"]
-    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"),
-                                F.count_distinct("byte_hex").alias("n_distinct"),
-                                F.min("byte_hex").alias("min_hex"), F.max("byte_hex").alias("max_hex"))
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    return (x.groupBy(*keys).agg(F.sum("n").alias("n_records"), F.count_distinct("byte").alias("n_distinct"),
+                                 F.min("byte").alias("_lo"), F.max("byte").alias("_hi"))
+            .select(*[F.col(k).cast("int") if k == "offset" else F.col(k) for k in keys], "n_records", "n_distinct",
+                    two("_lo").alias("min_hex"), two("_hi").alias("max_hex")))
 
 
 def check_projection(landing: DataFrame, record_type: str, fields: list[str], n: int = 5,

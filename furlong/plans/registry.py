@@ -138,6 +138,14 @@ def q_form_history(spark, d):
                        "distance", "surface", "time_sec", F.col("rn").cast("long").alias("rn"))
 
 
+def q_form_history_before(spark, d):
+    """The newest runs before each race, as known on the race's day."""
+    m = model(spark, d)
+    hist = form.form_history(form.analysis_entries(m["entries"]), m["history"], before_race=True, races=m["races"])
+    return hist.select("race_id", "wakuban", "umaban", "ketto_num", "bamei", "race_date", "rank", "popularity",
+                       "distance", "surface", "time_sec", F.col("rn").cast("long").alias("rn"))
+
+
 def q_form_features(spark, d):
     _, targets, e, runs = _analysis_parts(spark, d)
     f = form.form_features(runs, targets)
@@ -231,7 +239,7 @@ def q_sample_by_type(spark, d):
 
 def q_layout_profile(spark, d):
     t = B.text_records(spark, d)
-    return parse.layout_profile(t.withColumn("record_type", F.substring("raw_data", 1, 2)), 0, 32)
+    return parse.layout_profile(t.withColumn("record_type", F.substring("raw_data", 1, 2)))
 
 
 def q_check_projection(spark, d):
@@ -366,6 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "race_id_parts": q_race_id_parts,
     "code_lookup": q_code_lookup,
     "form_history": q_form_history,
+    "form_history_before": q_form_history_before,
     "form_features": q_form_features,
     "field_speed_z": q_field_speed_z,
     "speed_lookup": q_speed_lookup,
@@ -410,6 +419,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "race_id_parts": O.q_race_id_parts,
     "code_lookup": O.q_code_lookup,
     "form_history": O.q_form_history,
+    "form_history_before": O.q_form_history_before,
     "form_features": O.q_form_features,
     "field_speed_z": O.q_field_speed_z,
     "speed_lookup": O.q_speed_lookup,
