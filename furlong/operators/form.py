@@ -82,7 +82,10 @@ def analysis_entries(entries: DataFrame, race_id: str | None = None) -> DataFram
 
 
 def history_runs(history: DataFrame) -> DataFrame:
-    """Typed past runs keyed by the NFKC-normalised, trimmed horse name."""
+    """Typed past runs keyed by the NFKC-normalised, trimmed horse name; a
+    history that was stored in this form is taken as it is."""
+    if {"name_norm", *HISTORY_COLS} == set(history.columns):
+        return history
     return history.select(
         nfkc(trim_ws("horse_name")).alias("name_norm"),
         F.col("race_date").cast("date").alias("race_date"),
@@ -146,15 +149,16 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
     NFKC name of the entry) for the later name lookup.
 
     ``only_entry_names`` (used for a single race) first keeps only the runs
-    whose name belongs to one of the entries: a LEFT SEMI join against a
-    handful of names, which AQE broadcasts; exact, because the top-n window
+    whose name belongs to one of the entries; exact, because the top-n window
     below is partitioned by that same name.
     """
     runs = history_runs(history)
     e = entries.withColumn("name_norm", nfkc(F.col("bamei")))
     if only_entry_names:
-        names = e.select(F.col("name_norm").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
-        runs = runs.join(names, runs.name_norm == names._n, "left_semi")
+        # a race has at most a hundred runners; the literal names reach the scan,
+        # where a history stored by name prunes all other row groups
+        names = [r.name_norm for r in e.select("name_norm").filter(F.col("name_norm").isNotNull()).distinct().collect()]
+        runs = runs.filter(F.col("name_norm").isin(names))
     r = runs.withColumnRenamed("name_norm", "_run_name")
     if before_race:
         if races is None:
@@ -178,6 +182,11 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
     return j.withColumn("rn", F.row_number().over(w))
 
 
+def store_history(history: DataFrame, path: str) -> None:
+    """Store past runs normalised once and sorted by name, for single reads."""
+    history_runs(history).repartitionByRange("name_norm").sortWithinPartitions("name_norm").write.parquet(path)
+
+
 def form_history(entries: DataFrame, history: DataFrame, n: int = 5,
                  before_race: bool = False, races: DataFrame | None = None) -> DataFrame:
     """Last ``n`` runs per entry, matched by normalised name and pooled per

@@ -197,3 +197,16 @@ def race_card(races: DataFrame, entries: DataFrame, race_id: str | None = None)
         return card.orderBy(*order).drop("_uma_n", "_uma")
     # every card: clustered by race and sorted within partitions, no global sort
     return card.repartition("race_id").sortWithinPartitions(*order).drop("_uma_n", "_uma")
+
+
+def race_page(races: DataFrame, entries: DataFrame, race_ids: list[str]) -> DataFrame:
+    """One row per asked race id (C8, C14): whether the race exists, how many
+    runners it has, and its header (NULL when there is no such race). A race
+    without runners is found, with none. Ids are validated first."""
+    spark = races.sparkSession
+    asked = spark.createDataFrame([(validate_race_id(i),) for i in race_ids], "race_id string").distinct()
+    header = race_header(races.filter(F.col("race_id").isin(race_ids)))
+    runners = entries.filter(F.col("race_id").isin(race_ids)).groupBy("race_id").agg(F.count(F.lit(1)).alias("n_runners"))
+    return (asked.join(header, "race_id", "left").join(runners, "race_id", "left")
+            .select("race_id", F.col("kaisai_basho").isNotNull().alias("found"), F.coalesce("n_runners", F.lit(0)).alias("n_runners"),
+                    "kaisai_date", "kaisai_basho", "race_no", "race_name", "kyori", "course"))

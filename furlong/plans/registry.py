@@ -85,14 +85,24 @@ def _min_race(races: DataFrame) -> str:
     return races.agg(F.min("race_id")).first()[0]
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _served(spark, d):
-    """The serving tables as stored tables (as the layered build writes them),
-    so a single-race read is a filtered scan rather than a rebuild."""
-    from furlong.session import materialize
-    m = model(spark, d)
-    m["races"] = materialize(m["races"], "serving-races")
-    m["entries"] = materialize(m["entries"], "serving-entries")
-    return m
+    """Serving tables, history and master as stored tables, built once per
+    application and data folder: a single-race read filters them by race id
+    and by name, as it would in service, and rebuilds nothing."""
+    key = (spark.sparkContext.applicationId, d)
+    names = ("races", "entries", "history", "master")
+    if key not in _STORED:
+        base = _scratch(spark, "served")
+        m = model(spark, d)
+        for n in ("races", "entries"):
+            m[n].repartitionByRange("race_id").sortWithinPartitions("race_id").write.parquet(f"{base}/{n}")
+        form.store_history(m["history"], f"{base}/history")
+        B.derived_master(m["history"]).repartitionByRange("horse_name").write.parquet(f"{base}/master")
+        _STORED[key] = base
+    return {n: spark.read.parquet(f"{_STORED[key]}/{n}") for n in names}
 
 
 def q_race_card_one(spark, d):
@@ -174,10 +184,26 @@ def q_race_analysis_all(spark, d):
 
 def q_race_analysis_one(spark, d):
     m = _served(spark, d)
-    return form.race_analysis(m["races"], m["entries"], m["history"], B.derived_master(m["history"]),
+    return form.race_analysis(m["races"], m["entries"], m["history"], m["master"],
                               race_id=_min_race(m["races"]), as_of=AS_OF)
 
 
+UNKNOWN_RACE = "0000000000000000"
+
+
+def q_race_page(spark, d):
+    m = _served(spark, d)
+    return serving.race_page(m["races"], m["entries"], [_min_race(m["races"]), UNKNOWN_RACE])
+
+
+def q_analysis_no_master(spark, d):
+    """The analysis where no index was ever built: speed from the field alone."""
+    from furlong.sources import tables
+    m = model(spark, d)
+    master = tables.optional_table(spark, _scratch(spark, "no-master"), form.MASTER_SCHEMA)
+    return form.race_analysis(m["races"], m["entries"], m["history"], master, as_of=AS_OF)
+
+
 def q_analysis_score(spark, d):
     a = q_race_analysis_all(spark, d)
     return a.select("race_id", "umaban", "analysis_score", codes.score_band("analysis_score").alias("score_band"))
@@ -330,33 +356,127 @@ def q_reparse_backfill(spark, d):
         passthrough.alias("passthrough"), F.when(passthrough, F.col("line")).alias("line"))
 
 
-def q_layered_build(spark, d):
+def _built(spark, d, only=None):
     from furlong.plans import runner
     from furlong.sources import landing, tables
     base = _scratch(spark, "warehouse")
     raw = tables.layer_path(base, "raw")
+    if only:
+        tables.replace_table(B.history(spark, d), f"{raw}/analysis_view")
     landing.append_raw(B.raw_ra(spark, d), raw, "RA")
     landing.append_raw(B.raw_se(spark, d), raw, "SE")
-    landing.overwrite(B.results(spark, d), f"{raw}/race_results")
-    ctx = runner.run_steps(spark, base, None, as_of=AS_OF, prefix="w" + base.rsplit("-", 1)[-1])
-    return ctx.outputs["quality_report"]
+    tables.replace_table(B.results(spark, d), f"{raw}/race_results")
+    ctx = runner.run_steps(spark, base, only or sorted(runner.STEPS)[:3], as_of=AS_OF, prefix="w" + base.rsplit("-", 1)[-1])
+    return ctx
 
 
-def q_stream_ingest(spark, d):
+def q_layered_build(spark, d):
+    return _built(spark, d).outputs["quality_report"]
+
+
+def q_fitted_speed_lookup(spark, d):
+    """Raw tables -> serving tables and fitted index, all stored -> every
+    runner's speed figures from the stored master."""
+    from furlong.plans import runner
+    ctx = _built(spark, d, sorted(runner.STEPS))
+    races, entries = ctx.read("serving", "serving_races"), ctx.read("serving", "serving_entries")
+    runs = form.form_runs(form.analysis_entries(entries), ctx.read("raw", "analysis_view"))
+    z = form.field_speed_z(form.form_features(runs, form.target_races(races)))
+    s = form.speed_lookup(z, ctx.read("ml", "speed_index_master"))
+    return s.select("race_id", "umaban", "ketto_num", F.round("speed_index_final", 4).alias("speed_index_final"),
+                    F.round("speed_factor", 5).alias("speed_factor"), "speed_source")
+
+
+def _streamed(spark, d, merge_types=None, replay=False):
+    """Two landings whose keys overlap, each ingested as a micro-batch: all
+    records, then the runners with an odd number again, renamed."""
     from furlong.sources import landing
     from furlong.streaming import ingest
-    land = _scratch(spark, "stream-landing")
+    land, work = _scratch(spark, "stream-landing"), _scratch(spark, "stream")
     p = q_parse_fixed_width(spark, d)
-    key = [F.col(c) for c in latest.MERGE_KEYS["SE"]]
-    odd = F.coalesce(F.col("Year").try_cast("long") % 2, F.lit(1))
-    for parity in (0, 1):   # two landings with disjoint keys, each key in one file
-        landing.write_landing(p.filter(odd == parity).repartition(4, *key), land)
-    work = _scratch(spark, "stream")
-    ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", max_files_per_trigger=16)
+    again = p.filter((F.col("record_type") == "SE") & (F.col("Umaban").try_cast("int") % 2 == 1)).withColumn("Bamei", F.concat(F.lit("R"), "Bamei"))
+    for name, rows in (("first", p), ("second", again)):
+        landing.write_landing(rows, f"{land}/{name}")
+        ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", merge_types)
+    if replay:
+        lines = spark.read.option("recursiveFileLookup", "true").text(f"{land}/second")
+        ingest.make_batch_handler(f"{work}/raw", f"{work}/core", merge_types)(landing.parse_json_lines(lines), 1)
+    return work
+
+
+def q_stream_ingest(spark, d):
+    from furlong.operators.parse import LANDING_COLUMNS
+    from furlong.sources import tables
+    return tables.read_latest_version(spark, f"{_streamed(spark, d)}/core/SE_latest").select(*LANDING_COLUMNS)
+
+
+def q_stream_replay(spark, d):
+    """A replayed micro-batch leaves both the raw and the latest table alone."""
+    from furlong.operators.parse import LANDING_COLUMNS
+    from furlong.sources import landing, tables
+    work = _streamed(spark, d, replay=True)
+    latest_se = tables.read_latest_version(spark, f"{work}/core/SE_latest").select(F.lit("latest").alias("kind"), *LANDING_COLUMNS)
+    return latest_se.unionByName(landing.read_raw(spark, f"{work}/raw", "SE").select(F.lit("raw").alias("kind"), *LANDING_COLUMNS))
+
+
+def q_stream_raw_latest(spark, d):
+    """The build's latest table from streamed raw rows."""
+    from furlong.operators.parse import LANDING_COLUMNS
+    from furlong.sources import landing
+    return latest.latest_entries(landing.read_raw(spark, f"{_streamed(spark, d)}/raw", "SE").select(*LANDING_COLUMNS))
+
+
+def q_merge_types(spark, d):
+    """Only the selected types have a latest table."""
     from furlong.sources import tables
-    out = tables.read_latest_version(spark, f"{work}/core/SE_latest")
+    work = _streamed(spark, d, merge_types=" ra, jg")
+    out = None
+    for t in sorted(latest.MERGE_KEYS):
+        table = tables.read_latest_version(spark, f"{work}/core/{t}_latest")
+        n = (table if table is not None else spark.createDataFrame([], "x int")).agg(F.lit(t).alias("record_type"), F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def q_landing_file_names(spark, d):
+    """Files named <TYPE>_<day>_<part>.jsonl: the type comes from the name."""
     from furlong.operators.parse import LANDING_COLUMNS
-    return out.select(*LANDING_COLUMNS)
+    from furlong.sources import fs, landing
+    root = _scratch(spark, "named-landing")
+    p = q_parse_fixed_width(spark, d)
+    for t in ("RA", "SE"):
+        rows = p.filter(F.col("record_type") == t).select(F.to_json(F.struct(*LANDING_COLUMNS)).alias("value"))
+        rows.write.text(f"{root}/in-{t}")
+        for k, name in enumerate(x for x in fs.list_files(spark, f"{root}/in-{t}") if x.startswith("part-")):
+            fs.rename(spark, f"{root}/in-{t}/{name}", f"{root}/in-{t}/{t}_20240101_{k}.jsonl")
+    both = landing.read_landing(spark, f"{root}/in-*", reference_names=True)
+    return both.groupBy("file_type", "Year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_data").alias("n_raw"))
+
+
+def q_landing_extra_fields(spark, d):
+    """JSON fields outside the layout survive landing, raw append and read."""
+    from furlong.operators.parse import LANDING_COLUMNS
+    from furlong.sources import landing
+    land, raw = _scratch(spark, "extra-landing"), _scratch(spark, "extra-raw")
+    p = q_parse_fixed_width(spark, d).filter(F.col("record_type") == "RA")
+    weather = F.concat(F.lit("w"), (F.length("raw_data") % 5).cast("string"))
+    p.select(F.to_json(F.struct(*LANDING_COLUMNS, weather.alias("weather"))).alias("value"), F.lit("RA").alias("type_tag"), F.lit("20240101").alias("ingest_date")) \
+        .write.partitionBy("type_tag", "ingest_date").text(land)
+    landing.append_raw(landing.landing_rows(landing.read_landing(spark, land)), raw, "RA", 0)
+    back = landing.read_raw(spark, raw, "RA")
+    return back.groupBy(F.col("extra_fields")["weather"].alias("weather"), F.size("extra_fields").alias("n_extra")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_parse_full_width(spark, d):
+    """Runner records whose names are full-width: two cp932 bytes a character."""
+    names = F.rpad(F.translate(F.concat(F.lit("H"), F.col("l_partkey").cast("string")), "H0123456789", "Ｈ０１２３４５６７８９"), 18, "　")
+    ln = F.col("l_linenumber")
+    raw = B.table(spark, d, "lineitem").select(F.concat(
+        F.lit("SE7"), F.date_format("l_shipdate", "yyyyMMdd"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("05010203"),
+        ((ln + 1) / 2).cast("long").cast("string"), F.lpad(ln.cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 10, "0"),
+        names, F.lit(" 後"), F.col("l_returnflag")).alias("raw_data"))
+    p = parse.parse_records(raw, fetched_at=FETCHED_AT)
+    return p.select("record_type", "MakeDate", "Year", "MonthDay", "JyoCD", "Kaiji", "Nichiji", "RaceNum", "Wakuban", "Umaban", "KettoNum", "Bamei", "raw_body")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -402,6 +522,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reparse_backfill": q_reparse_backfill,
     "layered_build": q_layered_build,
     "stream_ingest": q_stream_ingest,
+    "stream_replay": q_stream_replay,
+    "stream_raw_latest": q_stream_raw_latest,
+    "merge_types": q_merge_types,
+    "landing_file_names": q_landing_file_names,
+    "landing_extra_fields": q_landing_extra_fields,
+    "parse_full_width": q_parse_full_width,
+    "race_page": q_race_page,
+    "analysis_no_master": q_analysis_no_master,
+    "fitted_speed_lookup": q_fitted_speed_lookup,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -447,4 +576,13 @@ ORACLE: dict[str, Callable[[], str]] = {
     "reparse_backfill": O.q_reparse_backfill,
     "layered_build": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
     "stream_ingest": O.q_stream_ingest,
+    "stream_replay": O.q_stream_replay,
+    "stream_raw_latest": O.q_stream_raw_latest,
+    "merge_types": O.q_merge_types,
+    "landing_file_names": O.q_landing_file_names,
+    "landing_extra_fields": O.q_landing_extra_fields,
+    "parse_full_width": O.q_parse_full_width,
+    "race_page": lambda: O.q_race_page(UNKNOWN_RACE),
+    "analysis_no_master": O.q_analysis_no_master,
+    "fitted_speed_lookup": O.q_fitted_speed_lookup,
 }

@@ -1,16 +1,16 @@
 """Named build steps run in name order, or a chosen subset in the given
-order (S11), over the layered tables (S7, S10), with the merge-type selector
-(C20). Each step is a DataFrame plan written to its layer."""
+order (S11), over the layered tables (S6, S7, S10). Each step is a DataFrame
+plan written to its layer."""
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.operators import latest, quality, serving
+from furlong.operators import latest, quality, serving, speed_index
+from furlong.operators.form import empty_master
 from furlong.sources import tables
 from furlong.sources.landing import read_raw
 
@@ -31,6 +31,8 @@ class BuildContext:
 
 def step_create_layers(ctx: BuildContext) -> None:
     tables.create_layers(ctx.spark, ctx.base, ctx.params.get("prefix", "furlong"))
+    # an empty master until the index is built, so that the analysis can read it
+    tables.create_like(ctx.spark, empty_master(ctx.spark), ctx.path("ml", "speed_index_master"))
 
 
 def step_build_serving_tables(ctx: BuildContext) -> None:
@@ -52,27 +54,36 @@ def step_quality_checks(ctx: BuildContext) -> None:
         ctx.read("serving", "serving_races"), ctx.read("serving", "serving_entries"), ctx.params.get("as_of"))
 
 
-STEPS: OrderedDict[str, Callable[[BuildContext], None]] = OrderedDict([
-    ("01_create_layers", step_create_layers),
-    ("02_build_serving_tables", step_build_serving_tables),
-    ("03_quality_checks", step_quality_checks),
-])
+def step_build_speed_index(ctx: BuildContext) -> None:
+    """Fit the index on ``raw/analysis_view`` and replace master and baseline."""
+    master = speed_index.speed_index_master(ctx.read("raw", "analysis_view"), as_of=ctx.params.get("as_of"))
+    tables.replace_table(master, ctx.path("ml", "speed_index_master"))
+    tables.replace_table(speed_index.speed_index_baseline(ctx.read("ml", "speed_index_master")),
+                         ctx.path("ml", "speed_index_baseline"))
+
+
+STEPS: dict[str, Callable[[BuildContext], None]] = {
+    "01_create_layers": step_create_layers,
+    "02_build_serving_tables": step_build_serving_tables,
+    "03_quality_checks": step_quality_checks,
+    "04_build_speed_index": step_build_speed_index,
+}
+
+
+class UnknownStep(LookupError):
+    pass
 
 
 def resolve_steps(only: str | list[str] | None = None) -> list[str]:
-    """All steps in name order, or the named subset in the given order;
-    an unknown name or an empty selection is an error."""
-    if not only:
-        names = sorted(STEPS)
-    else:
-        items = only.split(",") if isinstance(only, str) else list(only)
-        names = [n.strip() for n in items if n.strip()]
-        for n in names:
-            if n not in STEPS:
-                raise FileNotFoundError(f"build step not found: {n}")
-    if not names:
-        raise FileNotFoundError("no build steps selected")
-    return names
+    """Names of the steps to run: all in name order, or those asked for, in
+    the order asked for, as a list or as text with commas."""
+    if only is None or only == "" or only == []:
+        return sorted(STEPS)
+    asked = [x for x in map(str.strip, only.split(",") if isinstance(only, str) else only) if x]
+    unknown = [x for x in asked if x not in STEPS]
+    if unknown or not asked:
+        raise UnknownStep(f"no such step: {', '.join(unknown)}" if unknown else "no step was named")
+    return asked
 
 
 def run_steps(spark: SparkSession, base: str, only=None, **params) -> BuildContext:

@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,20 @@ from furlong.functions.text import trim_ws
 from furlong.operators.parse import LANDING_COLUMNS, LANDING_SCHEMA, parse_records
 
 CORRUPT = "_corrupt_record"
+EXTRA = "extra_fields"
 READ_SCHEMA = T.StructType(list(LANDING_SCHEMA.fields) + [T.StructField(CORRUPT, T.StringType())])
+RAW_COLUMNS = [*LANDING_COLUMNS, EXTRA]
+
+
+def parse_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """JSON text lines -> landing columns, a ``map`` of all fields outside the
+    landing schema (NULL when there are none), and the malformed line, if it is
+    one. Blank lines are dropped; other columns of ``lines`` are kept."""
+    rec = F.from_json(value, READ_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rest = F.map_filter(F.from_json(value, T.MapType(T.StringType(), T.StringType())), lambda k, v: ~k.isin(LANDING_COLUMNS) & v.isNotNull())
+    others = [c for c in lines.columns if c != value]
+    return (lines.filter(trim_ws(value) != "").withColumn("_rec", rec).withColumn("_rest", rest)
+            .select(*others, "_rec.*", F.when(F.size("_rest") > 0, F.col("_rest")).alias(EXTRA)))
 
 
 def file_record_type(file_name: Column) -> Column:
@@ -32,19 +47,12 @@ def read_landing(spark: SparkSession, path: str, reference_names: bool = False)
     """Read landing JSONL (S1, S2, S13). With ``reference_names`` the record
     type comes from ``<TYPE>_<date>.jsonl`` file names (files with a blank
     type are skipped); otherwise from the ``type_tag`` partition folder."""
-    reader = (spark.read.schema(READ_SCHEMA).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT))
     if reference_names:
-        df = reader.option("pathGlobFilter", "*.jsonl").json(path)
-        df = df.withColumn("source_file", F.col("_metadata.file_name"))
-        return df.withColumn("file_type", file_record_type(F.col("source_file"))) \
-                 .filter(F.col("file_type").isNotNull())
-    schema = T.StructType(list(READ_SCHEMA.fields) + [T.StructField("type_tag", T.StringType()),
-                                                      T.StructField("ingest_date", T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .json(path))
-    return df.withColumn("source_file", F.col("_metadata.file_name")) \
-             .withColumnRenamed("type_tag", "file_type")
+        lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
+        df = parse_json_lines(lines.withColumn("source_file", F.col("_metadata.file_name")))
+        return df.withColumn("file_type", file_record_type(F.col("source_file"))).filter(F.col("file_type").isNotNull())
+    lines = spark.read.schema("value string, type_tag string, ingest_date string").text(path)
+    return parse_json_lines(lines.withColumn("source_file", F.col("_metadata.file_name"))).withColumnRenamed("type_tag", "file_type")
 
 
 def write_landing(parsed: DataFrame, path: str, mode: str = "append") -> None:
@@ -63,26 +71,28 @@ def land_records(raw: DataFrame, path: str, raw_col: str = "raw_data", fetched_a
 
 def landing_rows(df: DataFrame) -> DataFrame:
     """Only the landing columns of a read (drops read metadata)."""
-    return df.select(*LANDING_COLUMNS)
+    return df.select(*[c for c in RAW_COLUMNS if c in df.columns])
 
 
 def append_raw(df: DataFrame, raw_root: str, record_type: str, batch: str | int | None = None) -> None:
-    """Append a batch to the raw table of a type (S4). New fields are
-    allowed: raw tables are read with ``mergeSchema``. With ``batch`` the
-    rows go to their own folder, overwritten on replay."""
-    if batch is None:
-        df.write.mode("append").parquet(f"{raw_root}/{record_type}")
-    else:
-        df.write.mode("overwrite").parquet(f"{raw_root}/{record_type}/batch={batch}")
+    """Append a batch to the raw table of a type (S4), in a folder of its own:
+    ``type=<TYPE>/batch=<batch>``, overwritten when the batch is replayed. New
+    columns are allowed: raw tables are read with ``mergeSchema``."""
+    df.write.mode("overwrite").parquet(f"{raw_root}/type={record_type}/batch={uuid.uuid4().hex if batch is None else batch}")
 
 
-def read_raw(spark: SparkSession, raw_root: str, record_type: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{raw_root}/{record_type}")
+def append_raw_batch(df: DataFrame, raw_root: str, record_type: Column, batch: str | int) -> None:
+    """The same for a batch of many types, in one write."""
+    (df.withColumns({"type": record_type, "batch": F.lit(str(batch))}).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("type", "batch").parquet(raw_root))
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Truncate-and-load."""
-    df.write.mode("overwrite").parquet(path)
+def read_raw(spark: SparkSession, raw_root: str, record_type: str, batch: str | int | None = None) -> DataFrame:
+    """Raw rows of a type, or of one batch of it."""
+    path = f"{raw_root}/type={record_type}"
+    if batch is not None:
+        return spark.read.parquet(f"{path}/batch={batch}")
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("batch")
 
 
 def reparse_lines(spark: SparkSession, input_path: str, fetched_default: str = "") -> DataFrame:
