@@ -208,12 +208,79 @@ def test_empty_master_falls_back(frames):
     assert {r["speed_source"] for r in got} == {"fallback"}
 
 
-def test_before_race_option_drops_later_runs(frames, spark):
-    races, entries, history, _ = frames
-    h = form.form_history(form.analysis_entries(entries), history, before_race=True, races=races).collect()
-    assert all(r["race_date"] is None or r["race_date"] < D(2024, 6, 30) for r in h)
+def test_runs_before_the_race_match_brute_force(spark):
+    """As-of runs over several years, with ties, several runs a day, runs on
+    the day itself, runs without a date, and entries without a match."""
+    import random
+    rnd = random.Random(4)
+    days = [D(2019, 1, 1) + dt.timedelta(days=37 * k) for k in range(45)]
+    runs = [(rnd.choice("abc"), rnd.choice(days), rnd.choice([1, 2, None]), rnd.choice([3, None]), 1000.0, rnd.choice(["芝", None]), rnd.choice([60.0, 61.0])) for _ in range(400)]
+    runs += [("a", None, 1, 1, 1000.0, "芝", 60.0), (None, days[3], 1, 1, 1000.0, "芝", 60.0), ("", days[3], 1, 1, 1000.0, "芝", 60.0)]
+    races = [(f"{k:016d}", rnd.choice(days), "東京", 1, "r", 1600, "芝") for k in range(30)] + [(f"{99:016d}", None, "東京", 1, "r", 1600, "芝")]
+    entries = [(r[0], "1", str(n), f"{r[0]}-{n}", name) for r in races for n, name in enumerate(["a", "b", "z", None, ""], 1)]
+    history = spark.createDataFrame(runs, "horse_name string, race_date date, rank int, popularity int, distance double, surface string, time_sec double")
+    race_df = spark.createDataFrame(races, "race_id string, kaisai_date date, kaisai_basho string, race_no int, race_name string, kyori int, course string")
+    entry_df = spark.createDataFrame(entries, "race_id string, wakuban string, umaban string, ketto_num string, bamei string")
+    got: dict = {}
+    for n in (1, 3, 5):
+        got = {}
+        for r in form.form_history(form.analysis_entries(entry_df), history, n=n, before_race=True, races=race_df).collect():
+            got.setdefault(r.ketto_num, []).append((r.rn, r.race_date, r.rank, r.popularity, r.surface, r.time_sec))
+        low = lambda x: (x is None, x)
+        date_of = {r[0]: r[1] for r in races}
+        for race, _, _, key, name in entries:
+            mine = [r for r in runs if name and r[0] == name and r[1] and date_of[race] and r[1] < date_of[race]]
+            mine.sort(key=lambda r: (-r[1].toordinal(), low(r[2]), low(r[3]), low(r[5]), low(r[6])))
+            want = [(i, r[1], r[2], r[3], r[5], r[6]) for i, r in enumerate(mine[:n], 1)] or [(1, None, None, None, None, None)]
+            assert sorted(got[key]) == want, (n, key)
     with pytest.raises(ValueError):
-        form.form_history(form.analysis_entries(entries), history, before_race=True)
+        form.form_history(form.analysis_entries(entry_df), history, before_race=True)
+
+
+def test_hot_name_is_split(spark):
+    """Four fifths of the entries share one name: the executed join is a skew join."""
+    from pyspark.sql import functions as F
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        name = F.when(F.col("id") % 5 > 0, F.lit("hot")).otherwise(F.concat(F.lit("h"), F.col("id").cast("string")))
+        e = spark.range(0, 60_000, 1, 12).select(F.format_string("%016d", (F.col("id") / 10).cast("long")).alias("race_id"), F.lit("1").alias("wakuban"),
+                                                 (F.col("id") % 10).cast("string").alias("umaban"), F.col("id").cast("string").alias("ketto_num"), name.alias("bamei"))
+        h = spark.range(200).select(F.lit("hot").alias("horse_name"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("race_date"), F.lit(1).alias("rank"),
+                                    F.lit(1).alias("popularity"), F.lit(1000.0).alias("distance"), F.lit("芝").alias("surface"), F.lit(60.0).alias("time_sec"))
+        out = form.form_runs(form.analysis_entries(e), h)
+        rows = out.filter("race_date is not null").collect()   # of this very plan
+        plan = out.filter("race_date is not null")
+        n = plan.groupBy().count()
+        assert len(rows) == 48_000 * 5 and n.collect()[0][0] == 48_000 * 5
+        assert "skew=true" in n._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_one_nan_changes_no_other_runner(frames, spark):
+    races, entries, history, master = frames
+    nan = float("nan")
+    odd = history.unionByName(spark.createDataFrame([("Gamma", D(2024, 6, 1), 9, 3, 1600.0, "芝", nan)], history.schema))
+    score = lambda h: {(r.race_id, r.umaban): r.analysis_score for r in form.race_analysis(races, entries, h, None, as_of=AS_OF).collect()}
+    before, after = score(history), score(odd)
+    assert {k: v for k, v in after.items() if k[1] != "03"} == {k: v for k, v in before.items() if k[1] != "03"}
+    assert all(v == v for v in after.values()) and after[("2024063005010101", "03")] < 100
+
+
+def test_race_page_tells_missing_from_empty(frames, spark):
+    from furlong.operators.serving import InvalidRaceId, race_page
+    races, entries, _, _ = frames
+    ids = ["2024063005010101", "2024063005010103", "2000010105010101"]
+    got = {r.race_id: r for r in race_page(races, entries.filter("race_id != '2024063005010103'"), ids).collect()}
+    assert [(got[i].found, got[i].n_runners) for i in ids] == [(True, 8), (True, 0), (False, 0)]
+    assert got[ids[1]].race_name == "C" and got[ids[2]].race_name is None
+    with pytest.raises(InvalidRaceId):
+        race_page(races, entries, ["x"])
 
 
 def test_null_keys_spread_and_never_match(spark):

@@ -56,9 +56,9 @@ def test_step_selection():
     assert runner.resolve_steps(None) == sorted(runner.STEPS)
     assert runner.resolve_steps("03_quality_checks, 02_build_serving_tables") == [
         "03_quality_checks", "02_build_serving_tables"]
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(runner.UnknownStep, match="99_missing"):
         runner.resolve_steps("99_missing")
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(runner.UnknownStep):
         runner.resolve_steps(" , ")
 
 
@@ -80,11 +80,71 @@ def test_stream_ingest_and_replay_is_idempotent(spark, scratch):
     se = tables.read_latest_version(spark, f"{scratch}/core/SE_latest")
     first = sorted(tuple(r) for r in se.select(*parse.LANDING_COLUMNS).collect())
     assert len(first) == 1 and first[0][parse.LANDING_COLUMNS.index("Bamei")] == "H999"   # tie: deterministic
-    assert spark.read.text(f"{scratch}/raw/_rejects").count() == 1
-    # replay the same batch id: same version rewritten from the same input
-    v = tables.versions(spark, f"{scratch}/core/SE_latest")[-1]
-    stage = landing.landing_rows(landing.read_landing(spark, land).filter(F.col("record_type") == "SE"))
-    tables.upsert_table(spark, f"{scratch}/core/SE_latest", stage, ["Year", "MonthDay", "JyoCD", "Kaiji",
-                                                                   "Nichiji", "RaceNum", "Umaban"], v)
+    assert landing.read_raw(spark, f"{scratch}/raw", ingest.REJECTS).select(landing.CORRUPT).collect()[0][0] == "{bad json"
+    assert landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 2
+    assert tables.read_latest_version(spark, f"{scratch}/core/RA_latest") is None    # no such rows: not merged
+    # replay the same batch: the same files from the same input
+    lines = spark.read.option("recursiveFileLookup", "true").text(land)
+    ingest.make_batch_handler(f"{scratch}/raw", f"{scratch}/core")(landing.parse_json_lines(lines), 0)
     again = tables.read_latest_version(spark, f"{scratch}/core/SE_latest")
     assert sorted(tuple(r) for r in again.select(*parse.LANDING_COLUMNS).collect()) == first
+    assert landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 2
+
+
+def test_fields_outside_the_layout_are_kept(spark, local_dir):
+    write(local_dir, "SE_20240101.jsonl", [json.dumps({"record_type": "SE", "weather": "rain", "temp": 21}), json.dumps({"record_type": "SE"}), "", "{oops"])
+    rows = landing.read_landing(spark, local_dir, reference_names=True).collect()
+    assert {tuple(sorted((r[landing.EXTRA] or {}).items())) for r in rows} == {(), (("temp", "21"), ("weather", "rain"))}
+    assert len(rows) == 3 and sum(r[landing.CORRUPT] is not None for r in rows) == 1
+
+
+KEYS = ["Year", "Umaban"]
+
+
+def rows_of(df):
+    return sorted((r.Year, r.Umaban, r.Bamei) for r in df.collect())
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, scratch):
+    from furlong.sources import fs
+    stage = lambda *r: spark.createDataFrame(r, "Year string, Umaban string, Bamei string")
+    path = f"{scratch}/latest"
+    assert tables.upsert_table(spark, path, stage(("2023", "1", "a"), ("2024", "1", "b"), (None, "1", "n")), KEYS, 1) == 1
+    assert tables.upsert_table(spark, path, stage(("2024", "1", "c"), ("2024", "2", "d"), ("", "1", "m")), KEYS, 2) == 2
+    assert [d for d in fs.list_dirs(spark, f"{path}/v={2:012d}")] == ["part=p", "part=p2024"]
+    assert rows_of(tables.read_latest_version(spark, path)) == [("", "1", "m"), ("2023", "1", "a"), ("2024", "1", "c"), ("2024", "2", "d")]
+    assert tables.upsert_table(spark, path, stage(), KEYS, 3) is None
+    assert tables.upsert_table(spark, path, stage(("2024", "1", "x")).drop("Umaban"), KEYS, 3) is None
+    # a version without its success mark was not committed
+    stage(("2024", "9", "half")).withColumn("part", F.lit("p2024")).write.partitionBy("part").parquet(f"{path}/v={4:012d}")
+    fs.delete(spark, f"{path}/v={4:012d}/_SUCCESS")
+    assert len(rows_of(tables.read_latest_version(spark, path))) == 4
+    assert tables.upsert_table(spark, path, stage(("2024", "1", "e")), KEYS, 5) == 5
+    gone = tables.expire_versions(spark, path, keep=1)
+    assert sorted(g[len(path) + 1:].replace("v=00000000000", "") for g in gone) == ["1/part=p", "1/part=p2024", "2/part=p2024"]
+    assert rows_of(tables.read_latest_version(spark, path)) == [("", "1", "m"), ("2023", "1", "a"), ("2024", "1", "e"), ("2024", "2", "d")]
+
+
+def test_replace_may_read_the_table_it_replaces(spark, scratch):
+    spark.range(5).write.parquet(f"{scratch}/t")
+    tables.replace_table(spark.read.parquet(f"{scratch}/t").filter("id > 2"), f"{scratch}/t")
+    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/t").collect()) == [3, 4]
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters(monkeypatch):
+    from furlong import session
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
