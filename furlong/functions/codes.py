@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions.text import to_str
 
-# JRA venue name -> two-digit venue code.
+# Venue name -> two-digit venue code.
 VENUE_CODES = {
     "札幌": "01", "函館": "02", "福島": "03", "新潟": "04", "東京": "05",
     "中山": "06", "中京": "07", "京都": "08", "阪神": "09", "小倉": "10",

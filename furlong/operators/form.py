@@ -348,14 +348,13 @@ def analysis_score(enriched: DataFrame, as_of=None) -> DataFrame:
 
 def race_analysis(races: DataFrame, entries: DataFrame, history: DataFrame,
                   master: DataFrame | None = None, race_id: str | None = None,
-                  as_of=None, n: int = 5, before_race: bool = False) -> DataFrame:
+                  as_of=None, n: int = 5, before_race: bool = False, ordered: bool = False) -> DataFrame:
     """Form-and-score analysis (C14) of one race (``race_id``) or of all races.
 
     The single-race form validates the id (``InvalidRaceId``) and pushes the
-    id filter to both serving-table scans. Output is clustered by race
-    (hash-partitioned by race_id) and sorted within each partition by race
-    and numeric horse number: the display order of every race card without
-    a global sort of all runners.
+    id filter to both serving-table scans, and is in display order (numeric
+    horse number). All races come unsorted; ``ordered=True`` clusters them by
+    race, in display order within each partition, at the cost of a shuffle.
     """
     if race_id is not None:
         validate_race_id(race_id)
@@ -370,4 +369,4 @@ def race_analysis(races: DataFrame, entries: DataFrame, history: DataFrame,
     order = ["race_id", F.col("umaban").try_cast("long").asc_nulls_first(), "umaban"]
     if race_id is not None:
         return out.orderBy(*order)
-    return out.repartition("race_id").sortWithinPartitions(*order)
+    return out.repartition("race_id").sortWithinPartitions(*order) if ordered else out
