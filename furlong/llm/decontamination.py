@@ -206,3 +206,31 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
            .select(F.col("doc_id").alias("bad_id"), F.col("k_text").alias("bad_text")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("text_"))
     return rows.join(bad, F.col("id_").eqNullSafe(F.col("bad_id")) & (F.col("text_") == F.col("bad_text")), "left_anti").select("row.*")
+
+
+ORACLE_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, w[k : k + least(10, len(w)) - 1] AS words
+  FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k) r WHERE len(w) > 0
+), doc_window AS (
+  SELECT rid, size, k, w[k : k + size - 1] AS words
+  FROM d, (SELECT DISTINCT size FROM item_window) z, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS k) r
+), hit AS (
+  SELECT rid, k, x.size, item FROM doc_window x JOIN item_window i ON x.words = i.words
+), marked AS (
+  SELECT rid, count(DISTINCT p) AS n FROM hit, LATERAL (SELECT unnest(range(k, k + size)) AS p) r GROUP BY rid
+), listed AS (
+  SELECT rid, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN listed USING (rid)
+"""

@@ -201,3 +201,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
 def q_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(read_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All pairs. The query may miss a link (its recall is measured); where it finds all, the two agree.
+ORACLE_EMBEDDINGS = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+  FROM embeddings
+), link AS (
+  SELECT a.rid AS x, b.rid AS y FROM v a JOIN v b ON a.sound AND b.sound AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), met AS (
+  SELECT rid AS x, rid AS y FROM v UNION SELECT met.x, link.y FROM met JOIN link ON met.y = link.x
+), root AS (
+  SELECT met.x AS rid, min(vec_id) AS component_id FROM met JOIN v ON v.rid = met.y GROUP BY met.x
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE x = rid) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN root USING (rid)
+"""

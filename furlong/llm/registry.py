@@ -17,5 +17,9 @@ QUERIES = {
     "op10_secret_battery": secrets.q_secrets,
 }
 ORACLE = {
+    "op1_prefix_decontamination": decontamination.ORACLE_DECONTAMINATION,
+    "op4_warc_capture_index": warc.ORACLE_WARC,
+    "op7_repeat_intervals": repeats.ORACLE_REPEATS,
+    "op8_quantised_embeddings": embeddings.ORACLE_EMBEDDINGS,
     "op9_low_discrepancy_mixing": mixing.ORACLE_MIXING,
 }
