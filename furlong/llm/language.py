@@ -156,10 +156,14 @@ def train(docs: DataFrame) -> Model | None:
     """Count all of ``docs`` (text, lang) with both not null."""
     rows = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram long, n long")
     counted = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = docs.filter("lang is not null and text is not null").select("lang").distinct().count()
+    langs = sorted(r.lang for r in docs.filter("lang is not null and text is not null").select("lang").distinct().collect())
+    if not langs:
+        return None
     most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = counted.withColumn("r", most).filter(F.col("r") <= grams_kept(langs)).select("lang", "gram", "n").toPandas()
-    return build_model({x: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for x, g in kept.groupby("lang")})
+    which = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int")
+    kept = counted.withColumn("r", most).filter(F.col("r") <= grams_kept(len(langs))).select(which.alias("which"), "gram", "n").toArrow()
+    which, gram, n = (c.to_numpy() for c in kept.columns)
+    return build_model({x: (gram[which == k].astype(np.uint32), n[which == k]) for k, x in enumerate(langs, 1)})
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
