@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.llm import bytesops as B
-from furlong.llm.common import read_table
+from furlong.llm.common import read_table, store
 
 ORDER = 3
 PAD = 0x0A
@@ -38,7 +38,8 @@ HOLD_OUT = (5, 0)
 UNKNOWN = "und"
 MODEL_CELLS = 1 << 26
 MOST_GRAMS = 1 << 18
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+SLICE = 1 << 19  # a score takes some 60 bytes a byte of text
 
 
 def grams_kept(languages: int) -> int:
@@ -76,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         which = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.uint64)
-        for i, j, data, offs in B.slices(batch.column("text")):
+        for i, j, data, offs in B.slices(batch.column("text"), SLICE):
             keys = grams(data, offs) | (np.repeat(which[i:j], np.diff(offs)) << np.uint64(32))
             keys, n = np.unique(keys, return_counts=True)
             parts.append((keys, n.astype(np.int64)))
@@ -167,8 +168,10 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` as a struct ``row``, with lang_pred and score."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    """lang_pred and score of each text of ``docs``, with its other columns as a
+    struct ``row``; the text itself isn't sent back."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             letter = batch.column("letter").to_numpy(zero_copy_only=False) & (m is not None)
             best, p = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j, data, offs in B.slices(batch.column("text")) if m else ():
+            for i, j, data, offs in B.slices(batch.column("text"), SLICE) if m else ():
                 full = np.flatnonzero(np.diff(offs))
                 if not len(full):
                     continue
@@ -205,4 +208,7 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter go."""
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    keyed = docs.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text"), "text")
+    bad = store(identify(keyed, model).filter(F.col("lang_pred") == UNKNOWN).select("row.*").distinct(), "rejected")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("text_"))
+    return rows.join(bad, F.col("id_").eqNullSafe(F.col("bad_id")) & (F.col("text_") == F.col("bad_text")), "left_anti").select("row.*")

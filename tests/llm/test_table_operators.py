@@ -278,7 +278,7 @@ def test_languages_of_odd_rows(spark, folder, messy, no_docs):
             assert (r.lang_pred == "und") == (not letter[r.doc_id]) and (r.score == 0) == (r.lang_pred == "und")
     assert {r.lang_pred for r in rows} <= {"en", "de", "ja", "und"}
     assert language.train(no_docs) is None
-    assert {tuple(r) for r in language.identify(messy.select("text"), None).select("lang_pred", "score").collect()} == {("und", 0.0)}
+    assert {tuple(r) for r in language.identify(messy.select("doc_id", "text"), None).select("lang_pred", "score").collect()} == {("und", 0.0)}
     kept = language.stage_language(spark, messy, "")
     assert kept.columns == messy.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, _, _ in messy_rows())
 
