@@ -9,9 +9,12 @@ are skipped for nothing, and below order 0 every byte costs 8 bits. Scoring
 never changes the counts: a text's code length under a language is the exact
 sum over its bytes, and the shortest code wins.
 
-Tasks add up their own counts before the shuffle. The model is the trees of
-all languages, at most ``grams_kept(languages)`` leaves each (those seen most
-often), and is what is broadcast: a fixed bound, whatever the corpus.
+Tasks add up their own counts before the shuffle. The trees keep every gram
+met. A text's code length under a language needs that language's tree alone,
+so the languages are cut into parts whose tables (leaves times languages) stay
+within ``MODEL_CELLS``; each part is a broadcast of its own, and where there
+are several a task holds one at a time and keeps the shortest code so far. A
+language's tree is not split: one with more leaves is a part by itself.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; with nothing to learn from, all are; ties go to the first language in code
@@ -25,7 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +40,11 @@ ORDER = 3
 PAD = 0x0A
 HOLD_OUT = (5, 0)
 UNKNOWN = "und"
-MODEL_CELLS = 1 << 26
-MOST_GRAMS = 1 << 18
+MODEL_CELLS = 1 << 25
 FLUSH = 1 << 20
 SLICE = 1 << 19  # a score takes some 60 bytes a byte of text
 
 
-def grams_kept(languages: int) -> int:
-    return max(1, min(MOST_GRAMS, MODEL_CELLS // max(1, languages) ** 2))
-
-
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """At each byte the code of the three bytes before it and itself; a text starts after ``PAD`` bytes."""
     sizes = np.diff(offs)
@@ -105,6 +104,8 @@ class Model:
             return self.order1[code & np.uint32(0xFFFF)]
         code = code & np.uint32((1 << 8 * (order + 1)) - 1)
         keys, table = self.full[order]
+        if not len(keys):
+            return self.bits(code, order - 1)
         at = np.searchsorted(keys, code)
         at[at == len(keys)] = 0
         out = table[at]
@@ -153,41 +154,77 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model | Non
     return Model(langs, full, escape, order1)
 
 
-def train(docs: DataFrame) -> Model | None:
-    """Count all of ``docs`` (text, lang) with both not null."""
-    rows = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram long, n long")
-    counted = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in docs.filter("lang is not null and text is not null").select("lang").distinct().collect())
-    if not langs:
-        return None
-    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    which = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int")
-    kept = counted.withColumn("r", most).filter(F.col("r") <= grams_kept(len(langs))).select(which.alias("which"), "gram", "n").toArrow()
-    which, gram, n = (c.to_numpy() for c in kept.columns)
-    return build_model({x: (gram[which == k].astype(np.uint32), n[which == k]) for k, x in enumerate(langs, 1)})
+@dataclass
+class Trained:
+    langs: list[str]
+    parts: list[tuple[int, Broadcast]]  # place of a part's first language, its Model
+
+
+def model_parts(leaves: list[tuple[str, int]]) -> list[list[str]]:
+    """Languages in order, cut where a part's table would pass ``MODEL_CELLS``."""
+    out: list[list[str]] = []
+    held = 0
+    for lang, n in leaves:
+        if out and (held + n) * (len(out[-1]) + 1) <= MODEL_CELLS:
+            out[-1].append(lang)
+            held += n
+        else:
+            out.append([lang])
+            held = n
+    return out
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def train(docs: DataFrame) -> Trained | None:
+    """Count all of ``docs`` (text, lang) with both not null."""
+    known = docs.select("lang", "text").filter("lang is not null and text is not null")
+    rows = known.mapInArrow(_count, "lang string, gram long, n long")
+    counted = store(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).sortWithinPartitions("lang", "gram"), "language-grams")
+    leaves = {r.lang: r.n for r in counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # languages that have only empty texts have no grams
+    leaves |= {r.lang: 0 for r in known.select("lang").distinct().collect() if r.lang not in leaves}
+    if not leaves:
+        return None
+    out = Trained(sorted(leaves), [])
+    first = 0
+    for part in model_parts(sorted(leaves.items())):
+        which = F.array_position(F.array(*[F.lit(x) for x in part]), F.col("lang")).cast("int")
+        which, gram, n = (c.to_numpy() for c in counted.filter(F.col("lang").isin(part)).select(which.alias("which"), "gram", "n").toArrow().columns)
+        model = build_model({x: (gram[which == k].astype(np.uint32), n[which == k]) for k, x in enumerate(part, 1)})
+        out.parts.append((first, docs.sparkSession.sparkContext.broadcast(model)))
+        first += len(part)
+    return out
+
+
+def identify(docs: DataFrame, model: Trained | None) -> DataFrame:
     """lang_pred and score of each text of ``docs``, with its other columns as a
     struct ``row``; the text itself isn't sent back."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    langs, parts = (model.langs, model.parts) if model else ([], [])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in batches:
-            letter = batch.column("letter").to_numpy(zero_copy_only=False) & (m is not None)
-            best, p = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j, data, offs in B.slices(batch.column("text"), SLICE) if m else ():
-                full = np.flatnonzero(np.diff(offs))
-                if not len(full):
-                    continue
-                bits = np.add.reduceat(m.bits(grams(data, offs)), offs[:-1][full], axis=0, dtype=np.float64)
-                best[i + full] = bits.argmin(axis=1)
-                p[i + full] = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-            names = pa.array([*m.langs, UNKNOWN] if m else [UNKNOWN], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(np.where(letter, best, len(names) - 1))), pa.array(np.where(letter, p, 0.0))], names=["row", "lang_pred", "score"])
+            letter = batch.column("letter").to_numpy(zero_copy_only=False) & (len(langs) > 0)
+            # the shortest code so far, its language, and the sum of 2^-bits over its own
+            least, best, total = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for first, held in parts:
+                m = held.value
+                for i, _, data, offs in B.slices(batch.column("text"), SLICE):
+                    full = np.flatnonzero(np.diff(offs))
+                    if not len(full):
+                        continue
+                    bits = np.add.reduceat(m.bits(grams(data, offs)), offs[:-1][full], axis=0, dtype=np.float64)
+                    at, low = i + full, bits.min(axis=1)
+                    under = np.minimum(least[at], low)
+                    total[at] = total[at] * np.exp2(under - least[at]) + np.exp2(under[:, None] - bits).sum(axis=1)
+                    best[at] = np.where(low < least[at], first + bits.argmin(axis=1), best[at])
+                    least[at] = under
+                del m
+                if len(parts) > 1:
+                    held.__dict__.pop("_value", None)  # read again from the worker's file for the next batch
+            p = 1 / np.where(letter, total, np.inf)
+            names = pa.array([*langs, UNKNOWN], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(np.where(letter, best, len(langs)))), pa.array(p)], names=["row", "lang_pred", "score"])
 
     kind = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(score, kind)

@@ -261,6 +261,31 @@ def test_code_lengths_match_a_plain_context_tree():
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_all_grams_count_and_parts_of_the_model_agree(spark, monkeypatch):
+    """A model of one part a language scores like the model of all grams at once."""
+    rng = np.random.default_rng(9)
+    docs = [(k, "".join(rng.choice(list("abcdefgh é"), 300)), f"l{k % 6}") for k in range(40)] + [(40, "", "a-none"), (41, "", "l9")]
+    counts = {x: (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _, _, x in docs}
+    for x in counts:
+        texts = [t.encode() for _, t, y in docs if x == y]
+        offs = np.cumsum([0, *map(len, texts)])
+        if offs[-1]:
+            counts[x] = np.unique(language.grams(np.frombuffer(b"".join(texts), np.uint8), offs), return_counts=True)
+    model = language.build_model(counts)
+    want = {}
+    for k, t, _ in docs[:-2]:
+        bits = model.bits(language.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))).sum(axis=0, dtype=np.float64)
+        want[k] = (model.langs[bits.argmin()], 1 / np.exp2(bits.min() - bits).sum())
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for cells, parts in ((language.MODEL_CELLS, 1), (1, 8)):
+        monkeypatch.setattr(language, "MODEL_CELLS", cells)
+        trained = language.train(frame)
+        assert len(trained.parts) == parts
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame.select("doc_id", "text"), trained).select("row.doc_id", "lang_pred", "score").collect()}
+        assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-3) for k in want)
+        assert got[40] == got[41] == ("und", 0.0)
+
+
 def test_languages_are_told_on_held_out_rows(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
     rows = language.q_language(spark, MEDIUM).collect()
