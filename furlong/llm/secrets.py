@@ -5,7 +5,11 @@ looks at every other run of ``MIN_RUN`` or more token characters: it infers
 the encoding whose alphabet holds the run, and tests the run against uniform
 random draws from that alphabet by a chi-squared test of its character
 classes, a runs test about the alphabet's middle and a test of the lag-one
-serial correlation, joined by Fisher's rule to one p-value.
+serial correlation, joined by Fisher's rule to one p-value. What a pattern
+leaves of a run, on either side of its span, is a run too. ``+/`` and ``-_``
+may belong to a key or join it to words, so besides the whole run its parts
+between ``+/``, between ``-_`` and between all four are tested, those of
+``MIN_RUN`` and more.
 
 Words and paths fail these tests, keys pass them. Runs are sorted into strata
 by encoding and doubling length, and within each the Benjamini-Hochberg rule
@@ -15,7 +19,8 @@ left is reported as kind ``random``. The rule needs only how many p-values
 fall into each of 64 bins of a stratum: fixed-size counts over all documents.
 
 Spans are in code points of the whole text, end exclusive. A random span
-never overlaps a pattern's span.
+never overlaps a pattern's span, nor another: of those that do, the longest
+(then the first) is reported.
 
 Defined results: null and empty texts have no spans; repeated rows are
 scanned alike; an empty table gives an empty result.
@@ -45,6 +50,7 @@ MIN_RUN = 20
 LEVEL = 0.01
 BINS = 64
 TOKEN = B.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x2D, 0x2D), (0x5F, 0x5F))
+JOINTS = (re.compile(rb"[^+/]+"), re.compile(rb"[^_-]+"), re.compile(rb"[^+/_-]+"))
 DIGITS, UPPER, LOWERS = b"0123456789", bytes(range(65, 91)), bytes(range(97, 123))
 #: Encodings from the narrowest alphabet to the widest: name, alphabet, classes of a chi-squared test.
 ENCODINGS = (
@@ -106,6 +112,22 @@ def battery(run: bytes) -> tuple[int, float] | None:
     return None
 
 
+def runs_to_test(text: bytes, s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of a token, what the ``taken`` spans (in order) leave and the parts of that."""
+    rest = []
+    for x, y in taken:
+        if x < e and s < y:
+            rest.append((s, x))
+            s = max(s, y)
+    out: dict[tuple[int, int], None] = {}
+    for a, b in [*rest, (s, e)]:
+        if b - a >= MIN_RUN:
+            out[a, b] = None
+            for joint in JOINTS:
+                out.update(((m.start(), m.end()), None) for m in joint.finditer(text, a, b) if m.end() - m.start() >= MIN_RUN)
+    return list(out)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     test = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())])
@@ -128,12 +150,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text, s, e)]
                 found.sort()
                 tried = []
-                for s, e in tokens:
-                    if any(x < e and s < y for x, _, y in found):
-                        continue
-                    if (got := battery(text[s:e])) is not None:
-                        where = got[0] * 64 + (e - s).bit_length()
-                        tried.append((s, e, where, min(BINS - 1, int(-math.log2(max(got[1], 1e-300))))))
+                taken = [(x, y) for x, _, y in found]
+                for token in tokens:
+                    for s, e in runs_to_test(text, *token, taken):
+                        if (got := battery(text[s:e])) is not None:
+                            where = got[0] * 64 + (e - s).bit_length()
+                            tried.append((s, e, where, min(BINS - 1, int(-math.log2(max(got[1], 1e-300))))))
                 if found or tried:
                     raw = data[a:b]
                     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # of a byte: characters before it
@@ -164,8 +186,11 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     for r in bins:
         counts.setdefault(r.stratum, np.zeros(BINS, np.int64))[r.bin] = r.n
     limit = F.create_map(*[F.lit(x) for pair in sorted(not_random(counts, level).items()) for x in pair]) if counts else F.create_map(F.lit(-1), F.lit(0))
-    kept = F.transform(F.filter("tests", lambda t: t["bin"] < F.element_at(limit, t["stratum"])),
-                       lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
+    passed = F.transform(F.filter("tests", lambda t: t["bin"] < F.element_at(limit, t["stratum"])),
+                         lambda t: F.struct((t["start"] - t["end"]).alias("less"), t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
+    free = F.aggregate(F.array_sort(passed), F.filter(passed, lambda t: F.lit(False)),
+                       lambda held, t: F.when(F.exists(held, lambda u: (u["start"] < t["end"]) & (t["start"] < u["end"])), held).otherwise(F.concat(held, F.array(t))))
+    kept = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", kept)).alias("spans"))
 
 

@@ -159,6 +159,19 @@ def test_secret_patterns_match_brute_force(spark, folder, messy, no_docs):
     assert found == ["9aF3kLmQ2xZr8TbVn4Yc7WpJd5Hs1GgU"]
 
 
+def test_keys_joined_to_other_text_are_found(spark):
+    key = "9aF3kLmQ2xZr8TbVn4Yc7WpJd5Hs1GgU"
+    dashed = "Kx7-Qm2_Zr9TbVn4Yc8WpJd5Hs1GgUeA3fLo6iR"
+    texts = [f"https://hooks.test/services/T0-ab/{key} x", "deploy_v1-to/" + dashed, f"x/0123456789abcdef01234567/{key}", f"{key}/0123456789abcdef01234567",
+             f"some/long/path/of/many/plain/words/in/here/and/there/{key}", f"{key}-{key}", "overwhelminglyextraordinarily-long/and_incomprehensiblylongwords/here"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in secrets.scan(frame).collect()}
+    found = {k: [t for kind, t in x if kind == 3] for k, x in spans.items()}
+    assert [len(found[k]) for k in range(7)] == [1, 1, 1, 1, 1, 2, 0]
+    assert all(key in t for k in (0, 2, 3, 4, 5) for t in found[k]) and found[1] == [dashed]
+    assert [kind for kind, _ in spans[2]] == [2, 3] and [kind for kind, _ in spans[3]] == [3, 2]
+
+
 def test_secret_patterns_on_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     got = Counter(tuple(r)[:5] for r in secrets.q_secrets(spark, MEDIUM).collect())
