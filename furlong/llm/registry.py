@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furlong.llm import decontamination, embeddings, language, mixing, quality, repeats, secrets, sharding, simhash, warc
+from furlong.llm import decontamination, embeddings, importance, language, mixing, quality, repeats, secrets, sharding, simhash, topk, warc, whitening
 
 QUERIES = {
     "op1_prefix_decontamination": decontamination.q_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quantised_embeddings": embeddings.q_embeddings,
     "op9_low_discrepancy_mixing": mixing.q_mixing,
     "op10_secret_battery": secrets.q_secrets,
+    "op11_pivot_top_k": topk.q_topk,
+    "op12_chebyshev_whitening": whitening.q_whitening,
+    "op13_importance_resampling": importance.q_importance,
 }
 ORACLE = {
     "op1_prefix_decontamination": decontamination.ORACLE_DECONTAMINATION,
@@ -22,4 +25,6 @@ ORACLE = {
     "op7_repeat_intervals": repeats.ORACLE_REPEATS,
     "op8_quantised_embeddings": embeddings.ORACLE_EMBEDDINGS,
     "op9_low_discrepancy_mixing": mixing.ORACLE_MIXING,
+    "op11_pivot_top_k": topk.ORACLE_TOPK,
+    "op13_importance_resampling": importance.ORACLE_IMPORTANCE,
 }
