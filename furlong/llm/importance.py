@@ -107,17 +107,17 @@ def hashed_features(docs: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = span_pattern(size)
         for batch in batches:
-            data, offs = B.buffers(batch.column("text"))
-            found = [count_features(data[a:b].tobytes(), spans, buckets) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32))
-            flat = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]))) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("doc_id"), pa.array([words_of(f[0], size) for f in found], pa.int64()), pa.array([f[0] for f in found], pa.int64()),
-                 flat[0].cast(pa.list_(pa.int32())), flat[1]],
-                names=["uid", "doc_id", "n_words", "n_features", "bucket", "times"])
+            for i, j, data, offs in B.slices(batch.column("text")):
+                found = [count_features(data[a:b].tobytes(), spans, buckets) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32))
+                flat = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("uid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array([words_of(f[0], size) for f in found], pa.int64()),
+                     pa.array([f[0] for f in found], pa.int64()), *flat],
+                    names=["uid", "doc_id", "n_words", "n_features", "bucket", "times"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return store(d.mapInArrow(run, f"uid long, doc_id {kind}, n_words long, n_features long, bucket array<int>, times array<long>"), "hashed-features")
+    return store(d.mapInArrow(run, f"uid long, doc_id {kind}, n_words long, n_features long, bucket array<int>, times array<int>"), "hashed-features")
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
