@@ -366,8 +366,11 @@ def _built(spark, d, only=None):
     landing.append_raw(B.raw_ra(spark, d), raw, "RA")
     landing.append_raw(B.raw_se(spark, d), raw, "SE")
     tables.replace_table(B.results(spark, d), f"{raw}/race_results")
-    ctx = runner.run_steps(spark, base, only or sorted(runner.STEPS)[:3], as_of=AS_OF, prefix="w" + base.rsplit("-", 1)[-1])
-    return ctx
+    prefix = "w" + base.rsplit("-", 1)[-1]
+    try:
+        return runner.run_steps(spark, base, only or sorted(runner.STEPS)[:3], as_of=AS_OF, prefix=prefix)
+    finally:
+        tables.drop_layers(spark, prefix)   # the result is read from the tables' files
 
 
 def q_layered_build(spark, d):
@@ -387,38 +390,60 @@ def q_fitted_speed_lookup(spark, d):
                     F.round("speed_factor", 5).alias("speed_factor"), "speed_source")
 
 
-def _streamed(spark, d, merge_types=None, replay=False):
+def _streamed(spark, d, merge_types=None, replay=False, second_run=False):
     """Two landings whose keys overlap, each ingested as a micro-batch: all
-    records, then the runners with an odd number again, renamed."""
+    records, then the runners with an odd number again, renamed. In a second
+    run the other landing is ingested by a query of its own."""
     from furlong.sources import landing
     from furlong.streaming import ingest
     land, work = _scratch(spark, "stream-landing"), _scratch(spark, "stream")
     p = q_parse_fixed_width(spark, d)
     again = p.filter((F.col("record_type") == "SE") & (F.col("Umaban").try_cast("int") % 2 == 1)).withColumn("Bamei", F.concat(F.lit("R"), "Bamei"))
+    runs = []
     for name, rows in (("first", p), ("second", again)):
         landing.write_landing(rows, f"{land}/{name}")
-        ingest.run_ingest(spark, land, f"{work}/raw", f"{work}/core", f"{work}/_checkpoint", merge_types)
-    if replay:
-        lines = spark.read.option("recursiveFileLookup", "true").text(f"{land}/second")
-        ingest.make_batch_handler(f"{work}/raw", f"{work}/core", merge_types)(landing.parse_json_lines(lines), 1)
+        source, mark = (f"{land}/{name}", f"_checkpoint-{name}") if second_run else (land, "_checkpoint")
+        q = ingest.run_ingest(spark, source, f"{work}/raw", f"{work}/core", f"{work}/{mark}", merge_types)
+        runs.append(str(q.id))
+    if replay:   # a batch of before, by hand; where there was one query, it is its last
+        name, batch = ("first", 0) if second_run else ("second", 1)
+        lines = spark.read.option("recursiveFileLookup", "true").text(f"{land}/{name}")
+        ingest.make_batch_handler(f"{work}/raw", f"{work}/core", merge_types, runs[0])(landing.parse_json_lines(lines), batch)
     return work
 
 
 def q_stream_ingest(spark, d):
     from furlong.operators.parse import LANDING_COLUMNS
     from furlong.sources import tables
-    return tables.read_latest_version(spark, f"{_streamed(spark, d)}/core/SE_latest").select(*LANDING_COLUMNS)
+    return tables.read_latest(spark, f"{_streamed(spark, d)}/core/SE_latest").select(*LANDING_COLUMNS)
 
 
-def q_stream_replay(spark, d):
-    """A replayed micro-batch leaves both the raw and the latest table alone."""
+def _latest_and_raw(spark, work):
     from furlong.operators.parse import LANDING_COLUMNS
     from furlong.sources import landing, tables
-    work = _streamed(spark, d, replay=True)
-    latest_se = tables.read_latest_version(spark, f"{work}/core/SE_latest").select(F.lit("latest").alias("kind"), *LANDING_COLUMNS)
+    latest_se = tables.read_latest(spark, f"{work}/core/SE_latest").select(F.lit("latest").alias("kind"), *LANDING_COLUMNS)
     return latest_se.unionByName(landing.read_raw(spark, f"{work}/raw", "SE").select(F.lit("raw").alias("kind"), *LANDING_COLUMNS))
 
 
+def q_stream_replay(spark, d):
+    """A replayed micro-batch leaves both the raw and the latest table alone."""
+    return _latest_and_raw(spark, _streamed(spark, d, replay=True))
+
+
+def q_stream_second_run(spark, d):
+    """A second load run, with a checkpoint of its own, adds to the first; a
+    replay of the first run's batch after it changes nothing."""
+    return _latest_and_raw(spark, _streamed(spark, d, replay=True, second_run=True))
+
+
+def q_stream_ledger(spark, d):
+    """What the ledger has of two runs and a replay: a row a run and type."""
+    from furlong.streaming import ingest
+    work = _streamed(spark, d, replay=True, second_run=True)
+    return ingest.read_ledger(spark, f"{work}/core").groupBy("record_type").agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_merges"), F.max("batch_id").alias("last_batch"))
+
+
 def q_stream_raw_latest(spark, d):
     """The build's latest table from streamed raw rows."""
     from furlong.operators.parse import LANDING_COLUMNS
@@ -432,39 +457,114 @@ def q_merge_types(spark, d):
     work = _streamed(spark, d, merge_types=" ra, jg")
     out = None
     for t in sorted(latest.MERGE_KEYS):
-        table = tables.read_latest_version(spark, f"{work}/core/{t}_latest")
+        table = tables.read_latest(spark, f"{work}/core/{t}_latest")
         n = (table if table is not None else spark.createDataFrame([], "x int")).agg(F.lit(t).alias("record_type"), F.count(F.lit(1)).alias("n"))
         out = n if out is None else out.unionByName(n)
     return out
 
 
-def q_landing_file_names(spark, d):
-    """Files named <TYPE>_<day>_<part>.jsonl: the type comes from the name."""
+def _json(*extra):
     from furlong.operators.parse import LANDING_COLUMNS
+    return F.to_json(F.struct(*LANDING_COLUMNS, *extra)).alias("value")
+
+
+def q_landing_file_names(spark, d):
+    """Files of every type named <TYPE>_<day>_<part>.jsonl: the type comes from
+    the name; records without a type are in files with a blank one, which are
+    skipped."""
     from furlong.sources import fs, landing
     root = _scratch(spark, "named-landing")
     p = q_parse_fixed_width(spark, d)
-    for t in ("RA", "SE"):
-        rows = p.filter(F.col("record_type") == t).select(F.to_json(F.struct(*LANDING_COLUMNS)).alias("value"))
-        rows.write.text(f"{root}/in-{t}")
-        for k, name in enumerate(x for x in fs.list_files(spark, f"{root}/in-{t}") if x.startswith("part-")):
-            fs.rename(spark, f"{root}/in-{t}/{name}", f"{root}/in-{t}/{t}_20240101_{k}.jsonl")
-    both = landing.read_landing(spark, f"{root}/in-*", reference_names=True)
+    p.select(F.coalesce("record_type", F.lit("none")).alias("t"), _json()).write.partitionBy("t").text(f"{root}/in")
+    for folder in fs.list_dirs(spark, f"{root}/in"):
+        t = folder[2:] if folder != "t=none" else ""
+        for k, name in enumerate(x for x in fs.list_files(spark, f"{root}/in/{folder}") if x.startswith("part-")):
+            fs.rename(spark, f"{root}/in/{folder}/{name}", f"{root}/in/{folder}/{t}_20240101_{k}.jsonl")
+    both = landing.read_landing(spark, f"{root}/in/*", reference_names=True)
     return both.groupBy("file_type", "Year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_data").alias("n_raw"))
 
 
-def q_landing_extra_fields(spark, d):
-    """JSON fields outside the layout survive landing, raw append and read."""
-    from furlong.operators.parse import LANDING_COLUMNS
+def q_landing_quarantine(spark, d):
+    """Packed landing files of every type, those of one type cut off in the
+    middle: all others load, and the damaged type is in the rejects."""
+    from furlong.sources import fs, landing
+    root = _scratch(spark, "packed-landing")
+    p = q_parse_fixed_width(spark, d)
+    rows = p.select(F.coalesce("record_type", F.lit("UNKNOWN")).alias("type_tag"), F.lit("20240101").alias("ingest_date"), _json())
+    rows.filter("type_tag <> 'JG'").write.partitionBy("type_tag", "ingest_date").option("compression", "gzip").text(f"{root}/land")
+    rows.filter("type_tag = 'JG'").select("value").write.option("compression", "gzip").text(f"{root}/whole")
+    for name in fs.list_files(spark, f"{root}/whole"):
+        if name.startswith("part-"):
+            fs.copy_head(spark, f"{root}/whole/{name}", f"{root}/land/type_tag=JG/ingest_date=20240101/{name}", 0.5)
+    loaded, rejects = landing.load_landing(spark, f"{root}/land")
+    good = loaded.groupBy(F.col("file_type").alias("record_type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw_data").alias("n_raw"), F.lit(False).alias("quarantined"))
+    bad = rejects.select(F.regexp_extract("path", "type_tag=([^/]*)/", 1).alias("record_type"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_raw"), F.lit(True).alias("quarantined"))
+    return good.unionByName(bad.distinct())
+
+
+def _raw_with_extras(spark, d):
+    """Two raw batches of all types; the second has fields that the layout lacks."""
     from furlong.sources import landing
     land, raw = _scratch(spark, "extra-landing"), _scratch(spark, "extra-raw")
-    p = q_parse_fixed_width(spark, d).filter(F.col("record_type") == "RA")
-    weather = F.concat(F.lit("w"), (F.length("raw_data") % 5).cast("string"))
-    p.select(F.to_json(F.struct(*LANDING_COLUMNS, weather.alias("weather"))).alias("value"), F.lit("RA").alias("type_tag"), F.lit("20240101").alias("ingest_date")) \
-        .write.partitionBy("type_tag", "ingest_date").text(land)
-    landing.append_raw(landing.landing_rows(landing.read_landing(spark, land)), raw, "RA", 0)
-    back = landing.read_raw(spark, raw, "RA")
-    return back.groupBy(F.col("extra_fields")["weather"].alias("weather"), F.size("extra_fields").alias("n_extra")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.length("raw_data")
+    temp = F.when(n % 3 == 0, (n % 40).cast("string")).otherwise(F.concat((n % 40).cast("string"), F.lit(".5")))
+    day = F.concat(F.lit("2024-01-1"), (n % 9).cast("string"))
+    extras = [F.concat(F.lit("w"), (n % 5).cast("string")).alias("weather"), temp.alias("temp"), day.alias("checked"),
+              (n % 2 == 0).cast("string").alias("live"), (n % 7).cast("string").alias("heat"), F.concat(F.lit("0"), (n % 7).cast("string")).alias("code")]
+    p = q_parse_fixed_width(spark, d)
+    for k, extra in enumerate(([], extras)):
+        rows = p.filter(F.pmod(F.crc32("raw_data"), F.lit(2)) == k)
+        rows.select(_json(*extra), F.coalesce("record_type", F.lit("UNKNOWN")).alias("type_tag"), F.lit("20240101").alias("ingest_date")) \
+            .write.partitionBy("type_tag", "ingest_date").text(f"{land}/{k}")
+        landing.append_raw_batch(landing.landing_rows(landing.read_landing(spark, f"{land}/{k}")), raw, F.coalesce("record_type", F.lit("UNKNOWN")), k)
+    return raw
+
+
+def _raw_types(spark, raw):
+    from furlong.sources import fs
+    return [x[5:] for x in fs.list_dirs(spark, raw) if x.startswith("type=")]
+
+
+def q_landing_extra_fields(spark, d):
+    """JSON fields outside the layout survive landing, raw append and read, of every type."""
+    from furlong.sources import landing
+    raw, out = _raw_with_extras(spark, d), None
+    for t in _raw_types(spark, raw):
+        back = landing.read_raw(spark, raw, t, typed=False).withColumn("record_type", F.lit(t))
+        g = back.groupBy("record_type", F.col("extra_fields")["weather"].alias("weather"), F.coalesce(F.size("extra_fields"), F.lit(0)).alias("n_extra")).agg(F.count(F.lit(1)).alias("n"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def q_raw_typed_fields(spark, d):
+    """The same fields as columns of the type that their values have; rows of
+    the batch before they came are NULL."""
+    from furlong.sources import landing
+    raw, out = _raw_with_extras(spark, d), None
+    for t in _raw_types(spark, raw):
+        back = landing.read_raw(spark, raw, t)
+        kinds = {c: back.schema[c].dataType.simpleString() for c in ("weather", "temp", "checked", "live", "heat", "code")}
+        g = back.agg(F.lit(t).alias("record_type"), F.count(F.lit(1)).alias("n"), F.count("temp").alias("n_temp"), F.round(F.sum("temp"), 6).alias("temp"),
+                     F.max("checked").alias("checked"), F.count_if("live").alias("n_live"), F.sum("heat").alias("heat"), F.max("code").alias("code"), F.min("weather").alias("weather"),
+                     F.lit(" ".join(f"{c}:{kinds[c]}" for c in sorted(kinds))).alias("kinds"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def q_text_steps(spark, d):
+    """The steps kept as SQL text, with a day and a layer prefix as parameters."""
+    from furlong.plans import sql_steps
+    base = _scratch(spark, "sql-warehouse")
+    prefix = "s" + base.rsplit("-", 1)[-1]
+    m = model(spark, d, "results", "raw_se")
+    sql_steps.run_files(spark, plans={"serving_races": m["races"], "serving_entries": m["entries"]}, **sql_steps.layer_params(base, prefix, AS_OF))
+    report = spark.table(f"{prefix}_serving.day_report").crossJoin(F.broadcast(spark.table(f"{prefix}_ml.venue_baseline").agg(
+        F.count(F.lit(1)).alias("venues"), F.sum("starts").alias("starts"), F.max("horses").alias("most_horses"))))
+    from furlong.session import materialize
+    out = materialize(report, "day-report")   # a row
+    for layer in ("raw", "core", "serving", "ml"):
+        spark.sql(f"DROP DATABASE IF EXISTS {prefix}_{layer} CASCADE")
+    return out
 
 
 def q_parse_full_width(spark, d):
@@ -523,10 +623,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layered_build": q_layered_build,
     "stream_ingest": q_stream_ingest,
     "stream_replay": q_stream_replay,
+    "stream_second_run": q_stream_second_run,
+    "stream_ledger": q_stream_ledger,
     "stream_raw_latest": q_stream_raw_latest,
     "merge_types": q_merge_types,
     "landing_file_names": q_landing_file_names,
     "landing_extra_fields": q_landing_extra_fields,
+    "landing_quarantine": q_landing_quarantine,
+    "raw_typed_fields": q_raw_typed_fields,
+    "text_steps": q_text_steps,
     "parse_full_width": q_parse_full_width,
     "race_page": q_race_page,
     "analysis_no_master": q_analysis_no_master,
@@ -577,10 +682,15 @@ ORACLE: dict[str, Callable[[], str]] = {
     "layered_build": lambda: O.q_quality(["dup_races", "dup_entries", "null_rate", "freshness", "orphans"]),
     "stream_ingest": O.q_stream_ingest,
     "stream_replay": O.q_stream_replay,
+    "stream_second_run": O.q_stream_replay,
+    "stream_ledger": O.q_stream_ledger,
     "stream_raw_latest": O.q_stream_raw_latest,
     "merge_types": O.q_merge_types,
     "landing_file_names": O.q_landing_file_names,
     "landing_extra_fields": O.q_landing_extra_fields,
+    "landing_quarantine": O.q_landing_quarantine,
+    "raw_typed_fields": O.q_raw_typed_fields,
+    "text_steps": O.q_text_steps,
     "parse_full_width": O.q_parse_full_width,
     "race_page": lambda: O.q_race_page(UNKNOWN_RACE),
     "analysis_no_master": O.q_analysis_no_master,

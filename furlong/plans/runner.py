@@ -26,7 +26,11 @@ class BuildContext:
         return tables.layer_path(self.base, layer, table)
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer, table))
+        return tables.read_table(self.spark, self.path(layer, table))
+
+    def write(self, df: DataFrame, layer: str, table: str) -> None:
+        """Replace a table and its view."""
+        tables.replace_table(df, self.path(layer, table), f"{self.params.get('prefix', 'furlong')}_{layer}.{table}")
 
 
 def step_create_layers(ctx: BuildContext) -> None:
@@ -38,15 +42,14 @@ def step_create_layers(ctx: BuildContext) -> None:
 def step_build_serving_tables(ctx: BuildContext) -> None:
     spark = ctx.spark
     raw_root = tables.layer_path(ctx.base, "raw")
-    w = tables.replace_table
-    w(latest.latest_races(read_raw(spark, raw_root, "RA")), ctx.path("core", "ra_latest"))
-    w(latest.latest_entries(read_raw(spark, raw_root, "SE")), ctx.path("core", "se_latest"))
+    ctx.write(latest.latest_races(read_raw(spark, raw_root, "RA")), "core", "ra_latest")
+    ctx.write(latest.latest_entries(read_raw(spark, raw_root, "SE")), "core", "se_latest")
     results = ctx.read("raw", "race_results")
-    w(serving.race_summary(results), ctx.path("core", "race_summary_latest"))
-    w(serving.entry_fallback(results), ctx.path("core", "entry_fallback_latest"))
-    w(serving.serving_races(ctx.read("core", "race_summary_latest")), ctx.path("serving", "serving_races"))
-    w(serving.serving_entries(ctx.read("core", "se_latest"), ctx.read("core", "entry_fallback_latest")),
-      ctx.path("serving", "serving_entries"))
+    ctx.write(serving.race_summary(results), "core", "race_summary_latest")
+    ctx.write(serving.entry_fallback(results), "core", "entry_fallback_latest")
+    ctx.write(serving.serving_races(ctx.read("core", "race_summary_latest")), "serving", "serving_races")
+    ctx.write(serving.serving_entries(ctx.read("core", "se_latest"), ctx.read("core", "entry_fallback_latest")),
+              "serving", "serving_entries")
 
 
 def step_quality_checks(ctx: BuildContext) -> None:
@@ -57,9 +60,8 @@ def step_quality_checks(ctx: BuildContext) -> None:
 def step_build_speed_index(ctx: BuildContext) -> None:
     """Fit the index on ``raw/analysis_view`` and replace master and baseline."""
     master = speed_index.speed_index_master(ctx.read("raw", "analysis_view"), as_of=ctx.params.get("as_of"))
-    tables.replace_table(master, ctx.path("ml", "speed_index_master"))
-    tables.replace_table(speed_index.speed_index_baseline(ctx.read("ml", "speed_index_master")),
-                         ctx.path("ml", "speed_index_baseline"))
+    ctx.write(master, "ml", "speed_index_master")
+    ctx.write(speed_index.speed_index_baseline(ctx.read("ml", "speed_index_master")), "ml", "speed_index_baseline")
 
 
 STEPS: dict[str, Callable[[BuildContext], None]] = {

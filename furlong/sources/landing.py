@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 
 from furlong.functions.text import trim_ws
 from furlong.operators.parse import LANDING_COLUMNS, LANDING_SCHEMA, parse_records
+from furlong.session import materialize
+from furlong.sources import fields, quarantine
+from furlong.sources.fields import EXTRA
 
 CORRUPT = "_corrupt_record"
-EXTRA = "extra_fields"
+NAMED = "*.jsonl*"
 READ_SCHEMA = T.StructType(list(LANDING_SCHEMA.fields) + [T.StructField(CORRUPT, T.StringType())])
 RAW_COLUMNS = [*LANDING_COLUMNS, EXTRA]
 
@@ -43,16 +46,27 @@ def file_record_type(file_name: Column) -> Column:
     return F.nullif(trim_ws(F.split_part(file_name, F.lit("_"), F.lit(1))), F.lit(""))
 
 
-def read_landing(spark: SparkSession, path: str, reference_names: bool = False) -> DataFrame:
+def read_landing(spark: SparkSession, path: str, reference_names: bool = False, rejects: DataFrame | None = None) -> DataFrame:
     """Read landing JSONL (S1, S2, S13). With ``reference_names`` the record
     type comes from ``<TYPE>_<date>.jsonl`` file names (files with a blank
-    type are skipped); otherwise from the ``type_tag`` partition folder."""
+    type are skipped); otherwise from the ``type_tag`` partition folder.
+    Files among ``rejects`` (of :func:`load_landing`) are left out."""
+    r = spark.read if rejects is None else spark.read.option("ignoreCorruptFiles", "true")
+    if reference_names:
+        lines = r.option("pathGlobFilter", NAMED).text(path)
+    else:
+        lines = r.schema("value string, type_tag string, ingest_date string").text(path)
+    lines = lines.withColumns({"source_file": F.col("_metadata.file_name"), "file_path": F.col("_metadata.file_path")})
+    df = parse_json_lines(lines if rejects is None else quarantine.without_damaged(lines, rejects)).drop("file_path")
     if reference_names:
-        lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
-        df = parse_json_lines(lines.withColumn("source_file", F.col("_metadata.file_name")))
         return df.withColumn("file_type", file_record_type(F.col("source_file"))).filter(F.col("file_type").isNotNull())
-    lines = spark.read.schema("value string, type_tag string, ingest_date string").text(path)
-    return parse_json_lines(lines.withColumn("source_file", F.col("_metadata.file_name"))).withColumnRenamed("type_tag", "file_type")
+    return df.withColumnRenamed("type_tag", "file_type")
+
+
+def load_landing(spark: SparkSession, path: str, reference_names: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of the sound files, and the damaged files as rows."""
+    rejects = materialize(quarantine.damaged_files(spark, path, NAMED if reference_names else None), "rejects")
+    return read_landing(spark, path, reference_names, rejects), rejects
 
 
 def write_landing(parsed: DataFrame, path: str, mode: str = "append") -> None:
@@ -77,22 +91,30 @@ def landing_rows(df: DataFrame) -> DataFrame:
 def append_raw(df: DataFrame, raw_root: str, record_type: str, batch: str | int | None = None) -> None:
     """Append a batch to the raw table of a type (S4), in a folder of its own:
     ``type=<TYPE>/batch=<batch>``, overwritten when the batch is replayed. New
-    columns are allowed: raw tables are read with ``mergeSchema``."""
-    df.write.mode("overwrite").parquet(f"{raw_root}/type={record_type}/batch={uuid.uuid4().hex if batch is None else batch}")
+    columns are allowed: raw tables are read with ``mergeSchema``, and fields
+    outside the layout become typed columns."""
+    name = uuid.uuid4().hex if batch is None else str(batch)
+    df.write.mode("overwrite").parquet(f"{raw_root}/type={record_type}/batch={name}")
+    stored = df.sparkSession.read.parquet(f"{raw_root}/type={record_type}/batch={name}")
+    fields.record_fields(stored, raw_root, F.lit(record_type), f"{record_type}-{name}")
 
 
 def append_raw_batch(df: DataFrame, raw_root: str, record_type: Column, batch: str | int) -> None:
     """The same for a batch of many types, in one write."""
     (df.withColumns({"type": record_type, "batch": F.lit(str(batch))}).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("type", "batch").parquet(raw_root))
+    fields.record_fields(df, raw_root, record_type, str(batch))
 
 
-def read_raw(spark: SparkSession, raw_root: str, record_type: str, batch: str | int | None = None) -> DataFrame:
-    """Raw rows of a type, or of one batch of it."""
+def read_raw(spark: SparkSession, raw_root: str, record_type: str, batch: str | int | None = None, typed: bool = True) -> DataFrame:
+    """Raw rows of a type, or of one batch of it, with a typed column for each
+    field outside the layout (S4); ``typed=False`` leaves those in their map."""
     path = f"{raw_root}/type={record_type}"
     if batch is not None:
-        return spark.read.parquet(f"{path}/batch={batch}")
-    return spark.read.option("mergeSchema", "true").parquet(path).drop("batch")
+        rows = spark.read.parquet(f"{path}/batch={batch}")
+    else:
+        rows = spark.read.option("mergeSchema", "true").parquet(path).drop("batch")
+    return fields.with_typed_fields(rows, raw_root, record_type) if typed else rows
 
 
 def reparse_lines(spark: SparkSession, input_path: str, fetched_default: str = "") -> DataFrame:

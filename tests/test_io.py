@@ -68,7 +68,7 @@ def test_optional_table_and_create_like(spark, scratch):
     like = spark.createDataFrame([("a",)], "k string")
     assert tables.create_like(spark, like, f"{scratch}/t") is True
     assert tables.create_like(spark, like, f"{scratch}/t") is False
-    assert spark.read.parquet(f"{scratch}/t").count() == 0
+    assert tables.read_table(spark, f"{scratch}/t").count() == 0
 
 
 def test_stream_ingest_and_replay_is_idempotent(spark, scratch):
@@ -77,18 +77,42 @@ def test_stream_ingest_and_replay_is_idempotent(spark, scratch):
     landing.land_records(raw, land, fetched_at="2024-01-01T00:00:00")
     spark.createDataFrame([("{bad json",)], "value string").write.text(f"{land}/type_tag=BAD/ingest_date=00000000")
     ingest.run_ingest(spark, land, f"{scratch}/raw", f"{scratch}/core", f"{scratch}/ckpt")
-    se = tables.read_latest_version(spark, f"{scratch}/core/SE_latest")
+    se = tables.read_latest(spark, f"{scratch}/core/SE_latest")
     first = sorted(tuple(r) for r in se.select(*parse.LANDING_COLUMNS).collect())
     assert len(first) == 1 and first[0][parse.LANDING_COLUMNS.index("Bamei")] == "H999"   # tie: deterministic
     assert landing.read_raw(spark, f"{scratch}/raw", ingest.REJECTS).select(landing.CORRUPT).collect()[0][0] == "{bad json"
     assert landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 2
-    assert tables.read_latest_version(spark, f"{scratch}/core/RA_latest") is None    # no such rows: not merged
+    assert tables.read_latest(spark, f"{scratch}/core/RA_latest") is None    # no such rows: not merged
     # replay the same batch: the same files from the same input
     lines = spark.read.option("recursiveFileLookup", "true").text(land)
-    ingest.make_batch_handler(f"{scratch}/raw", f"{scratch}/core")(landing.parse_json_lines(lines), 0)
-    again = tables.read_latest_version(spark, f"{scratch}/core/SE_latest")
+    run = ingest.read_ledger(spark, f"{scratch}/core").collect()
+    assert [(r.record_type, r.batch_id) for r in run] == [("SE", 0)]
+    handle = ingest.make_batch_handler(f"{scratch}/raw", f"{scratch}/core", query_id=run[0].query_id)
+    handle(landing.parse_json_lines(lines), 0)
+    again = tables.read_latest(spark, f"{scratch}/core/SE_latest")
     assert sorted(tuple(r) for r in again.select(*parse.LANDING_COLUMNS).collect()) == first
     assert landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 2
+    with pytest.raises(RuntimeError, match="query_id"):
+        ingest.make_batch_handler(f"{scratch}/raw", f"{scratch}/core")(landing.parse_json_lines(lines), 0)
+
+
+def test_a_second_run_adds_and_an_old_batch_is_not_merged_again(spark, scratch):
+    """Two landings, two checkpoints, the same raw and latest tables."""
+    names = {}
+    for k, name in enumerate(("H123", "H777")):
+        landing.land_records(spark.createDataFrame([(SE.replace("H123", name),)], "raw_data string"), f"{scratch}/land{k}", fetched_at=f"t{k}")
+        other = SE.replace("103" + "0000000123", f"10{5 + k}0000000123")
+        landing.land_records(spark.createDataFrame([(other,)], "raw_data string"), f"{scratch}/land{k}", fetched_at=f"t{k}")
+        q = ingest.run_ingest(spark, f"{scratch}/land{k}", f"{scratch}/raw", f"{scratch}/core", f"{scratch}/ckpt{k}")
+        names[k] = str(q.id)
+    latest = lambda: sorted((r.Umaban, r.Bamei) for r in tables.read_latest(spark, f"{scratch}/core/SE_latest").collect())
+    assert landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 4
+    assert latest() == [("03", "H777"), ("05", "H123"), ("06", "H123")]
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{scratch}/land0")
+    ingest.make_batch_handler(f"{scratch}/raw", f"{scratch}/core", query_id=names[0])(landing.parse_json_lines(lines), 0)
+    assert latest() == [("03", "H777"), ("05", "H123"), ("06", "H123")] and landing.read_raw(spark, f"{scratch}/raw", "SE").count() == 4
+    ledger = ingest.read_ledger(spark, f"{scratch}/core").collect()
+    assert sorted((r.query_id, r.batch_id) for r in ledger) == sorted((n, 0) for n in names.values())
 
 
 def test_fields_outside_the_layout_are_kept(spark, local_dir):
@@ -105,30 +129,153 @@ def rows_of(df):
     return sorted((r.Year, r.Umaban, r.Bamei) for r in df.collect())
 
 
+def stage_of(spark, *rows):
+    return spark.createDataFrame(rows, "Year string, Umaban string, Bamei string")
+
+
 def test_upsert_rewrites_only_touched_partitions(spark, scratch):
     from furlong.sources import fs
-    stage = lambda *r: spark.createDataFrame(r, "Year string, Umaban string, Bamei string")
     path = f"{scratch}/latest"
-    assert tables.upsert_table(spark, path, stage(("2023", "1", "a"), ("2024", "1", "b"), (None, "1", "n")), KEYS, 1) == 1
-    assert tables.upsert_table(spark, path, stage(("2024", "1", "c"), ("2024", "2", "d"), ("", "1", "m")), KEYS, 2) == 2
-    assert [d for d in fs.list_dirs(spark, f"{path}/v={2:012d}")] == ["part=p", "part=p2024"]
-    assert rows_of(tables.read_latest_version(spark, path)) == [("", "1", "m"), ("2023", "1", "a"), ("2024", "1", "c"), ("2024", "2", "d")]
-    assert tables.upsert_table(spark, path, stage(), KEYS, 3) is None
-    assert tables.upsert_table(spark, path, stage(("2024", "1", "x")).drop("Umaban"), KEYS, 3) is None
-    # a version without its success mark was not committed
-    stage(("2024", "9", "half")).withColumn("part", F.lit("p2024")).write.partitionBy("part").parquet(f"{path}/v={4:012d}")
-    fs.delete(spark, f"{path}/v={4:012d}/_SUCCESS")
-    assert len(rows_of(tables.read_latest_version(spark, path))) == 4
-    assert tables.upsert_table(spark, path, stage(("2024", "1", "e")), KEYS, 5) == 5
-    gone = tables.expire_versions(spark, path, keep=1)
-    assert sorted(g[len(path) + 1:].replace("v=00000000000", "") for g in gone) == ["1/part=p", "1/part=p2024", "2/part=p2024"]
-    assert rows_of(tables.read_latest_version(spark, path)) == [("", "1", "m"), ("2023", "1", "a"), ("2024", "1", "e"), ("2024", "2", "d")]
+    assert tables.upsert_table(spark, path, stage_of(spark, ("2023", "1", "a"), ("2024", "1", "b"), (None, "1", "n")), KEYS)
+    before = fs.list_files(spark, f"{path}/part=p2023")
+    assert tables.upsert_table(spark, path, stage_of(spark, ("2024", "1", "c"), ("2024", "2", "d"), ("", "1", "m")), KEYS)
+    assert fs.list_files(spark, f"{path}/part=p2023") == before
+    want = [("", "1", "m"), ("2023", "1", "a"), ("2024", "1", "c"), ("2024", "2", "d")]
+    assert rows_of(tables.read_latest(spark, path)) == want
+    assert tables.upsert_table(spark, path, stage_of(spark), KEYS) is False
+    assert tables.upsert_table(spark, path, stage_of(spark, ("2024", "1", "x")).drop("Umaban"), KEYS) is False
+    assert rows_of(tables.read_latest(spark, path)) == want and fs.list_dirs(spark, f"{path}.pending") == []
+
+
+def test_a_broken_off_upsert_is_finished_from_its_pending_rows(spark, scratch):
+    from furlong.sources import fs
+    path = f"{scratch}/latest"
+    tables.upsert_table(spark, path, stage_of(spark, ("2023", "1", "a"), ("2024", "1", "b")), KEYS, batch="one")
+    # the merge of batch two is complete, and its overwrite ended between delete and write
+    merged = stage_of(spark, ("2023", "1", "a"), ("2023", "2", "z")).withColumn("part", F.lit("p2023"))
+    merged.write.parquet(f"{path}.pending/two")
+    fs.delete(spark, f"{path}/part=p2023")
+    assert tables.upsert_table(spark, path, stage_of(spark, ("2023", "2", "z")), KEYS, batch="two")
+    assert rows_of(tables.read_latest(spark, path)) == [("2023", "1", "a"), ("2023", "2", "z"), ("2024", "1", "b")]
+
+
+def test_a_large_partition_is_written_by_many_tasks(spark, scratch):
+    from furlong.sources import fs
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, F.lit("2024")).otherwise(F.lit("2023")).alias("Year"), F.col("id").cast("string").alias("Umaban"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("Bamei"))
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k in sizes:
+            spark.conf.set(k, "200k")
+        tables.upsert_table(spark, f"{scratch}/latest", rows, KEYS)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    count = lambda y: sum(x.startswith("part-") for x in fs.list_files(spark, f"{scratch}/latest/part=p{y}"))
+    assert count("2024") > 1
+    assert tables.read_latest(spark, f"{scratch}/latest").exceptAll(rows).isEmpty() and tables.read_latest(spark, f"{scratch}/latest").count() == 40_000
 
 
 def test_replace_may_read_the_table_it_replaces(spark, scratch):
     spark.range(5).write.parquet(f"{scratch}/t")
-    tables.replace_table(spark.read.parquet(f"{scratch}/t").filter("id > 2"), f"{scratch}/t")
-    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/t").collect()) == [3, 4]
+    tables.replace_table(tables.read_table(spark, f"{scratch}/t").filter("id > 2"), f"{scratch}/t")
+    assert sorted(r.id for r in tables.read_table(spark, f"{scratch}/t").collect()) == [3, 4]
+
+
+def test_a_reader_never_misses_a_table_while_it_is_replaced(spark, scratch):
+    import threading
+    tables.create_layers(spark, scratch, "gap")
+    view, path = "gap_core.t", f"{scratch}/core/t"
+    tables.replace_table(spark.range(100), path, view)
+    seen, failed, stop = set(), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(spark.table(view).count())
+                seen.add(tables.read_table(spark, path).count())
+            except Exception as e:
+                failed.append(e)
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 6):
+        tables.replace_table(spark.range(100 + k), path, view)
+    stop.set()
+    reader.join()
+    tables.drop_layers(spark, "gap")
+    assert not failed and seen <= set(range(100, 106)) and len(tables.versions(spark, path)) == 2
+    assert tables.read_table(spark, path).count() == 105
+
+
+def test_damaged_files_are_set_aside(spark, local_dir):
+    import gzip
+    line = lambda k: (json.dumps({"record_type": "SE", "Umaban": f"{k:02d}", "raw_data": f"{SE}{k}"}) + "\n").encode()
+    good = gzip.compress(b"".join(map(line, range(50))))
+    twice = gzip.compress(line(60)) + gzip.compress(line(61))       # two members
+    spoilt = bytearray(gzip.compress(b"".join(map(line, range(2000)))))
+    spoilt[len(spoilt) // 2] ^= 0xFF
+    for name, data in (("SE_1.jsonl.gz", good), ("SE_2.jsonl.gz", twice), ("SE_3.jsonl.gz", good[: len(good) // 2]), ("SE_4.jsonl.gz", bytes(spoilt)),
+                       ("SE_5.jsonl.gz", b"no gzip at all"), ("SE_6.jsonl", line(70))):
+        with open(os.path.join(local_dir, name), "wb") as f:
+            f.write(data)
+    rows, rejects = landing.load_landing(spark, local_dir, reference_names=True)
+    assert sorted(int(r.Umaban) for r in rows.collect()) == [*range(50), 60, 61, 70]
+    found = {r.path.rsplit("/", 1)[1]: r.reason for r in rejects.collect()}
+    assert set(found) == {"SE_3.jsonl.gz", "SE_4.jsonl.gz", "SE_5.jsonl.gz"} and found["SE_3.jsonl.gz"] == "cut off"
+
+
+def test_value_kinds_and_the_widest_type(spark):
+    from furlong.sources import fields
+    values = {"12": "long", "-3": "long", "012": "string", "1.5": "double", "1e3": "double", "99999999999999999999": "double", "true": "boolean", "2024-02-30": "string",
+              "2024-02-03": "date", "2024-02-03T10:00:00": "timestamp", " ": None, "x": "string"}
+    df = spark.createDataFrame([(k,) for k in values], "v string")
+    assert {r.v: r.k for r in df.select("v", fields.value_kind(F.col("v")).alias("k")).collect()} == values
+    mixed = {("long",): "bigint", ("double", "long"): "double", ("date",): "date", ("date", "timestamp"): "timestamp", ("boolean", "long"): "string", (): "string", ("date", "long"): "string"}
+    for kinds, kind in mixed.items():
+        got = spark.createDataFrame([(list(kinds),)], "k array<string>").select(fields.widest(F.col("k")).alias("w")).first().w
+        assert spark.createDataFrame([], f"x {got}").schema["x"].dataType.simpleString() == kind
+
+
+def test_a_later_batch_widens_a_field(spark, scratch):
+    row = lambda **extra: spark.createDataFrame([("SE", extra)], "record_type string, extra_fields map<string,string>")
+    landing.append_raw(spark.createDataFrame([("SE", None)], "record_type string, extra_fields map<string,string>"), scratch, "SE", 0)
+    assert landing.read_raw(spark, scratch, "SE").columns == ["record_type", "extra_fields"]
+    landing.append_raw(row(temp="7", Record_Type="odd"), scratch, "SE", 1)
+    got = landing.read_raw(spark, scratch, "SE")
+    assert dict(got.dtypes)["temp"] == "bigint" and "Record_Type" not in got.columns    # its name differs in case only
+    landing.append_raw(row(temp="7.5"), scratch, "SE", 2)
+    got = landing.read_raw(spark, scratch, "SE")
+    assert dict(got.dtypes)["temp"] == "double" and sorted((r.temp for r in got.collect()), key=str) == [7.0, 7.5, None]
+    landing.append_raw(row(temp="warm"), scratch, "SE", 2)    # the batch again, with other rows
+    assert sorted((r.temp for r in landing.read_raw(spark, scratch, "SE").collect()), key=str) == ["7", None, "warm"]
+
+
+def test_text_steps(spark, scratch, local_dir):
+    from furlong.plans import sql_steps
+    for name, text in (("02_b.sql", "-- a comment; with a semicolon\nCREATE OR REPLACE VIEW IDENTIFIER(:prefix || '_b') AS\nSELECT day, ';' AS x FROM IDENTIFIER(:prefix || '_a');\n"),
+                       ("01_a.sql", "CREATE OR REPLACE VIEW IDENTIFIER(:prefix || '_a') AS SELECT CAST(:as_of AS DATE) AS day, n FROM plan_rows;")):
+        with open(os.path.join(local_dir, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    plans = {"rows": spark.range(1).select(F.col("id").alias("n"))}
+    spark.range(3).write.parquet(f"{scratch}/rows")
+    plans = {"rows": spark.read.parquet(f"{scratch}/rows").withColumnRenamed("id", "n")}
+    with pytest.raises(Exception, match="temporary"):      # a stored view can't hang on a plan
+        sql_steps.run_files(spark, local_dir, plans=plans, prefix="st", as_of="2024-01-02")
+    with open(os.path.join(local_dir, "01_a.sql"), "w", encoding="utf-8") as f:
+        f.write("CREATE OR REPLACE VIEW IDENTIFIER(:prefix || '_a') AS SELECT CAST(:as_of AS DATE) AS day;")
+    assert sql_steps.run_files(spark, local_dir, prefix="st", as_of="2024-01-02") == ["01_a.sql", "02_b.sql"]
+    assert [(str(r.day), r.x) for r in spark.table("st_b").collect()] == [("2024-01-02", ";")]
+    assert sql_steps.run_files(spark, local_dir, "02_b, 01_a.sql", prefix="st", as_of="2024-01-03") == ["02_b.sql", "01_a.sql"]
+    for only, error in (("03_c", "03_c"), (" , ", "no step was named")):
+        with pytest.raises(runner.UnknownStep, match=error):
+            sql_steps.run_files(spark, local_dir, only, prefix="st", as_of="2024-01-03")
+    with pytest.raises(runner.UnknownStep, match="no step in"):
+        sql_steps.run_files(spark, scratch, prefix="st")
+    with pytest.raises(ValueError, match="no value for as_of"):
+        sql_steps.run_files(spark, local_dir, prefix="st")
+    for v in ("st_a", "st_b"):
+        spark.sql(f"DROP VIEW {v}")
 
 
 def test_scratch_needs_a_shared_folder_off_local_masters(monkeypatch):
