@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from furlong.functions.text import nfkc, number, sql_lpad, trim_ws
 from furlong.operators.serving import race_header, validate_race_id
 from furlong.session import materialize
+from furlong.sources.stored import store_sorted
 
 HISTORY_COLS = ["race_date", "rank", "popularity", "distance", "surface", "time_sec"]
 
@@ -101,38 +102,44 @@ def runs_as_of(entries: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     """Each entry (with ``name_norm`` and ``_tdate``) with the newest ``n`` runs
     of its name dated before ``_tdate``; an all-NULL run where there is none.
 
-    A name's runs are cut by year, so that a very common name is work for many
-    tasks. Within a name and year a running window holds the last ``n`` runs at
-    each run, and the entry, sorted in by its date, takes the last of these; the
-    last ``n`` of each earlier year fill up what the year itself lacks. At most
-    ``n`` runs an entry and ``n`` a name and year are ever held.
+    A blocked prefix scan. The block is a name's day: of its runs only the best
+    ``n`` can ever be among the newest, and that limit already holds in the map
+    tasks, so a name with most of the runs is work for all of them. Blocks are
+    mergeable (the last ``n`` of several days are the last ``n`` of their
+    lists); they are combined over the days of a year and over the years, which
+    the calendar bounds, for each different (name, day) that is asked for. The
+    entries then join what was found for their day; a hot name is split there.
     """
-    oldest_first = [F.col("run.race_date"), F.col("run.rank").desc_nulls_first(), F.col("run.popularity").desc_nulls_first(),
-                    F.col("run.distance").desc_nulls_first(), F.col("run.surface").desc_nulls_first(),
-                    F.col("run.time_sec").desc_nulls_first()]
+    day = Window.partitionBy("name", "race_date").orderBy(*history_order()[1:])
+    best = (runs.filter(F.col("race_date").isNotNull()).withColumnRenamed("name_norm", "name")
+            .withColumn("nth", F.row_number().over(day)).filter(F.col("nth") <= n))
+    run = F.struct(*HISTORY_COLS)
+    days = best.groupBy("name", "race_date").agg(F.sort_array(F.collect_list(F.struct("nth", run.alias("run")))).alias("x"))
+    days = days.select("name", F.year("race_date").alias("year"), F.col("race_date").alias("at"), F.col("x.run").alias("runs"))
     year = Window.partitionBy("name", "year")
-    last_n = F.collect_list("run").over(year.orderBy(*oldest_first).rowsBetween(-(n - 1), 0))
-    r = (runs.filter(F.col("race_date").isNotNull())
-         .select(F.col("name_norm").alias("name"), F.year("race_date").alias("year"), F.struct(*HISTORY_COLS).alias("run"))
-         .withColumn("hist", last_n).withColumn("nth", F.row_number().over(year.orderBy(*oldest_first))))
-    e = entries.select(null_spread_key(F.nullif("name_norm", F.lit("")), *entries.columns).alias("name"),
-                       F.year("_tdate").alias("year"), F.struct("*").alias("entry"))
-    of_year = r.groupBy("name", "year").agg(F.max_by("hist", "nth").alias("hist"))
-    years = of_year.unionByName(e.select("name", "year").distinct().withColumn("hist", F.lit(None).cast(r.schema["hist"].dataType)))
+    newest_of = lambda lists: F.slice(F.flatten(F.reverse(lists)), 1, n)
+    last_days = F.collect_list("runs").over(year.orderBy("at").rowsBetween(-(n - 1), 0))
+    days = days.withColumn("hist", newest_of(last_days)).drop("runs")
+    hist = days.schema["hist"].dataType
+    key = F.nullif("name_norm", F.lit(""))
+    asked = entries.select(key.alias("name"), F.year("_tdate").alias("year"), F.col("_tdate").alias("at")).dropna().distinct()
+    none = F.lit(None).cast(hist)
+    years = days.groupBy("name", "year").agg(F.max_by("hist", "at").alias("hist")) \
+        .unionByName(asked.select("name", "year").distinct().withColumn("hist", none))
     years = years.groupBy("name", "year").agg(F.first("hist", ignorenulls=True).alias("hist"))
-    earlier = F.flatten(F.collect_list("hist").over(
-        Window.partitionBy("name").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)))
-    years = years.select("name", "year", earlier.alias("earlier"))
-    events = r.select("name", "year", F.col("run.race_date").alias("at"), "nth", "hist", F.lit(None).cast(e.schema["entry"].dataType).alias("entry")) \
-        .unionByName(e.select("name", "year", F.col("entry._tdate").alias("at"), F.lit(0).alias("nth"),
-                              F.lit(None).cast(r.schema["hist"].dataType).alias("hist"), "entry"))
-    so_far = F.last("hist", ignorenulls=True).over(
-        year.orderBy("at", "nth").rowsBetween(Window.unboundedPreceding, 0))
-    met = events.withColumn("here", so_far).filter("entry is not null").join(years, ["name", "year"], "left")
-    none = F.array().cast(r.schema["hist"].dataType)
-    both = F.concat(F.coalesce("earlier", none), F.coalesce("here", none))
-    newest = F.slice(F.reverse(both), 1, n)
-    return met.select("entry", F.explode_outer(newest).alias("run")).select("entry.*", "run.*")
+    before = F.collect_list("hist").over(Window.partitionBy("name").orderBy("year").rowsBetween(Window.unboundedPreceding, -1))
+    years = years.select("name", "year", newest_of(before).alias("earlier"))
+    # a day asked for comes before the runs of that day
+    events = days.withColumn("runs_day", F.lit(True)).unionByName(asked.withColumns({"hist": none, "runs_day": F.lit(False)}))
+    so_far = F.last("hist", ignorenulls=True).over(year.orderBy("at", "runs_day").rowsBetween(Window.unboundedPreceding, 0))
+    found = events.withColumn("here", so_far).filter(~F.col("runs_day")).join(years, ["name", "year"], "left")
+    empty = F.array().cast(hist)
+    newest = F.slice(F.concat(F.coalesce("here", empty), F.coalesce("earlier", empty)), 1, n)
+    # stored, so that the join shuffles both sides and AQE can split a hot name
+    found = materialize(found.select(F.col("name").alias("_name"), F.col("at").alias("_at"), newest.alias("newest")), "runs-as-of")
+    e = entries.withColumn("_key", null_spread_key(key, *entries.columns))
+    met = e.join(found, (F.col("_key") == F.col("_name")) & (F.col("_tdate") == F.col("_at")), "left")
+    return met.select(*entries.columns, F.explode_outer("newest").alias("run")).select(*entries.columns, "run.*")
 
 
 ENTRY_COLS = ["race_id", "wakuban", "umaban", "ketto_num", "bamei"]
@@ -184,7 +191,7 @@ def form_runs(entries: DataFrame, history: DataFrame, n: int = 5, before_race: b
 
 def store_history(history: DataFrame, path: str) -> None:
     """Store past runs normalised once and sorted by name, for single reads."""
-    history_runs(history).repartitionByRange("name_norm").sortWithinPartitions("name_norm").write.parquet(path)
+    store_sorted(history_runs(history), path, "name_norm")
 
 
 def form_history(entries: DataFrame, history: DataFrame, n: int = 5,
@@ -300,9 +307,14 @@ def speed_lookup(scored: DataFrame, master: DataFrame | None) -> DataFrame:
                          .when(snm.isNotNull(), F.lit("master_name")).otherwise(F.lit("fallback"))))
 
 
+def tokyo_date(local: Column) -> Column:
+    """Date in Tokyo at a local (session time zone) time without zone."""
+    return F.to_date(F.convert_timezone(None, F.lit("Asia/Tokyo"), local))
+
+
 def default_as_of() -> Column:
     """CURRENT_DATE('Asia/Tokyo') regardless of the session time zone."""
-    return F.to_date(F.from_utc_timestamp(F.current_timestamp(), "Asia/Tokyo"))
+    return tokyo_date(F.localtimestamp())
 
 
 def score_expr(as_of: Column) -> Column:

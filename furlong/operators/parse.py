@@ -200,6 +200,64 @@ def layout_profile(df: DataFrame, lo: int = 0, hi: int | None = None, raw_col: s
                     two("_lo").alias("min_hex"), two("_hi").alias("max_hex")))
 
 
+#: First and last byte of each class; all other bytes are a class of their own.
+BYTE_CLASSES = {"blank": [(0x20, 0x20)], "digit": [(0x30, 0x39)], "upper": [(0x41, 0x5A)], "lower": [(0x61, 0x7A)], "wide": [(0x80, 0xFF)]}
+
+
+def layout_cuts(df: DataFrame, raw_col: str = "raw_data", by: str = "record_type",
+                least_drop: float = 0.5, least_change: float = 0.5) -> DataFrame:
+    """Where the bytes of *all* records say that a field begins.
+
+    For each type and offset: the entropy (bits) of the byte there, and the
+    change of the byte classes from the offset before (half the sum of the
+    differences of their shares). A fixed-width number grows more random from
+    its first digit to its last, so a field begins where the entropy falls by
+    ``least_drop`` bits, and where the classes change by ``least_change``.
+    Offset 0 always begins a field. Columns: the type, ``offset``,
+    ``n_records``, ``entropy``, ``change``, ``cut``.
+    """
+    src = df.select(F.col(by).cast("string").alias("record_type"), F.col(raw_col).alias("raw"))
+    counts = (src.mapInArrow(_byte_counts, "record_type string, offset long, byte long, n long")
+              .groupBy("record_type", "offset", "byte").agg(F.sum("n").alias("n")))
+    n, b = F.col("n"), F.col("byte")
+    of = {k: F.lit(False) for k in BYTE_CLASSES}
+    for k, ranges in BYTE_CLASSES.items():
+        for lo, hi in ranges:
+            of[k] = of[k] | b.between(lo, hi)
+    total = F.sum(n)
+    at = counts.groupBy("record_type", "offset").agg(
+        total.alias("n_records"), (F.log2(total.cast("double")) - F.sum(n * F.log2(n.cast("double"))) / total).alias("entropy"),
+        *[(F.coalesce(F.sum(F.when(c, n)), F.lit(0)) / total).alias(k) for k, c in of.items()])
+    at = at.withColumn("other", F.lit(1.0) - sum((F.col(k) for k in of), F.lit(0.0)))
+    before = Window.partitionBy("record_type").orderBy("offset")   # at most a record's length of rows
+    change = sum((F.abs(F.col(k) - F.lag(k).over(before)) for k in [*of, "other"]), F.lit(0.0)) / 2
+    drop = F.lag("entropy").over(before) - F.col("entropy")
+    at = at.withColumns({"change": F.coalesce(change, F.lit(0.0)), "drop": drop})
+    cut = (F.col("offset") == 0) | F.coalesce(F.col("drop") >= least_drop, F.lit(False)) | (F.col("change") >= least_change)
+    return at.select(F.col("record_type").alias(by), F.col("offset").cast("int").alias("offset"), "n_records", "entropy", "change", cut.alias("cut"))
+
+
+def layout_ranges(landing: DataFrame, ranges: dict[str, list[tuple[int, int]]], n: int = 5,
+                  order: list[str] = ("raw_data",)) -> DataFrame:
+    """Byte ranges [lo, hi) of the first ``n`` records of each type, as hex and
+    decoded from cp932 (P9): record_type, nth, lo, hi, hex, text. A range that
+    begins after the record's end has neither."""
+    w = Window.partitionBy("record_type").orderBy(*order)
+    rows = landing.filter(F.col("record_type").isin(list(ranges))).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
+    wanted = F.create_map(*[x for t, r in ranges.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in r]))])
+    rows = rows.select("record_type", "nth", "raw_data", F.explode(wanted[F.col("record_type")]).alias("r")).select("record_type", "nth", "r.*", "raw_data")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [v.encode("cp932", errors="replace")[a:b] or None for v, a, b in zip(*(batch.column(c).to_pylist() for c in ("raw_data", "lo", "hi")), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("record_type", "nth", "lo", "hi")), pa.array([v and v.hex().upper() for v in raw], pa.string()),
+                 pa.array([v and v.decode("cp932", errors="replace") for v in raw], pa.string())],
+                names=["record_type", "nth", "lo", "hi", "hex", "text"])
+
+    return rows.mapInArrow(cut, "record_type string, nth int, lo int, hi int, hex string, text string")
+
+
 def check_projection(landing: DataFrame, record_type: str, fields: list[str], n: int = 5,
                      order: list[str] = ("raw_data",)) -> DataFrame:
     """A few named fields of the first ``n`` rows of a type (P10, T4)."""

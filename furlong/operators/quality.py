@@ -6,7 +6,9 @@ distinct keys at most); the report is their union, one row per check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from furlong.functions.text import trim_ws
@@ -38,7 +40,7 @@ def duplicate_entries(entries: DataFrame) -> DataFrame:
 
 def null_rate(races: DataFrame) -> DataFrame:
     """Share of races with no distance or no course (A18, X15: NULL on an empty table)."""
-    bad = F.col("kyori").isNull() | F.col("course").isNull() | (trim_ws("course") == "")
+    bad = bad_race()
     agg = races.agg(F.count_if(bad).alias("b"), F.count(F.lit(1)).alias("n"))
     return _row(agg, "serving_races_null_kyori_or_course_rate",
                 rate=F.try_divide(F.col("b").cast("double"), F.col("n").cast("double")))
@@ -56,6 +58,31 @@ def orphan_entries(races: DataFrame, entries: DataFrame) -> DataFrame:
     return _row(o.agg(F.count(F.lit(1)).alias("n")), "serving_entries_orphan_race_id", count=F.col("n"))
 
 
+def bad_race() -> Column:
+    return F.col("kyori").isNull() | F.col("course").isNull() | (trim_ws("course") == "")
+
+
+def observed(races: DataFrame) -> tuple[DataFrame, Observation]:
+    """``races`` with the figures of the null-rate and freshness checks
+    gathered by whatever job reads or writes it (A18)."""
+    seen = Observation(f"races-{uuid.uuid4().hex[:8]}")
+    one = F.lit(1)
+    return races.observe(seen, F.count(one).alias("n"), F.count_if(bad_race()).alias("bad"), F.max("kaisai_date").alias("newest")), seen
+
+
+def report_of_observed(races: DataFrame, entries: DataFrame, figures: dict, as_of=None) -> DataFrame:
+    """The report, with the null rate and freshness from the figures observed
+    when the races were written; only keys are read again, for the duplicate
+    and orphan checks."""
+    n, bad, newest = figures["n"] or 0, figures["bad"] or 0, figures["newest"]
+    keys = quality_report(races.select("race_id", F.lit(1).alias("kyori"), F.lit("-").alias("course"), F.lit(None).cast("date").alias("kaisai_date")), entries, as_of)
+    lag = F.datediff(_as_of_col(as_of), F.lit(newest).cast("date"))
+    is_rate, is_lag = F.col("check_name") == "serving_races_null_kyori_or_course_rate", F.col("check_name") == "serving_races_freshness_days"
+    return keys.select("check_name", "issue_count",
+                       F.when(is_rate, F.lit(bad / n if n else None).cast("double")).otherwise(F.col("issue_rate")).alias("issue_rate"),
+                       F.when(is_lag, lag.cast("long")).otherwise(F.col("lag_days")).alias("lag_days"))
+
+
 def quality_report(races: DataFrame, entries: DataFrame, as_of=None, orphans: bool = True) -> DataFrame:
     """All checks, one row each (C18), from one pass over each table. The
     reference runs the first four and discards the rows; here they are a
@@ -65,7 +92,7 @@ def quality_report(races: DataFrame, entries: DataFrame, as_of=None, orphans: bo
     these two small tables meet in a full join, whose one aggregate holds all
     five figures.
     """
-    bad = F.col("kyori").isNull() | F.col("course").isNull() | (trim_ws("course") == "")
+    bad = bad_race()
     one = F.lit(1)
     r = races.groupBy("race_id").agg(F.count(one).alias("n_races"), F.count_if(bad).alias("n_bad"),
                                      F.max("kaisai_date").alias("newest"))

@@ -85,28 +85,25 @@ def _min_race(races: DataFrame) -> str:
     return races.agg(F.min("race_id")).first()[0]
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
-def _served(spark, d):
-    """Serving tables, history and master as stored tables, built once per
-    application and data folder: a single-race read filters them by race id
-    and by name, as it would in service, and rebuilds nothing."""
-    key = (spark.sparkContext.applicationId, d)
-    names = ("races", "entries", "history", "master")
-    if key not in _STORED:
-        base = _scratch(spark, "served")
-        m = model(spark, d)
-        for n in ("races", "entries"):
-            m[n].repartitionByRange("race_id").sortWithinPartitions("race_id").write.parquet(f"{base}/{n}")
-        form.store_history(m["history"], f"{base}/history")
-        B.derived_master(m["history"]).repartitionByRange("horse_name").write.parquet(f"{base}/master")
-        _STORED[key] = base
-    return {n: spark.read.parquet(f"{_STORED[key]}/{n}") for n in names}
+def _served(spark, d, *names):
+    """The named serving tables, stored for point reads: a build step writes
+    them, and a single-race read prunes them by race id and by name."""
+    from furlong.sources.stored import store_sorted
+    base = _scratch(spark, "served")
+    needs = {"races": ["results"], "entries": ["results", "raw_se"], "history": ["history"], "master": ["history"]}
+    m = model(spark, d, *dict.fromkeys(x for n in names for x in needs[n]))
+    for n in names:
+        if n == "history":
+            form.store_history(m[n], f"{base}/{n}")
+        elif n == "master":
+            store_sorted(B.derived_master(m["history"]), f"{base}/{n}", "horse_name")
+        else:
+            store_sorted(m[n], f"{base}/{n}", "race_id")
+    return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 
 
 def q_race_card_one(spark, d):
-    m = _served(spark, d)
+    m = _served(spark, d, "races", "entries")
     return serving.race_card(m["races"], m["entries"], _min_race(m["races"]))
 
 
@@ -183,7 +180,7 @@ def q_race_analysis_all(spark, d):
 
 
 def q_race_analysis_one(spark, d):
-    m = _served(spark, d)
+    m = _served(spark, d, "races", "entries", "history", "master")
     return form.race_analysis(m["races"], m["entries"], m["history"], m["master"],
                               race_id=_min_race(m["races"]), as_of=AS_OF)
 
@@ -192,7 +189,7 @@ UNKNOWN_RACE = "0000000000000000"
 
 
 def q_race_page(spark, d):
-    m = _served(spark, d)
+    m = _served(spark, d, "races", "entries")
     return serving.race_page(m["races"], m["entries"], [_min_race(m["races"]), UNKNOWN_RACE])
 
 
@@ -268,6 +265,18 @@ def q_layout_profile(spark, d):
     return parse.layout_profile(t.withColumn("record_type", F.substring("raw_data", 1, 2)))
 
 
+def q_layout_cuts(spark, d):
+    """Field cuts that the bytes of all records propose, by type."""
+    t = B.text_records(spark, d)
+    cuts = parse.layout_cuts(t.withColumn("record_type", F.substring("raw_data", 1, 2)))
+    return cuts.select("record_type", "offset", "n_records", F.round("entropy", 6).alias("entropy"), F.round("change", 6).alias("change"), "cut")
+
+
+def q_layout_ranges(spark, d):
+    """Chosen byte ranges of each type's first records, in hex and decoded."""
+    return parse.layout_ranges(q_parse_fixed_width(spark, d), {"RA": [(0, 2), (27, 36), (697, 701)], "SE": [(11, 19), (28, 30), (40, 76)]}, 3)
+
+
 def q_check_projection(spark, d):
     return parse.check_projection(q_parse_fixed_width(spark, d), "RA", ["RaceNum", "Hondai", "Kyori", "TrackCD"], 5)
 
@@ -611,6 +620,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_census": q_record_census,
     "sample_by_type": q_sample_by_type,
     "layout_profile": q_layout_profile,
+    "layout_cuts": q_layout_cuts,
+    "layout_ranges": q_layout_ranges,
     "dup_races": q_dup_races,
     "dup_entries": q_dup_entries,
     "null_rate": q_null_rate,
@@ -670,6 +681,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "record_census": O.q_record_census,
     "sample_by_type": O.q_sample_by_type,
     "layout_profile": O.q_layout_profile,
+    "layout_cuts": O.q_layout_cuts,
+    "layout_ranges": O.q_layout_ranges,
     "dup_races": lambda: O.q_quality(["dup_races"]),
     "dup_entries": lambda: O.q_quality(["dup_entries"]),
     "null_rate": lambda: O.q_quality(["null_rate"]),

@@ -21,6 +21,7 @@ class BuildContext:
     base: str                      # root of the layered tables
     params: dict = field(default_factory=dict)
     outputs: dict[str, DataFrame] = field(default_factory=dict)
+    figures: dict | None = None    # of the serving races, if this run wrote them
 
     def path(self, layer: str, table: str) -> str:
         return tables.layer_path(self.base, layer, table)
@@ -47,14 +48,18 @@ def step_build_serving_tables(ctx: BuildContext) -> None:
     results = ctx.read("raw", "race_results")
     ctx.write(serving.race_summary(results), "core", "race_summary_latest")
     ctx.write(serving.entry_fallback(results), "core", "entry_fallback_latest")
-    ctx.write(serving.serving_races(ctx.read("core", "race_summary_latest")), "serving", "serving_races")
+    races, seen = quality.observed(serving.serving_races(ctx.read("core", "race_summary_latest")))
+    ctx.write(races, "serving", "serving_races")
+    ctx.figures = dict(seen.get)   # of the write just done
     ctx.write(serving.serving_entries(ctx.read("core", "se_latest"), ctx.read("core", "entry_fallback_latest")),
               "serving", "serving_entries")
 
 
 def step_quality_checks(ctx: BuildContext) -> None:
-    ctx.outputs["quality_report"] = quality.quality_report(
-        ctx.read("serving", "serving_races"), ctx.read("serving", "serving_entries"), ctx.params.get("as_of"))
+    races, entries = ctx.read("serving", "serving_races"), ctx.read("serving", "serving_entries")
+    as_of = ctx.params.get("as_of")
+    ctx.outputs["quality_report"] = quality.quality_report(races, entries, as_of) if ctx.figures is None else \
+        quality.report_of_observed(races, entries, ctx.figures, as_of)
 
 
 def step_build_speed_index(ctx: BuildContext) -> None:

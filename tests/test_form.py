@@ -3,11 +3,14 @@ race by race, on a hand-made fixture covering FIXTURES.md section 5."""
 
 import datetime as dt
 import math
+import os
+import random
 import statistics
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from furlong.operators import form
 
@@ -293,3 +296,82 @@ def test_null_keys_spread_and_never_match(spark):
     right = keys.limit(0).union(spark.createDataFrame([("x",), ("",)], "j string"))
     assert left.join(right, key == right.j, "inner").count() == 0
     assert left.join(right, key == right.j, "left").count() == 2000
+
+
+def test_as_of_history_of_a_hot_name(spark):
+    """One name with most of the runs and entries, many runs a day, equal to brute force."""
+    import datetime as dt
+    rng = random.Random(4)
+    day = lambda k: dt.date(2019, 11, 1) + dt.timedelta(days=k)
+    runs = [(rng.choice(["hot"] * 5 + ["a", "b"]), day(rng.randrange(0, 120)), float(rng.randrange(1, 9)), float(rng.randrange(1, 5)), 1000.0, "芝", float(k)) for k in range(3000)]
+    runs += [("hot", None, 1.0, 1.0, 1.0, "芝", 1.0), ("c", day(3), None, None, None, None, None)]
+    entries = [(k, rng.choice(["hot"] * 5 + ["a", "c", "none", "", None]), None if k % 37 == 0 else day(rng.randrange(-5, 130))) for k in range(600)]
+    cols = ["race_date", "rank", "popularity", "distance", "surface", "time_sec"]
+    r = spark.createDataFrame(runs, "name_norm string, race_date date, rank double, popularity double, distance double, surface string, time_sec double")
+    e = spark.createDataFrame(entries, "k int, name_norm string, _tdate date")
+    got = {}
+    for x in form.runs_as_of(e, r, 4).collect():
+        got.setdefault(x.k, []).append(tuple(x[c] for c in cols))
+    last = lambda v: (v is None, v or 0)
+    for k, name, at in entries:
+        mine = [x[1:] for x in runs if x[0] == name and name and at and x[1] and x[1] < at]
+        mine.sort(key=lambda x: (-x[0].toordinal(), last(x[1]), last(x[2]), last(x[3]), x[4] is None, x[4] or "", last(x[5])))
+        assert sorted(got[k], key=str) == sorted(mine[:4] or [(None,) * 6], key=str), (k, name, at)
+
+
+def test_tokyo_date_across_a_day_boundary(spark):
+    """The default day of the analysis is Tokyo's, whatever the session's zone."""
+    zone = "spark.sql.session.timeZone"
+    before = spark.conf.get(zone)
+    try:
+        for tz, local, want in (("UTC", "2024-03-01 14:59:59", "2024-03-01"), ("UTC", "2024-03-01 15:00:00", "2024-03-02"),
+                                ("America/New_York", "2024-03-01 09:59:59", "2024-03-01"), ("America/New_York", "2024-03-01 10:00:00", "2024-03-02"),
+                                ("Asia/Tokyo", "2024-03-01 23:59:59", "2024-03-01"), ("Asia/Tokyo", "2024-03-02 00:00:00", "2024-03-02")):
+            spark.conf.set(zone, tz)
+            got = spark.range(1).select(form.tokyo_date(F.lit(local).cast("timestamp_ntz")).cast("string").alias("d")).first().d
+            assert got == want, (tz, local)
+        import datetime as dt
+        from zoneinfo import ZoneInfo
+        days = [dt.datetime.now(ZoneInfo("Asia/Tokyo")).date() for _ in range(2)]
+        spark.conf.set(zone, "America/Los_Angeles")
+        now = spark.range(1).select(form.default_as_of().alias("d")).first().d
+        assert days[0] <= now <= dt.datetime.now(ZoneInfo("Asia/Tokyo")).date()
+    finally:
+        spark.conf.set(zone, before)
+
+
+def test_a_point_read_skips_row_groups(spark, scratch):
+    """Bloom filters: of many row groups that all span the key, few are read."""
+    from furlong.sources.stored import store_sorted
+    rows = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.sha2((F.col("id") * 7).cast("string"), 512).alias("body"))
+    wanted = rows.first().key
+    store_sorted(rows, f"{scratch}/t", "key")
+    table = spark.read.parquet(f"{scratch}/t").filter(F.col("key") == wanted)
+    assert table.count() == 1
+    import pyarrow.parquet as pq
+    folder = f"{scratch}/t"
+    groups = sum(pq.ParquetFile(os.path.join(folder, f)).num_row_groups for f in os.listdir(folder) if f.endswith(".parquet"))
+    plan = table.select("body")
+    plan.collect()
+    scan = plan._jdf.queryExecution().executedPlan().toString()
+    assert groups > 1 and "PushedFilters: [IsNotNull(key), EqualTo(key," in scan
+    read = max(int(v) for v in metric_values(plan, "number of output rows", "Scan"))
+    assert read < 200_000 / 2
+
+
+def metric_values(df, name, node):
+    """Values of a metric of the plan's nodes whose name begins with ``node``."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        for child in ("children", "innerChildren"):
+            it = getattr(p, child)().iterator()
+            while it.hasNext():
+                todo.append(it.next())
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        if p.nodeName().startswith(node):
+            m = p.metrics().get("numOutputRows")
+            if m.isDefined():
+                out.append(m.get().value())
+    return out

@@ -68,3 +68,31 @@ def test_layout_profile_counts_records_reaching_each_offset(spark):
     assert prof[0]["n_records"] == 3 and prof[0]["n_distinct"] == 1 and prof[0]["min_hex"] == "41"
     assert prof[1]["n_distinct"] == 2 and prof[1]["max_hex"] == "5A"
     assert prof[2]["n_records"] == 1
+
+
+def test_layout_cuts_find_the_fields_of_a_number(spark):
+    """Zero-padded numbers side by side, then text: cuts where the first digit
+    of the next number is and where the letters begin."""
+    rows = [(f"RA{k % 100:03d}{k % 7 + 100:04d}{'abcdefgh'[k % 8] * 3}",) for k in range(400)]
+    got = {r.offset: r for r in parse.layout_cuts(spark.createDataFrame(rows, "raw_data string").withColumn("record_type", F.lit("RA"))).collect()}
+    assert {o for o, r in got.items() if r.cut} == {0, 2, 5, 9}
+    assert got[0].entropy == 0 and abs(got[4].entropy - 3.3219) < 1e-3 and got[9].change == 1.0
+    assert got[11].n_records == 400 and len(got) == 12
+
+
+def test_layout_cuts_of_the_feed(spark):
+    from furlong.plans import bindings as B
+    t = B.text_records(spark, "/root/testdata/sf0.001").withColumn("record_type", F.substring("raw_data", 1, 2))
+    cuts = {(r.record_type, r.offset) for r in parse.layout_cuts(t).filter("cut").collect()}
+    # where the layouts say that a field begins: day, course code, meeting, day number, race number, distance
+    assert {("RA", o) for o in (2, 19, 21, 23, 25, 697)} <= cuts
+    assert {("SE", o) for o in (2, 19, 21, 23, 25, 40)} <= cuts
+    assert 6 <= sum(t == "RA" for t, _ in cuts) < 100   # of 708 offsets
+
+
+def test_layout_ranges_show_hex_and_text(spark):
+    rows = [("SE", "SE馬x"), ("SE", "SE"), ("SE", "SEab"), ("RA", "RA1"), ("ZZ", "ZZ1")]
+    got = [tuple(r) for r in parse.layout_ranges(spark.createDataFrame(rows, "record_type string, raw_data string"), {"SE": [(0, 2), (2, 5)], "RA": [(1, 9)]}, 3).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("RA", 1, 1, 9, "4131", "A1"), ("SE", 1, 0, 2, "5345", "SE"), ("SE", 1, 2, 5, None, None), ("SE", 2, 0, 2, "5345", "SE"), ("SE", 2, 2, 5, "6162", "ab"),
+        ("SE", 3, 0, 2, "5345", "SE"), ("SE", 3, 2, 5, "946E78", "馬x")], key=str)
