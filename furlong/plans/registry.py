@@ -4,6 +4,7 @@ DuckDB oracle statements."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,13 +93,16 @@ def _served(spark, d, *names):
     base = _scratch(spark, "served")
     needs = {"races": ["results"], "entries": ["results", "raw_se"], "history": ["history"], "master": ["history"]}
     m = model(spark, d, *dict.fromkeys(x for n in names for x in needs[n]))
-    for n in names:
+
+    def write(n):
         if n == "history":
             form.store_history(m[n], f"{base}/{n}")
         elif n == "master":
             store_sorted(B.derived_master(m["history"]), f"{base}/{n}", "horse_name")
         else:
             store_sorted(m[n], f"{base}/{n}", "race_id")
+    with ThreadPoolExecutor(len(names)) as pool:   # independent tables: their jobs run side by side
+        list(pool.map(write, names))
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 
 
