@@ -2,10 +2,15 @@
 
 Equal vectors are one point with a count. A rotation of the leading principal
 axes is learned on a bounded sample (``SAMPLE`` vectors, the smallest by hash)
-so that the signs of the rotated vectors are balanced binary codes. All codes
-go into ``TABLES`` Hamming tables, keyed by a part of the code; each code is
-looked up under every key at most one bit from its own, which finds every two
-codes at most ``2 * TABLES - 1`` bits apart. A table's bucket returns a
+so that the signs of the rotated vectors are balanced binary codes. How far
+apart the codes of two vectors at the threshold lie depends on the data (a
+direction that all vectors share shrinks what the codes can tell apart), so it
+is measured: pairs at just the threshold are made from the sample, the reach is
+the bit distance that all but ``LOST`` of them stay within, and the number of
+Hamming tables the least that brings all but ``LOST`` of them together. Each
+table is keyed by a part of the code; a code is looked up under every key at
+most one bit from its own. ``exact=True`` compares all points, block against
+block, without codes. A table's bucket returns a
 spanning forest of such code pairs, and their components are the candidate
 sets. Within a set, the original vectors are compared in double precision,
 block against block, so a set of any size is work for many tasks; a block
@@ -14,7 +19,7 @@ returns counts of links and a spanning forest, never the pairs.
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components have no links and their own id as component; vectors of
 different lengths are never linked; ties and repeated rows link like any
-others; rows with a null id are kept and count as links; an empty table gives
+others; extra columns are not read; rows with a null id are kept and count as links; an empty table gives
 an empty result.
 """
 
@@ -33,8 +38,9 @@ from furlong.llm.components import Forest, components
 
 THRESHOLD = 0.95
 BITS = 64
-TABLES = 5
-REACH = 2 * TABLES - 1
+TABLES = (4, 5, 6, 7, 8, 10, 12, 16)
+LOST = 0.002
+TRIALS = 4000
 SAMPLE = 20_000
 ROUNDS = 40
 BLOCK_VECTORS = 2048
@@ -147,13 +153,42 @@ def _block_links(threshold: float):
     return run
 
 
-def _candidate_sets(points: DataFrame, dim: int, tables: int) -> DataFrame:
+def threshold_flips(sample: np.ndarray, model: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Differing bits, as codes, of pairs at just the threshold: vectors of the
+    sample, and what they become when turned towards another one or at random."""
+    rng = np.random.default_rng(5)
+    x = unit(sample[rng.integers(0, len(sample), TRIALS)].astype(np.float64))
+    to = np.where(np.arange(TRIALS)[:, None] % 2 == 0, unit(sample[rng.integers(0, len(sample), TRIALS)].astype(np.float64)), rng.standard_normal(x.shape))
+    to = to - (to * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((to * to).sum(axis=1, keepdims=True))
+    x, to = x[size[:, 0] > 1e-9], (to / np.maximum(size, 1e-9))[size[:, 0] > 1e-9]
+    return codes(x, model) ^ codes(threshold * x + np.sqrt(1 - threshold * threshold) * to, model)
+
+
+def plan_tables(flips: np.ndarray, bits: int) -> tuple[int, int]:
+    """(reach, tables) that lose at most ``LOST`` of the pairs each."""
+    if not len(flips):
+        return 0, 1
+    apart = np.bitwise_count(flips)
+    reach = int(np.quantile(apart, 1 - LOST, method="higher"))
+    for tables in [t for t in TABLES if t <= bits] or [bits]:
+        met = np.zeros(len(flips), bool)
+        for first, n in _parts(bits, tables):
+            met |= np.bitwise_count((flips >> np.uint64(first)) & np.uint64((1 << n) - 1)) <= 1
+        if met.mean() >= 1 - LOST:
+            break
+    return reach, tables
+
+
+def _candidate_sets(points: DataFrame, dim: int, threshold: float) -> DataFrame:
     """Column ``root`` added: two points are compared only if it is equal."""
     spark = points.sparkSession
     sample = points.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").toPandas()["vec"]
     bits = min(BITS, dim)
-    tables = min(tables, bits)
-    model = spark.sparkContext.broadcast(fit_rotation(np.stack(sample.to_list()), bits))
+    sample = np.stack(sample.to_list())
+    fitted = fit_rotation(sample, bits)
+    reach, tables = plan_tables(threshold_flips(sample, fitted, threshold), bits)
+    model = spark.sparkContext.broadcast(fitted)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,13 +197,14 @@ def _candidate_sets(points: DataFrame, dim: int, tables: int) -> DataFrame:
 
     coded = store(points.mapInArrow(encode, "cid long, vec array<float>, n long, code long"), "codes")
     dealt = coded.select("code").distinct().mapInArrow(_deal(bits, tables), "key long, home boolean, code long")
-    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(2 * tables - 1), "a long, b long")
+    near = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(reach), "a long, b long")
     roots = components(near).select(F.col("a").alias("code"), F.col("b").alias("root"))
     return coded.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
-    """uid, vec_id, n_links, component_id of ``vectors`` (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """uid, vec_id, n_links, component_id of ``vectors`` (vec_id, embedding).
+    ``exact`` compares all points of a length with each other."""
     v = with_uid(pick(vectors, vec_id="vec_id", vec="embedding")).withColumn("vec", F.col("vec").cast("array<float>"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.coalesce((F.size("vec") > 0) & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0), F.lit(False))
@@ -177,7 +213,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     dims = sorted(r.d for r in points.select(F.size("vec").alias("d")).distinct().collect())
     found = None
     for dim in dims:
-        sets = store(_candidate_sets(points.filter(F.size("vec") == dim).select("cid", "vec", "n"), dim, tables), "candidate-sets")
+        of_dim = points.filter(F.size("vec") == dim).select("cid", "vec", "n")
+        sets = of_dim.withColumn("root", F.lit(0).cast("long")) if exact else store(_candidate_sets(of_dim, dim, threshold), "candidate-sets")
         sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         blocks = F.ceil(F.col("size") / BLOCK_VECTORS).cast("int")
         rows = sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))

@@ -38,6 +38,7 @@ from furlong.llm.common import read_table, store
 
 ORDER = 3
 PAD = 0x0A
+SURE = 0.9
 HOLD_OUT = (5, 0)
 UNKNOWN = "und"
 MODEL_CELLS = 1 << 25
@@ -243,9 +244,20 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go."""
+    """Documents whose language can be told, under that language: those without
+    a letter go. A missing ``lang`` becomes the predicted one, and so does one
+    that a prediction with a score of ``SURE`` or more contradicts.
+
+    Defined results: nulls and empty texts go; texts of any length are read
+    whole; repeated rows stay repeated; ties go to the first language by name;
+    an empty table stays empty; extra columns stay as they are.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    keyed = docs.select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text"), "text")
-    bad = store(identify(keyed, model).filter(F.col("lang_pred") == UNKNOWN).select("row.*").distinct(), "rejected")
+    keyed = docs.select(F.col("doc_id").alias("its_id"), F.xxhash64("text").alias("its_text"), F.col("lang").alias("its_lang"), "text")
+    told, label = F.col("lang_pred"), F.col("row.its_lang")
+    moved = (told == UNKNOWN) | label.isNull() | ((told != label) & (F.col("score") >= SURE))
+    changes = store(identify(keyed, model).filter(moved).select("row.*", "lang_pred").distinct(), "relabelled")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("text_"))
-    return rows.join(bad, F.col("id_").eqNullSafe(F.col("bad_id")) & (F.col("text_") == F.col("bad_text")), "left_anti").select("row.*")
+    same = F.col("id_").eqNullSafe(F.col("its_id")) & (F.col("text_") == F.col("its_text")) & F.col("row.lang").eqNullSafe(F.col("its_lang"))
+    met = rows.join(changes, same, "left").filter(told.isNull() | (told != UNKNOWN))
+    return met.select(F.col("row").withField("lang", F.coalesce(told, F.col("row.lang"))).alias("row")).select("row.*")

@@ -1,23 +1,25 @@
 """Sharding by fixed virtual slots (operator 2).
 
 A record's virtual slot is a hash of its content modulo ``n_slots``; it never
-changes. Bytes are aggregated per slot and a slot-to-shard map, stored as a
+changes, whatever the number of shards. Bytes are aggregated per slot and a slot-to-shard map, stored as a
 versioned table, says where each slot lives. Rebalancing edits the map and
 leaves the records' slots alone. The law held is ``bytes``: slots go largest
 first to the lightest shard, so shard sizes end up within one small slot of
 each other.
 
-Repeated records share a slot. A slot above ``1 / (hot_part * shards)`` of all
-bytes would spoil the balance, so its rows are dealt over ``n_slots`` extra
-slots by row number; at most ``hot_part * shards`` slots can be that large.
+Records that are equal in id, checksum and size are numbered 1, 2, 3..., and
+the number is part of what is hashed, so any number of them spreads over the
+slots. The numbers are given without a window over all of them: rows are
+numbered inside each task's share, and the shares' sizes say where each begins.
 
-The map has at most ``2 * n_slots`` rows, a fixed bound, and is the only thing
+The map has at most ``n_slots`` rows, a fixed bound, and is the only thing
 that reaches the driver or is broadcast. Positions inside a shard are slot
 offsets plus a row number inside the slot, so no window covers a whole shard.
 
 Defined results: a null text has size 1 and checksum 0; null ids are hashed as
-such; repeated rows are separate records; an empty table gives no rows and an
-empty map.
+such; repeated rows are separate records and tie in any order, as they are
+equal; very long texts count their bytes like any other and are not moved; extra
+columns are not read; an empty table gives no rows and an empty map.
 """
 
 from __future__ import annotations
@@ -32,25 +34,35 @@ from furlong.llm.common import octets, pick, read_table, store, with_uid
 from furlong.session import scratch_path
 
 N_SLOTS = 4096
-HOT_PART = 4
+_ROW_BITS = 33  # of a row number, below the partition that gave it
 MAP_SCHEMA = "vslot int, shard int, bytes long, rows long, start long, version int"
 
 
-def record_slots(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+def number_equals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Column ``nth``: 1, 2, 3... among the stored rows that are equal in ``keys``."""
+    share = F.shiftright("uid", _ROW_BITS).alias("share")
+    inside = F.row_number().over(Window.partitionBy(*keys, "share").orderBy("uid"))
+    sizes = rows.groupBy(*keys, share).agg(F.count(F.lit(1)).alias("in_share"))
+    before = F.sum("in_share").over(Window.partitionBy(*keys).orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"starts.{k}")) for k in [*keys, "share"]]
+    numbered = rows.withColumn("share", share).withColumn("inside", inside).alias("rows")
+    # only a key's later shares have anything before them
+    return (numbered.join(starts.filter("before > 0").alias("starts"), same, "left")
+            .select("rows.*", (F.col("inside") + F.coalesce("before", F.lit(0))).alias("nth")).drop("share", "inside"))
+
+
+def record_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """Stored narrow records: uid, doc_id, size, text_crc32, vslot."""
     d = pick(docs, doc_id="doc_id", text="text")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    d = d.select("doc_id", (octets(F.col("text")) + 1).alias("size"), crc.alias("text_crc32"))
-    d = store(with_uid(d.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))), "shard-records")
-    by_slot = d.groupBy("vslot").agg(F.sum("size").alias("bytes"))
-    total = by_slot.agg(F.sum("bytes")).first()[0] or 0
-    hot = [r.vslot for r in by_slot.filter(F.col("bytes") * HOT_PART * n_shards > total).limit(HOT_PART * n_shards + 1).collect()]
-    spread = (n_slots + F.pmod(F.xxhash64("uid"), F.lit(n_slots))).cast("int")
-    return d.withColumn("vslot", F.when(F.col("vslot").isin(hot), spread).otherwise(F.col("vslot"))) if hot else d
+    d = store(with_uid(d.select("doc_id", (octets(F.col("text")) + 1).alias("size"), crc.alias("text_crc32"))), "shard-rows")
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "nth"), F.lit(n_slots)).cast("int")
+    return store(number_equals(d, ["doc_id", "text_crc32", "size"]).withColumn("vslot", slot).drop("nth"), "shard-records")
 
 
 def slot_sizes(records: DataFrame) -> list[tuple[int, int, int]]:
-    """(vslot, bytes, rows): at most ``2 * n_slots`` rows."""
+    """(vslot, bytes, rows): at most ``n_slots`` rows."""
     rows = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     return sorted((r.vslot, r.bytes, r.rows) for r in rows)
 
@@ -114,7 +126,7 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path:
     """Rows doc_id, size, text_crc32, shard, slot (position in the shard) and
     virtual_slot; version 1 of the map is written to ``map_path``."""
     spark = docs.sparkSession
-    records = record_slots(docs, n_shards, n_slots)
+    records = record_slots(docs, n_slots)
     sizes = slot_sizes(records)
     path = map_path or scratch_path(spark, "llm", f"slot-map-{uuid.uuid4().hex[:12]}")
     write_map(map_table(spark, sizes, place(sizes, n_shards), 1), path, 1)

@@ -37,10 +37,25 @@ def test_stages_match_brute_force(spark):
     assert max(load.values()) - min(load.values()) < 0.05 * max(load.values())
 
 
+def test_language_stage_uses_its_prediction(spark):
+    """Texts without a label get the language that they are in, and a wrong label is put right."""
+    rows = [(r.doc_id, r.text, r.lang) for r in read_table(spark, MEDIUM, "documents").collect() if r.lang and len(r.text or "") > 400]
+    hidden = [(i, t, None if i % 5 == 1 else "xx" if i % 97 == 2 else lang) for i, t, lang in rows] + [(None, None, "en"), (-1, "12 34", "en"), (-2, "", None)]
+    docs = spark.createDataFrame(hidden, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "'clash' AS row", "1 AS score")
+    out = corpus_pipeline.STAGES[0][1](spark, docs, MEDIUM)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.lang for r in out.collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    blank = [(got[i], lang) for i, _, lang in rows if i % 5 == 1]
+    assert len(blank) > 50 and sum(a == b for a, b in blank) >= 0.97 * len(blank)
+    wrong = [(got[i], lang) for i, _, lang in rows if i % 5 != 1 and i % 97 == 2]
+    assert sum(a == b for a, b in wrong) >= 0.5 * len(wrong)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 

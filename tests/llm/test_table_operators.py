@@ -51,7 +51,7 @@ def test_hot_records_are_spread(spark):
 
 def test_slot_map_is_versioned_and_edited(spark, folder):
     path = folder()
-    records = sharding.record_slots(spark.read.parquet(f"{MEDIUM}/documents.parquet"), 8)
+    records = sharding.record_slots(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
     sizes = sharding.slot_sizes(records)
     first = sharding.place(sizes, 8)
     sharding.write_map(sharding.map_table(spark, sizes, first, 1), path, 1)
@@ -68,6 +68,18 @@ def test_slot_map_is_versioned_and_edited(spark, folder):
     assert set(fewer.values()) <= set(range(8))
 
 
+def test_slots_do_not_depend_on_shards_or_partitions(spark):
+    """Virtual slots are the same for any shard count, in any partitioning, hot records included."""
+    docs = spark.range(2000).select(F.when(F.col("id") % 2 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 > 0, F.concat(F.lit("t"), "id")).otherwise(F.lit("same")).alias("text"))
+    seen = [Counter((r.doc_id, r.virtual_slot) for r in sharding.shard(d, n).collect()) for d, n in ((docs, 8), (docs, 16), (docs.repartition(5), 8))]
+    assert seen[0] == seen[1] == seen[2]
+    assert len({s for i, s in seen[0] if i is None}) > 800
+    twice = spark.createDataFrame([(None, None, 1)] * 5 + [(1, "a", 1)] * 3, "k long, t string, x int").repartition(3)
+    from furlong.llm.common import store, with_uid
+    got = sharding.number_equals(store(with_uid(twice), "equals"), ["k", "t"]).collect()
+    assert sorted(r.nth for r in got if r.k is None) == [1, 2, 3, 4, 5] and sorted(r.nth for r in got if r.k) == [1, 2, 3]
+
+
 # mixing
 
 def mixed(docs):
@@ -205,6 +217,30 @@ def test_embeddings_reach_every_link(spark):
     assert np.mean([got[k].component_id == of[k] for k in range(len(rows))]) >= 0.95
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_embeddings_keep_their_links_when_vectors_share_a_direction(spark, common):
+    """700 pairs at cosine 0.955; all vectors lean towards one direction, so that
+    the mean cosine of any two is ``common``."""
+    rng = np.random.default_rng(8)
+    lean = embeddings.unit(rng.standard_normal((1, 64)))
+    def turned(m):
+        free = rng.standard_normal((m, 64))
+        free = embeddings.unit(free - (free @ lean.T) * lean)
+        return np.sqrt(common) * lean + np.sqrt(1 - common) * free
+    x = turned(4000)
+    to = rng.standard_normal((700, 64))
+    to = embeddings.unit(to - (to * x[:700]).sum(axis=1, keepdims=True) * x[:700])
+    x = np.concatenate([x, 0.955 * x[:700] + np.sqrt(1 - 0.955**2) * to]).astype(np.float32)
+    d = embeddings.unit(x.astype(np.float64))
+    want = (d @ d.T >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[k] <= n for k, n in enumerate(want.tolist()))
+    if common == 0.7:
+        exact = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame, exact=True).collect()}
+        assert [exact[k] for k in range(len(x))] == want.tolist()
+
+
 def test_embeddings_over_the_given_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()]
     links = linked(rows)
