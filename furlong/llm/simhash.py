@@ -6,15 +6,20 @@ a bounded sample (``SAMPLE`` fingerprints, the smallest by hash) and only
 decides where a point lives: every distinct fingerprint has one home leaf, and
 is sent as a query to each other leaf that the triangle bound can't rule out.
 Of two points on either side of a node's radius it is the inner one that
-visits the outer side, so each pair is met once. Inside a leaf a local tree
-is searched the same way, down to blocks compared bit by bit.
+visits the outer side, so each pair is met once. The top has at most
+``TOP_DEPTH`` levels, as many as the sample can place; a leaf with more than
+``LEAF_ROWS`` fingerprints is cut into blocks, each pair of which is a task's
+group, so a group is bounded at any size. Inside a group a local tree is
+searched the same way, down to blocks compared bit by bit.
 
 A leaf returns a spanning forest of its links, never its pairs: at most one
 row per point that it saw. Components of these are the groups.
 
-Defined results: null and wordless texts have fingerprint zero and link like
-any other; null ids count as larger than all others; repeated rows share
-fingerprint and component; an empty table gives an empty result.
+Defined results: null, empty and wordless texts have fingerprint zero and link
+like any other; very long texts are hashed whole, some shingles at a time; null
+ids count as larger than all others; repeated rows share fingerprint and
+component, so ties don't arise; extra columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ SEED = 42
 MAX_BITS = 2
 SAMPLE = 1 << 15
 LEAF_POINTS = 2048
-MAX_DEPTH = 12
+TOP_DEPTH = 12
+LEAF_ROWS = 1 << 15
 BLOCK = 1 << 21
 
 
@@ -158,23 +164,42 @@ def near(queries: np.ndarray, points: np.ndarray, reach: int = MAX_BITS) -> Iter
                 yield q[i + a], p[b]
 
 
-def _leaf_links(table: pa.Table) -> pa.Table:
-    fps = table.column("fp").to_numpy().view(np.uint64)
-    home = table.column("home").to_numpy()
-    order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
-    fps, n = fps[order], int(home.sum())
+_BOTH, _POINT, _QUERY = 0, 1, 2  # what a fingerprint is in its group
+
+
+def _group_links(table: pa.Table) -> pa.Table:
+    fps, at = np.unique(table.column("fp").to_numpy().view(np.uint64), return_inverse=True)
+    role = table.column("role").to_numpy()
+    queries, points = np.unique(at[role != _POINT]), np.unique(at[role != _QUERY])
     forest = Forest(len(fps))
-    for a, b in near(fps, fps[:n]):
-        forest.add(a, b)
+    for a, b in near(fps[queries], fps[points]):
+        forest.add(queries[a], points[b])
     linked = np.flatnonzero(forest.label != np.arange(len(fps)))
     return pa.table({"a": B.signed(fps[linked]), "b": B.signed(fps[forest.label[linked]])})
 
 
+def group_blocks(dealt: DataFrame, most: int = LEAF_ROWS) -> DataFrame:
+    """leaf, hb, qb, role, fp: the groups of ``dealt`` (leaf, home, fp), none
+    with more than about ``most`` points and ``most`` queries. A leaf that fits
+    is one group; of a larger one every block of its points meets every block
+    of all that is asked there."""
+    part = lambda n: F.ceil(n / F.lit(most)).cast("int")
+    sizes = dealt.groupBy("leaf").agg(F.greatest(part(F.count_if("home")), F.lit(1)).alias("hbs"), part(F.count(F.lit(1))).alias("qbs"))
+    rows = dealt.join(F.broadcast(sizes), "leaf")   # a row a leaf: at most 2**TOP_DEPTH
+    spread = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    cell = lambda h, q, role: F.struct(h.alias("hb"), q.alias("qb"), F.lit(role).alias("role"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("hbs") - 1), lambda h: cell(h, spread(F.col("qbs")), _QUERY))
+    lives = F.transform(F.sequence(F.lit(0), F.col("qbs") - 1), lambda q: cell(spread(F.col("hbs")), q, _POINT))
+    whole = F.array(F.struct(F.lit(0).alias("hb"), F.lit(0).alias("qb"), F.when(F.col("home"), F.lit(_BOTH)).otherwise(F.lit(_QUERY)).alias("role")))
+    cells = F.when(F.col("qbs") == 1, whole).when(F.col("home"), F.concat(asks, lives)).otherwise(asks)
+    return rows.select("leaf", "fp", F.inline(cells))
+
+
 def near_links(points: DataFrame, reach: int = MAX_BITS) -> DataFrame:
     """Links (a, b) that connect what lies within ``reach`` bits, of distinct column fp."""
     spark = points.sparkSession
     n = points.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / LEAF_POINTS)))))
+    depth = min(TOP_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / LEAF_POINTS)))))
     sample = np.array([r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     nodes = spark.sparkContext.broadcast(fit_tree(sample, depth))
 
@@ -183,8 +208,8 @@ def near_links(points: DataFrame, reach: int = MAX_BITS) -> DataFrame:
             for leaf, p, home in route(nodes.value, batch.column("fp").to_numpy().view(np.uint64), reach):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), leaf, np.int32)), pa.array(home), pa.array(B.signed(p))], names=["leaf", "home", "fp"])
 
-    dealt = points.select("fp").mapInArrow(deal, "leaf int, home boolean, fp long")
-    return dealt.groupBy("leaf").applyInArrow(_leaf_links, "a long, b long")
+    dealt = store(points.select("fp").mapInArrow(deal, "leaf int, home boolean, fp long"), "dealt-points")
+    return group_blocks(dealt, LEAF_ROWS).groupBy("leaf", "hb", "qb").applyInArrow(_group_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, reach: int = MAX_BITS) -> DataFrame:

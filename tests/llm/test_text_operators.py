@@ -84,6 +84,26 @@ def test_simhash_matches_brute_force(spark, small_docs):
     assert Counter(tuple(r) for r in simhash.q_simhash(spark, SMALL).collect()) == simhash_rows(small_docs)
 
 
+def test_simhash_splits_large_leaves(spark, monkeypatch):
+    """Leaves cut into many block pairs link the same as one block."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    near = base[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    fps = np.unique(np.concatenate([base, near]).view(np.int64))
+    points = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    monkeypatch.setattr(simhash, "LEAF_POINTS", 256)
+    found = []
+    for most in (1 << 15, 40):
+        monkeypatch.setattr(simhash, "LEAF_ROWS", most)
+        links = [(int(np.searchsorted(fps, r.a)), int(np.searchsorted(fps, r.b))) for r in simhash.near_links(points).collect()]
+        found.append(groups_of(len(fps), links))
+    bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64))
+    assert found[0] == found[1] == groups_of(len(fps), [(a, b) for a, b in np.argwhere(bits <= 2).tolist() if a > b])
+    dealt = spark.range(1000).selectExpr("0 AS leaf", "id % 2 = 0 AS home", "id AS fp")
+    sizes = simhash.group_blocks(dealt, 100).groupBy("hb", "qb", "role").count().collect()
+    assert len({(r.hb, r.qb) for r in sizes}) == 5 * 10 and max(r["count"] for r in sizes) < 200
+
+
 def test_simhash_of_odd_rows(spark, folder, messy, no_docs):
     got = Counter(tuple(r) for r in simhash.q_simhash(spark, folder(documents=messy)).collect())
     assert got == simhash_rows([r[:2] for r in messy_rows()])
