@@ -15,7 +15,10 @@ window; equal items are matched once.
 
 Defined results: null or wordless texts have no words and no hits, null or
 wordless items have no windows; an item with a null id marks words but is not
-listed; repeated rows are judged separately; empty tables give no hits.
+listed; repeated rows are judged separately; very long texts are read whole;
+shingles that are equally rare are ordered by their hash, which decides what is
+joined but not what is hit; extra columns are not read; empty tables give no
+hits.
 """
 
 from __future__ import annotations
@@ -201,7 +204,11 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no word inside a benchmark window."""
+    """Documents with no word inside a benchmark window.
+
+    Defined results: null and wordless texts stay; there are no ties; repeated rows are judged alike; texts of any
+    length are read whole; an empty table stays empty; extra columns stay.
+    """
     bad = (decontaminate(docs, read_table(spark, sf_dir, "benchmark")).documents.filter("n_hit > 0")
            .select(F.col("doc_id").alias("bad_id"), F.col("k_text").alias("bad_text")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("text_"))

@@ -18,7 +18,8 @@ language's tree is not split: one with more leaves is a part by itself.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; with nothing to learn from, all are; ties go to the first language in code
-point order; repeated rows are scored alike.
+point order; repeated rows are scored alike; very long texts are read whole;
+extra columns stay beside the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ windows without partitions run over the table of sources, one row each.
 
 Defined results: a null text has size 0; a null source is a source, last in
 the order; a document without words is taken 0 times; repeated rows are
-separate documents; an empty table gives an empty result.
+separate documents; a very long text is a document of its size; ties in the
+order go by id, text and row number; extra columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -142,7 +144,11 @@ def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mixed proportions: a document appears once for each
-    pass the mix makes over it, rounded; repeated rows share their passes."""
+    pass the mix makes over it, rounded; repeated rows share their passes.
+
+    Defined results: null and wordless texts go; a null source is a source;
+    texts of any length are one document; ties go by id; an empty table stays
+    empty; extra columns stay."""
     passes = F.sum("taken") / F.sum("size")
     times = (mix(docs).documents.filter("size > 0").groupBy("doc_id", "source", "crc", "size")
              .agg(F.floor(passes + 0.5).cast("int").alias("times")).filter("times > 0"))

@@ -19,7 +19,8 @@ Fitting uses bounded samples, the smallest by hash: ``POSITIVES`` labelled and
 Defined results: null and empty texts have zero features and are scored like
 any other; a null or unlabelled quality is unlabelled, a document labelled
 both ways is not a positive; without positives every score is 0; repeated rows
-are scored alike; an empty table gives an empty result.
+are scored alike; very long texts are read whole; ties in a feature fall into
+one bin; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -34,8 +34,9 @@ Step 2's equality, and the prefilter of step 4, are by 64-bit hashes; the
 repeats of step 4 are compared byte by byte.
 
 Defined results: a null text is empty; repeated rows are separate texts, so
-each is removed wholly if it has ``LEAST`` bytes; an empty table gives an
-empty result.
+each is removed wholly if it has ``LEAST`` bytes; very long texts are cut into
+slices inside a task but matched whole; of equal hashes the first place stands
+for the others; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -147,4 +147,5 @@ def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digest of :func:`shard` for all documents, with its defined results."""
     return digest(shard(docs))

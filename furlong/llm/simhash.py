@@ -229,7 +229,11 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: its smallest doc_id, then the smallest text
-    hash; of rows that are equal in both, one."""
+    hash; of rows that are equal in both, one.
+
+    Defined results: null, empty and wordless texts are one group; null ids
+    come last; very long texts are hashed whole; an empty table stays empty;
+    extra columns stay, those of one of several equal rows."""
     found = near_duplicates(docs).groupBy("root", "doc_id", "k_text").agg(F.count(F.lit(1)).alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "n")).alias("x"))
     keep = store(first.select(F.col("x.doc_id").alias("keep_id"), F.col("x.k_text").alias("keep_text"), F.col("x.n").alias("n")), "kept-keys")

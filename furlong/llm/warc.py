@@ -24,7 +24,9 @@ reads the record by offset and length.
 Defined results: null html is an empty payload; a null url has no target
 header and the empty key; null page ids come before all others; of repeated
 rows with the largest id one is the response; an empty table writes archives
-without records and an empty index.
+without records and an empty index; a very long payload is one record, read
+whole; control characters of a url are percent-encoded, in the record and when
+it is looked up; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -249,7 +251,7 @@ def scan_index(index: Index) -> DataFrame:
 def lookup(index: Index, url: str) -> list[dict]:
     """Captures of one url, in order. The directory is searched in memory up to
     ``DIRECTORY_ROWS`` rows, and by a pushed-down range filter beyond that."""
-    key = surt(url)
+    key = surt(_header_text(url))   # as it was written
     rows = index.directory.orderBy("first_key", "block_id").limit(DIRECTORY_ROWS + 1).collect()
     if len(rows) > DIRECTORY_ROWS:
         ids = [r.block_id for r in index.directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect()]

@@ -179,6 +179,9 @@ def test_lookups_read_ranges(spark):
     (big,) = warc.lookup(index, "http://a.org/big")
     assert warc.read_record(spark, big["archive"], big["offset"], big["length"])[1].endswith("qé".encode())
     assert warc.lookup(index, "http://nowhere.org/") == []
+    odd = "http://odd.org/a\tb\x01c"    # control characters are percent-encoded in a record
+    stored = warc.archive_pages(spark.createDataFrame([(1, odd, "x"), (2, "http://odd.org/ab", "y")], "page_id long, url string, html string"))
+    assert [h["page_id"] for h in warc.lookup(stored, odd)] == ["1"]
 
 
 def test_directory_finds_every_key_in_small_blocks(spark, folder):
