@@ -4,17 +4,26 @@ Each text becomes ``len(FEATURES)`` numbers (shares of characters, words,
 lines and repeats) in one pass over its bytes; everything else works on those.
 The classifier is an additive model over quantile bins of the features. It is
 fitted on trusted positives and unlabelled web text only, by the non-negative
-risk estimator: with class prior ``p``, minimise
+risk: with class prior ``p`` and the sigmoid loss ``l(z) = 1 / (1 + e^z)``,
 
-    p * E_pos[l(z)] + max(0, E_unl[l(-z)] - p * E_pos[l(-z)])
+    p * E_pos[l(z)] + |N|,   N = E_unl[l(-z)] - p * E_pos[l(-z)]
 
-for the logistic loss, stepping back along the second part where it falls
-below zero. The prior is estimated first: a positive-against-unlabelled
-classifier is fitted to half of each sample, and the least ratio of the two
-shares above a score, over the scores of the other half, bounds the prior.
+which is the unbiased risk where N, the negatives' part, is not below zero, and
+steps back along N where it is; |N| is rounded at zero, so that the risk has a
+gradient everywhere. A bounded loss is what keeps a prior that is a little high
+from undoing the negatives. The unlabelled set is all text to learn from, whatever its
+label, as its prior is the one that scores are to be calibrated to.
 
-Fitting uses bounded samples, the smallest by hash: ``POSITIVES`` labelled and
-``UNLABELLED`` other rows. Features and scores cover every text.
+Fitting covers all rows to learn from, with no sample: quantiles come from
+counts by the features' leading bits, and each step of the descent (limited
+memory quasi-Newton) is one Spark pass that sums ``len(FEATURES) * BINS + 1``
+gradients and the losses. Only such sums reach the driver. At most ``ROUNDS``
+steps are made; more only sharpen the fit.
+
+The prior is estimated first: a positive-against-unlabelled classifier is
+fitted to half of the rows, by the logistic loss, whose least risk is a ratio of
+densities, and the least ratio of the two shares above a
+score, over the scores of the other half, bounds the prior.
 
 Defined results: null and empty texts have zero features and are scored like
 any other; a null or unlabelled quality is unlabelled, a document labelled
@@ -38,12 +47,15 @@ from furlong.llm.common import pick, read_table, store
 
 FEATURES = ("log_bytes", "log_words", "bytes_per_word", "upper", "digits", "stops", "marks", "not_ascii", "space", "words_per_line", "distinct_words",
             "top_word", "distinct_pairs", "distinct_lines", "words_without_letter", "words_capital", "words_upper", "words_marked", "long_words")
-POSITIVES = 20_000
-UNLABELLED = 40_000
 BINS = 24
-ROUNDS = 400
+ROUNDS = 60
 HOLD_OUT = (3, 1)
-RIDGE = 1e-4
+RIDGE = 1e-3
+ROUNDING = 1e-3  # of |N|
+LEADING = 44  # bits of a double that the counts for quantiles leave out: 256 values from one power of two to the next
+SCORE_BINS = 4096
+
+_CELLS = len(FEATURES) * BINS
 
 _WORD = ~B.byte_class((0x09, 0x0D), (0x20, 0x20))
 _LINE = ~B.byte_class((0x0A, 0x0A))
@@ -128,47 +140,160 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def fit_risk(pos: np.ndarray, unl: np.ndarray, prior: float, cells: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk, from cell indices of positives and unlabelled rows; by Adam."""
-    w, m, v = np.zeros(cells + 1), np.zeros(cells + 1), np.zeros(cells + 1)
-    back = lambda idx, g: np.append(np.bincount(idx.ravel(), np.repeat(g, idx.shape[1]), cells), g.sum())
-    for t in range(1, rounds + 1):
-        zp, zu = w[pos].sum(axis=1) + w[-1], w[unl].sum(axis=1) + w[-1]
-        as_pos = back(pos, -prior * _sigmoid(-zp) / len(pos))  # of p E_pos l(z)
-        as_neg = back(unl, _sigmoid(zu) / len(unl)) - back(pos, prior * _sigmoid(zp) / len(pos))
-        below = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() < 0
-        g = (-as_neg if below else as_pos + as_neg) + RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, cells: int) -> float:
-    """Share of positives among the unlabelled, from cell indices."""
-    w, b = fit_risk(pos[::2], unl[::2], 0.5, cells, ROUNDS // 2)
-    sp, su = (np.sort(w[x].sum(axis=1) + b) for x in (pos[1::2], unl[1::2]))
-    if not len(sp) or not len(su):
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _leading_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by feature and leading bits, whose order is the numbers' own: features are never negative."""
+    for batch in batches:
+        code = np.ascontiguousarray(_matrix(batch.column("x"))).view(np.int64) >> LEADING
+        for k in range(code.shape[1]):
+            v, n = np.unique(code[:, k], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(n.astype(np.int64))], names=["k", "code", "n"])
+
+
+def quantile_edges(rows: DataFrame) -> np.ndarray:
+    """Inner edges of each feature's bins over all rows of ``rows`` (x)."""
+    counts = rows.select("x").mapInArrow(_leading_bits, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((len(FEATURES), BINS - 1))
+    for k, c in counts.sort_values("code").groupby("k"):
+        upto = np.cumsum(c["n"].to_numpy(np.int64))
+        at = np.searchsorted(upto, upto[-1] * np.arange(1, BINS) / BINS)
+        out[k] = (c["code"].to_numpy(np.int64)[at] << LEADING).view(np.float64)
+    return out
+
+
+def _to_cells(edges: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("x"))
+            bins = np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(edges)], 1).astype(np.uint8)
+            cells = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, bins.size + 1, len(FEATURES), dtype=np.int32)), pa.py_buffer(bins.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cells], names=["doc_id", "cells"])
+    return run
+
+
+def _sums(rows: DataFrame, of_batch, width: int) -> np.ndarray:
+    """Sum over all rows of what ``of_batch`` makes of (flat cell indices, trusted)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(width)
+        for batch in batches:
+            data, _ = B.buffers(batch.column("cells"))
+            idx = data.reshape(-1, len(FEATURES)) + np.arange(0, _CELLS, BINS)
+            out += of_batch(idx, batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["at", "v"])
+
+    out = np.zeros(width)
+    for r in rows.select("cells", "trusted").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def _loss_sums(w: np.ndarray, bounded: bool):
+    """For all rows and for the trusted: rows, sum of l(-z), and its gradient."""
+    def of_batch(idx: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        z = w[idx].sum(axis=1) + w[-1]
+        p = _sigmoid(z)
+        loss, slope = (p, p * (1 - p)) if bounded else (np.logaddexp(0, z), p)
+        out = []
+        for some in (slice(None), trusted):
+            g = slope[some]
+            out += [[len(g), loss[some].sum()], np.bincount(idx[some].ravel(), np.repeat(g, idx.shape[1]), _CELLS), [g.sum()]]
+        return np.concatenate(out)
+    return of_batch
+
+
+def _cell_counts(idx: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+    return np.append(np.bincount(idx[trusted].ravel(), minlength=_CELLS), trusted.sum()).astype(float)
+
+
+class Risk:
+    """The non-negative risk over ``rows`` (cells, trusted), with the sigmoid (``bounded``) or the logistic loss. Every call is one pass."""
+
+    def __init__(self, rows: DataFrame, prior: float, bounded: bool):
+        self.rows, self.prior, self.bounded = rows, prior, bounded
+        counts = _sums(rows, _cell_counts, _CELLS + 1)
+        self.positives = counts[-1]
+        self.share = counts / max(self.positives, 1)  # of positives by cell
+
+    def parts(self, w: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """p * E_pos[l(z)] and N, with their gradients."""
+        sums = _sums(self.rows, _loss_sums(w, self.bounded), 2 * (_CELLS + 3)).reshape(2, -1)
+        (unl, of_unl), (pos, of_pos) = ((s[1] / max(s[0], 1), s[2:] / max(s[0], 1)) for s in sums)
+        good, of_good = (1 - pos, -of_pos) if self.bounded else (pos - self.share @ w, of_pos - self.share)  # l(z) from l(-z)
+        p = self.prior
+        return p * good, p * of_good, unl - p * pos, of_unl - p * of_pos
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        good, of_good, n, of_n = self.parts(w)
+        size = np.hypot(n, ROUNDING)
+        return good + size + RIDGE / 2 * w @ w, of_good + n / size * of_n + RIDGE * w
+
+
+def minimise(risk, w: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of least risk, by limited-memory quasi-Newton steps that each lower it."""
+    f, g = risk(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -g, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0 if past else 1 / max(np.abs(g).max(), 1e-12)
+        while True:
+            then, of_then = risk(w + step * d)
+            if then <= f + 1e-4 * step * (g @ d):
+                break
+            step /= 4
+            if step < 1e-6:
+                return w
+        if step * np.abs(d).max() < 1e-4:
+            return w + step * d
+        if (of_then - g) @ d > 0:
+            past = [*past, (step * d, of_then - g)][-10:]
+        w, f, g = w + step * d, then, of_then
+    return w
+
+
+def estimate_prior(rows: DataFrame) -> float:
+    """Share of positives among the unlabelled, from ``rows`` (cells, trusted, half)."""
+    risk = Risk(rows.filter("half = 0"), 0.5, bounded=False)
+    if not risk.positives:
+        return 0.5
+    w = minimise(risk, np.zeros(_CELLS + 1))
+
+    def by_score(idx: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        at = np.minimum((_sigmoid(w[idx].sum(axis=1) + w[-1]) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)
+        return np.concatenate([np.bincount(at, minlength=SCORE_BINS), np.bincount(at[trusted], minlength=SCORE_BINS)]).astype(float)
+
+    su, sp = _sums(rows.filter("half = 1"), by_score, 2 * SCORE_BINS).reshape(2, -1)
+    if not sp.sum():
         return 0.5
-    at = np.unique(sp)
-    above = lambda s: 1 - np.searchsorted(s, at, "left") / len(s)
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
-    qp, qu = above(sp), above(su)
+    qu, qp = (np.cumsum(s[::-1])[::-1] / s.sum() for s in (su, sp))
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(sp.sum()) + 1 / np.sqrt(su.sum()))
     best = int(np.argmin((qu + slack) / np.maximum(qp, 1e-9)))
-    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+    return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.01, 0.99))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> Scorer | None:
-    """From features of positives and unlabelled rows."""
-    if not len(pos) or not len(unl):
+def fit(rows: DataFrame, trusted: DataFrame) -> Scorer | None:
+    """From features ``rows`` (doc_id, x) and the distinct ids of positives among them."""
+    edges = quantile_edges(rows)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cells = rows.select("doc_id", "x").mapInArrow(_to_cells(edges), f"doc_id {kind}, cells binary").join(trusted.withColumn("yes", F.lit(True)), "doc_id", "left")
+    cells = store(cells.select("cells", F.col("yes").isNotNull().alias("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")), "quality-cells")
+    if cells.filter("trusted").isEmpty():
         return None
-    every = np.concatenate([pos, unl])
-    edges = np.quantile(every, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    out = Scorer(edges, np.zeros((len(FEATURES), BINS)), 0.0, 0.5)
-    p, u, cells = out.cells(pos), out.cells(unl), len(FEATURES) * BINS
-    out.prior = estimate_prior(p, u, cells)
-    w, out.bias = fit_risk(p, u, out.prior, cells)
-    out.weight = w.reshape(len(FEATURES), BINS)
-    return out
+    prior = estimate_prior(cells)
+    w = minimise(Risk(cells, prior, bounded=True), np.zeros(_CELLS + 1))
+    return Scorer(edges, w[:-1].reshape(len(FEATURES), BINS), float(w[-1]), prior)
 
 
 def held_out(doc_id):
@@ -176,11 +301,6 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HOLD_OUT[0] == HOLD_OUT[1]
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    got = rows.orderBy(F.xxhash64("doc_id"), "x").limit(most).select("x").toPandas()["x"]
-    return np.stack(got.to_list()) if len(got) else np.zeros((0, len(FEATURES)))
-
-
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out and score of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality)."""
     d = pick(docs, doc_id="doc_id", text="text")
@@ -188,12 +308,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = store(d.mapInArrow(_extract, f"doc_id {kind}, x array<double>"), "quality-features").withColumn("held_out", held_out(F.col("doc_id")))
     trusted = pick(labels, doc_id="doc_id", quality="quality").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     learn = x.filter(~F.col("held_out"))
-    model = x.sparkSession.sparkContext.broadcast(fit(_sample(learn.join(trusted, "doc_id"), POSITIVES), _sample(learn, UNLABELLED)))
+    model = x.sparkSession.sparkContext.broadcast(fit(learn, trusted))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            v = _matrix(batch.column("x"))
             p = _sigmoid(m.logit(v)) if m is not None else np.zeros(len(v))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p)], names=["doc_id", "held_out", "score"])
 

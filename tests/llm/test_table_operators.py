@@ -376,15 +376,73 @@ def test_quality_of_odd_rows(spark, folder, messy, no_docs):
     assert quality.score_quality(no_docs, labels).count() == 0
 
 
-def test_risk_is_non_negative_and_separates():
+def frame_of(spark, x, trusted):
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>")
+    return rows, spark.createDataFrame([(int(k),) for k in np.flatnonzero(trusted)], "doc_id long")
+
+
+def test_risk_is_non_negative_and_separates(spark):
     rng = np.random.default_rng(8)
-    good = lambda n: rng.normal(1.5, 1, (n, len(quality.FEATURES)))
-    bad = lambda n: rng.normal(-1.5, 1, (n, len(quality.FEATURES)))
-    m = quality.fit(good(2000), np.concatenate([good(1800), bad(1200)]))
+    good = lambda n: np.exp(rng.normal(1.5, 1, (n, len(quality.FEATURES))))
+    bad = lambda n: np.exp(rng.normal(-1.5, 1, (n, len(quality.FEATURES))))
+    x = np.concatenate([good(1800), bad(1200)])
+    m = quality.fit(*frame_of(spark, x, np.arange(3000) < 900))
     assert 0.5 < m.prior < 0.75
     assert (m.logit(good(500)) > 0).mean() > 0.98 and (m.logit(bad(500)) < 0).mean() > 0.98
 
 
+@pytest.mark.parametrize("bounded", [True, False])
+def test_risk_of_all_rows_matches_plain_sums(spark, bounded):
+    rng = np.random.default_rng(5)
+    idx = rng.integers(0, quality.BINS, (300, len(quality.FEATURES)))
+    trusted = rng.random(300) < 0.3
+    rows = spark.createDataFrame([(bytes(v.astype(np.uint8)), bool(t)) for v, t in zip(idx, trusted, strict=True)], "cells binary, trusted boolean")
+    risk = quality.Risk(rows, 0.6, bounded)
+    wide = np.zeros((300, quality._CELLS + 1))
+    wide[np.arange(300)[:, None], idx + np.arange(0, quality._CELLS, quality.BINS)] = 1
+    wide[:, -1] = 1
+
+    def plain(w):
+        z = wide @ w
+        loss = (lambda t: 1 / (1 + np.exp(t))) if bounded else (lambda t: np.log1p(np.exp(-t)))
+        return 0.6 * loss(z[trusted]).mean(), loss(-z).mean() - 0.6 * loss(-z[trusted]).mean()
+
+    w = rng.normal(0, 0.3, quality._CELLS + 1)
+    for at in (w, np.full_like(w, 0.4) * (wide[trusted].mean(0) - wide.mean(0) > 0)):
+        got = risk.parts(at)
+        assert np.allclose([got[0], got[2]], plain(at))
+        for k in (3, 200, quality._CELLS):  # gradients, by differences
+            step = np.zeros_like(at)
+            step[k] = 1e-5
+            assert np.allclose([got[1][k], got[3][k]], (np.array(plain(at + step)) - plain(at - step)) / 2e-5, atol=1e-7)
+
+
+def test_descent_ends_where_a_plain_one_does():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(40, 8)), rng.integers(0, 2, 40)
+    calls = []
+
+    def risk(w):
+        calls.append(1)
+        z = a @ w
+        return np.logaddexp(0, z).mean() - (b * z).mean() + 0.005 * w @ w, a.T @ (1 / (1 + np.exp(-z)) - b) / 40 + 0.01 * w
+
+    got, plain = quality.minimise(risk, np.zeros(8)), np.zeros(8)
+    assert len(calls) < 60
+    for _ in range(20_000):
+        plain -= 0.1 * risk(plain)[1]
+    assert np.allclose(got, plain, atol=2e-3)
+
+
+def test_quantiles_cover_all_rows(spark):
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.normal(0, 2, (5000, len(quality.FEATURES))))
+    x[:4000, 2] = 0
+    edges = quality.quantile_edges(frame_of(spark, x, [])[0].repartition(7))
+    want = np.quantile(x, np.arange(1, quality.BINS) / quality.BINS, axis=0, method="inverted_cdf").T
+    assert (edges <= want).all() and (edges * (1 + 2**-8) >= want).all()
+
+
 def test_features_of_a_slice_do_not_depend_on_its_neighbours():
     texts = ["Und Und Und", "", "One line.\nOne line.\nTwo | three !!", "ÉÈ abc 123", "x" * 40 + " yy"]
     whole = quality.features(np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
