@@ -19,7 +19,11 @@ Index: captures sorted by reversed-host key are packed, ``BLOCK_LINES`` to a
 block, into compressed blocks; the directory holds one row a block. A lookup
 finds the last directory row at or before the key by binary search, reads
 that block and the next ones that may hold the key, searches their lines, and
-reads the record by offset and length.
+reads the record by offset and length. Many urls at once (``lookup_all``) are
+merged with the directory, a part of ``PART_BLOCKS`` rows at a time, and then
+with the blocks found, which alone are read; both merges stream over sorted
+rows, so nothing is held but one part's directory rows or one block. The query
+takes its rows this way.
 
 Defined results: null html is an empty payload; a null url has no target
 header and the empty key; null page ids come before all others; of repeated
@@ -54,6 +58,7 @@ STEP = 1 << 14
 RECORDS_PER_FILE = 2000
 BLOCK_LINES = 512
 DIRECTORY_ROWS = 1 << 18
+PART_BLOCKS = 256  # directory rows for each key that every task holds: a key for 131,072 captures
 NAMESPACE = uuid.UUID("b6f7c0de-0000-4000-8000-000000000000")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, archive string, offset long, length long, surt string"
@@ -243,15 +248,87 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_index(index: Index) -> DataFrame:
     """All captures, from the blocks."""
-    lines = index.blocks.select("block").mapInArrow(_lines, "surt string, line string")
+    return _captures_of(index.blocks.select("block").mapInArrow(_lines, "surt string, line string"))
+
+
+def _captures_of(lines: DataFrame) -> DataFrame:
     plain = ", ".join(c for c in CAPTURE.split(", ") if not c.startswith("surt"))
     return lines.select("surt", F.from_json("line", plain).alias("c")).select("surt", "c.*")
 
 
-def lookup(index: Index, url: str) -> list[dict]:
+def _key(url: str | None) -> str:
+    """As it was written."""
+    return surt(None if url is None else _header_text(url))
+
+
+def _keys_by_part(leaders: list[str]):
+    """Each key with the parts that may hold it: the last that begins below it, and all that begin with it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key in {_key(u) for u in batch.column("url").to_pylist()}:
+                out += [(k, key) for k in range(max(0, bisect.bisect_left(leaders, key) - 1), bisect.bisect_right(leaders, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([key for _, key in out], pa.string())], names=["part", "key"])
+    return run
+
+
+def _merge_directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block_id, key) of the blocks that may hold each key, from directory rows and keys sorted by part and key."""
+    part, near = None, []  # the part's blocks that end at or after the key
+    for batch in batches:
+        out = []
+        for at, key, last, block in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "last_key", "block_id")), strict=True):
+            if at != part:
+                part, near = at, []
+            near = [x for x in near if x[0] >= key]
+            if block is None:
+                out += [(b, key) for _, b in near]
+            else:
+                near.append((last, block))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([k for _, k in out], pa.string())], names=["block_id", "key"])
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the keys, searched in the block that comes before them."""
+    keys: list[str] = []
+    values: list[str] = []
+    for batch in batches:
+        found = []
+        for key, block in zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if block is not None:
+                rows = [x.split("\t", 1) for x in zlib.decompress(block).decode().split("\n")]
+                keys, values = [k for k, _ in rows], [v for _, v in rows]
+            else:
+                found += [(key, v) for v in values[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["surt", "line"])
+
+
+def lookup_all(index: Index, urls: DataFrame, part_blocks: int = PART_BLOCKS) -> DataFrame:
+    """All captures of the urls of ``urls`` (url), each once however often its url is asked; a url that has none adds no row."""
+    leads = F.col("block_id").bitwiseAND(F.lit((1 << 33) - 1)) % part_blocks == 0  # numbers are in key order, and begin anew in each written partition
+    top = sorted((r.block_id, r.first_key) for r in index.directory.filter(leads).select("block_id", "first_key").collect())
+    ids = [b for b, _ in top]
+
+    def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect.bisect_right(ids, b) - 1 for b in batch.column("block_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(batch.column(c) for c in ("first_key", "last_key", "block_id"))], names=["part", "key", "last_key", "block_id"])
+
+    directory = index.directory.select("block_id", "first_key", "last_key").mapInArrow(part_of, "part int, key string, last_key string, block_id long")
+    asked = urls.select("url").mapInArrow(_keys_by_part([k for _, k in top]), "part int, key string").distinct()
+    near = directory.unionByName(asked.withColumns({"last_key": F.lit(None).cast("string"), "block_id": F.lit(None).cast("long")}))
+    hits = near.repartition("part").sortWithinPartitions("part", "key", F.col("block_id").asc_nulls_last()).mapInArrow(_merge_directory, "block_id long, key string")
+    hits = store(hits, "capture-hits")
+    wanted = index.blocks.select("block_id", "block").join(hits.select("block_id").distinct(), "block_id", "left_semi")
+    both = wanted.withColumn("key", F.lit(None).cast("string")).unionByName(hits.withColumn("block", F.lit(None).cast("binary")))
+    lines = both.repartition("block_id").sortWithinPartitions("block_id", F.col("key").asc_nulls_first()).select("key", "block").mapInArrow(_merge_blocks, "surt string, line string")
+    return _captures_of(lines)
+
+
+def lookup(index: Index, url: str | None) -> list[dict]:
     """Captures of one url, in order. The directory is searched in memory up to
     ``DIRECTORY_ROWS`` rows, and by a pushed-down range filter beyond that."""
-    key = surt(_header_text(url))   # as it was written
+    key = _key(url)
     rows = index.directory.orderBy("first_key", "block_id").limit(DIRECTORY_ROWS + 1).collect()
     if len(rows) > DIRECTORY_ROWS:
         ids = [r.block_id for r in index.directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect()]
@@ -292,7 +369,7 @@ def archive_pages(pages: DataFrame) -> Index:
 def q_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    found = scan_index(archive_pages(pages))
+    found = lookup_all(archive_pages(pages), pages)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

@@ -184,6 +184,23 @@ def test_lookups_read_ranges(spark):
     assert [h["page_id"] for h in warc.lookup(stored, odd)] == ["1"]
 
 
+@pytest.mark.parametrize("part_blocks", [1, 3, 1000])
+def test_many_urls_are_looked_up_at_once(spark, folder, part_blocks):
+    urls = [None, "", "http://hot.org/"] + [f"http://s{k % 9}.org/p{k % 40}" for k in range(150)] + ["http://hot.org/"] * 60 + ["http://odd.org/a\tb"]
+    pages = spark.createDataFrame([(k, u, "x" * k) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    path = folder()
+    warc.write_archives(pages, path + "/warc", records_per_file=50)
+    index = warc.build_index(warc.read_captures(spark, path + "/warc"), block_lines=5)
+    every = sorted(warc.lookup_all(index, pages.repartition(5), part_blocks).collect(), key=str)
+    assert every == sorted(warc.scan_index(index).collect(), key=str) and len(every) == len(urls)
+    some = [u for u in urls[::7]] + ["http://aaa.org/", "http://nowhere.org/", "zzz", "http://odd.org/a\tb"]
+    asked = spark.createDataFrame([(u,) for u in some * 2], "url string")
+    got = sorted(int(r.page_id) for r in warc.lookup_all(index, asked, part_blocks).collect())
+    assert got == [k for k, u in enumerate(urls) if warc.surt(u and warc._header_text(u)) in {warc.surt(x and warc._header_text(x)) for x in some}]
+    empty = warc.archive_pages(pages.limit(0))
+    assert warc.lookup_all(empty, pages).count() == 0 and warc.lookup_all(index, asked.limit(0)).count() == 0
+
+
 def test_directory_finds_every_key_in_small_blocks(spark, folder):
     keys = [f"http://h{k % 7}.org/{k % 40}" for k in range(300)]
     pages = spark.createDataFrame([(k, u, str(k % 150)) for k, u in enumerate(keys)], "page_id long, url string, html string")
