@@ -9,12 +9,16 @@ are skipped for nothing, and below order 0 every byte costs 8 bits. Scoring
 never changes the counts: a text's code length under a language is the exact
 sum over its bytes, and the shortest code wins.
 
-Tasks add up their own counts before the shuffle. The trees keep every gram
-met. A text's code length under a language needs that language's tree alone,
-so the languages are cut into parts whose tables (leaves times languages) stay
-within ``MODEL_CELLS``; each part is a broadcast of its own, and where there
-are several a task holds one at a time and keeps the shortest code so far. A
-language's tree is not split: one with more leaves is a part by itself.
+Tasks add up their own counts before the shuffle; the trees keep every gram
+met and are built by Spark as tables: of each order the codes met by any
+language with their bits by language, and the contexts with the bits to leave
+them. A byte's bits need one row of such a table, or the context's row and the
+shorter code, so the tables are cut by ranges of codes into parts of at most
+``MODEL_CELLS`` cells, or of one two-byte prefix, whose 65,536 codes bound it.
+Each part is a broadcast of its own and passes the driver by itself. Where
+there are several, a task holds one at a time, the longest order first, and
+keeps the bits of each text so far and the order in which each byte is still
+to be looked up. Orders 1 and 0 have 65,536 rows and go with the last part.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; with nothing to learn from, all are; ties go to the first language in code
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +46,9 @@ PAD = 0x0A
 SURE = 0.9
 HOLD_OUT = (5, 0)
 UNKNOWN = "und"
-MODEL_CELLS = 1 << 25
+MODEL_CELLS = 1 << 24
+LOWEST = 1  # the order of the last table, which has all codes
+PREFIX = 16  # bits of a code below those that parts are cut at
 FLUSH = 1 << 20
 SLICE = 1 << 19  # a score takes some 60 bytes a byte of text
 
@@ -94,106 +100,171 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Model:
-    langs: list[str]
-    full: dict[int, tuple[np.ndarray, np.ndarray]]  # order: codes, bits by code and language
-    escape: dict[int, tuple[np.ndarray, np.ndarray]]  # order: contexts, bits to leave them
-    order1: np.ndarray  # bits of every two bytes
-
-    def bits(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Bits by byte and language."""
-        if order == 1:
-            return self.order1[code & np.uint32(0xFFFF)]
-        code = code & np.uint32((1 << 8 * (order + 1)) - 1)
-        keys, table = self.full[order]
-        if not len(keys):
-            return self.bits(code, order - 1)
-        at = np.searchsorted(keys, code)
-        at[at == len(keys)] = 0
-        out = table[at]
-        new = np.flatnonzero(keys[at] != code)
-        if len(new):
-            contexts, leave = self.escape[order]
-            ctx = code[new] >> np.uint32(8)
-            i = np.searchsorted(contexts, ctx)
-            i[i == len(contexts)] = 0
-            out[new] = np.where((contexts[i] == ctx)[:, None], leave[i], 0) + self.bits(code[new], order - 1)
-        return out
+class Level:
+    """A range of codes of one order; a code holds a context and the byte after it."""
+    order: int
+    first: int
+    last: int
+    keys: np.ndarray
+    bits: np.ndarray  # by key and language
+    contexts: np.ndarray
+    leave: np.ndarray  # bits to leave a context, by language
+
+    def look(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by code and language, and the places of codes not met: their bits only leave the context."""
+        if not len(self.keys):
+            return np.zeros((len(code), self.bits.shape[1]), np.float32), np.arange(len(code))
+        at = np.searchsorted(self.keys, code)
+        at[at == len(self.keys)] = 0
+        out = self.bits[at]
+        new = np.flatnonzero(self.keys[at] != code)
+        ctx = code[new] >> np.uint32(8)
+        i = np.searchsorted(self.contexts, ctx)
+        i[i == len(self.contexts)] = 0
+        out[new] = np.where((self.contexts[i] == ctx)[:, None], self.leave[i], 0)
+        return out, new
 
 
-def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model | None:
-    """counts: codes (uint32) and counts of each language's four-byte grams."""
-    langs = sorted(counts)
-    if not langs:
-        return None
-    n_langs = len(langs)
-    lower = np.full((1, n_langs), 8.0, np.float32)  # below order 0
-    keys_below = None
-    full, escape, order1 = {}, {}, None
-    for order in range(ORDER + 1):
-        mask = np.uint32((1 << 8 * (order + 1)) - 1)
-        each = {x: _add_up(c & mask, n) for x, (c, n) in counts.items()}
-        keys = np.arange(1 << 8 * (order + 1), dtype=np.uint32) if order < 2 else np.unique(np.concatenate([each[x][0] for x in langs]))
-        contexts = np.unique(keys >> np.uint32(8))
-        below = lower[np.zeros(len(keys), np.int64)] if order == 0 else lower[np.searchsorted(keys_below, keys & np.uint32((1 << 8 * order) - 1))]
-        leave = np.zeros((len(contexts), n_langs), np.float32)
-        cost = np.empty((len(keys), n_langs), np.float32)
-        of = np.searchsorted(contexts, keys >> np.uint32(8))
-        for k, x in enumerate(langs):
-            c, n = each[x]
-            ctx = np.searchsorted(contexts, c >> np.uint32(8))
-            total = np.bincount(ctx, n, len(contexts))
-            kinds = np.bincount(ctx, minlength=len(contexts))
-            seen = kinds > 0
-            leave[seen, k] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
-            cost[:, k] = leave[of, k] + below[:, k]
-            cost[np.searchsorted(keys, c), k] = -np.log2(n / (total[ctx] + kinds[ctx]))
-        if order == 1:
-            order1 = cost
-        elif order > 1:
-            full[order], escape[order] = (keys, cost), (contexts, leave)
-        lower, keys_below = cost, keys
-    return Model(langs, full, escape, order1)
+@dataclass
+class Part:
+    levels: list[Level]  # the longest order first
+    lowest: np.ndarray | None  # bits of every two bytes, in the last part
+
+    def add_bits(self, code: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """What this part adds to the bits of each byte by language. ``order``
+        is the order that a byte is looked up in next (0: no more) and is
+        brought up to date."""
+        out = None
+        for level in self.levels:
+            if out is None and level.order == ORDER and level.last - level.first == (1 << 8 * (ORDER + 1)) - 1:
+                out, new = level.look(code)
+                order[:] = 0
+                order[new] = ORDER - 1
+                continue
+            out = np.zeros((len(code), level.bits.shape[1]), np.float32) if out is None else out
+            low = code & np.uint32((1 << 8 * (level.order + 1)) - 1)
+            at = np.flatnonzero((order == level.order) & (low >= level.first) & (low <= level.last))
+            bits, new = level.look(low[at])
+            out[at] += bits
+            order[at] = 0
+            order[at[new]] = level.order - 1
+        if self.lowest is not None:
+            out = np.zeros((len(code), self.lowest.shape[1]), np.float32) if out is None else out
+            at = np.flatnonzero(order == LOWEST)
+            out[at] += self.lowest[code[at] & np.uint32(0xFFFF)]
+            order[at] = 0
+        return out
 
 
 @dataclass
 class Trained:
     langs: list[str]
-    parts: list[tuple[int, Broadcast]]  # place of a part's first language, its Model
-
-
-def model_parts(leaves: list[tuple[str, int]]) -> list[list[str]]:
-    """Languages in order, cut where a part's table would pass ``MODEL_CELLS``."""
-    out: list[list[str]] = []
+    parts: list[Broadcast]  # of Part
+
+
+def lowest_orders(lang: np.ndarray, code: np.ndarray, n: np.ndarray, n_langs: int) -> np.ndarray:
+    """Bits of every two bytes by language, from the counts of those met."""
+    met = np.zeros((n_langs, 256, 256))
+    met.reshape(n_langs, -1)[lang, code] = n
+
+    def cost(met: np.ndarray, below: np.ndarray | float) -> np.ndarray:
+        total, kinds = met.sum(axis=-1, keepdims=True), (met > 0).sum(axis=-1, keepdims=True)
+        room = np.maximum(total + kinds, 1)
+        return np.where(met > 0, -np.log2(np.maximum(met, 1) / room), np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / room), 0) + below)
+
+    one = cost(met, cost(met.sum(axis=1), 8.0)[:, None, :])
+    return np.ascontiguousarray(one.reshape(n_langs, -1).T, np.float32)
+
+
+def tree_level(counts: DataFrame, below: DataFrame, order: int, n_langs: int) -> tuple[DataFrame, DataFrame]:
+    """Of the counts (k, code, n) of an order: code and bits by language, and
+    code (of the context) and leave. ``below``: code and bits of the order
+    below, of at least the codes met here without their first byte."""
+    def by_language(entries, other):
+        return F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda k: F.coalesce(F.try_element_at(entries, k), other(k)).cast("float"))
+
+    ctx = F.shiftright("code", 8)
+    context = Window.partitionBy("k", "ctx")  # of at most 256 codes
+    room = F.col("total") + F.col("kinds")
+    costs = counts.withColumn("ctx", ctx).select("k", "code", "n", F.sum("n").over(context).alias("total"), F.count(F.lit(1)).over(context).alias("kinds"))
+    keys = costs.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("k", -F.log2(F.col("n") / room)))).alias("met"))
+    left = counts.groupBy("k", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    contexts = left.groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("k", -F.log2(F.col("kinds") / room)))).alias("met"))
+    contexts = store(contexts.select(F.col("ctx").alias("code"), by_language(F.col("met"), lambda k: F.lit(0.0)).alias("leave")), f"language-contexts-{order}")
+    shorter = below.select(F.col("code").alias("short"), F.col("bits").alias("below"))
+    joined = keys.withColumn("ctx", ctx).join(contexts.withColumnRenamed("code", "ctx"), "ctx").join(shorter, F.col("code").bitwiseAND((1 << 8 * order) - 1) == F.col("short"))
+    bits = by_language(F.col("met"), lambda k: F.get("leave", k) + F.get("below", k))
+    return store(joined.select("code", bits.alias("bits")), f"language-codes-{order}"), contexts
+
+
+def cut_parts(sizes: list[tuple[int, int, int]], n_langs: int) -> list[list[tuple[int, int, int]]]:
+    """Ranges (order, first, last) of codes by part, from the number of codes
+    of each (order, prefix), sorted from the longest order. All codes of an order are covered."""
+    out: list[list[tuple[int, int, int]]] = [[]]
     held = 0
-    for lang, n in leaves:
-        if out and (held + n) * (len(out[-1]) + 1) <= MODEL_CELLS:
-            out[-1].append(lang)
+    for order in range(ORDER, LOWEST, -1):
+        mine = [x for x in sizes if x[0] == order] or [(order, 0, 0)]
+        out[-1].append((order, 0, 0))
+        for _, prefix, n in mine:
+            if held and (held + n) * n_langs > MODEL_CELLS:
+                at = prefix << PREFIX
+                if out[-1][-1][1] < at:
+                    out[-1][-1] = (order, out[-1][-1][1], at - 1)
+                else:
+                    out[-1].pop()
+                out.append([(order, at, at)])
+                held = 0
             held += n
-        else:
-            out.append([lang])
-            held = n
-    return out
+        out[-1][-1] = (order, out[-1][-1][1], (1 << 8 * (order + 1)) - 1)
+    return [x for x in out if x]
+
+
+def _matrix(rows: DataFrame, value: str, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    table = rows.select("code", value).toArrow().combine_chunks()
+    code = table.column("code").to_numpy().astype(np.uint32)
+    held = table.column(value).combine_chunks()
+    cells = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_langs) if len(code) else np.zeros((0, n_langs), np.float32)
+    order = np.argsort(code)
+    return code[order], cells[order]
 
 
 def train(docs: DataFrame) -> Trained | None:
     """Count all of ``docs`` (text, lang) with both not null."""
+    spark = docs.sparkSession
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
-    rows = known.mapInArrow(_count, "lang string, gram long, n long")
-    counted = store(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).sortWithinPartitions("lang", "gram"), "language-grams")
-    leaves = {r.lang: r.n for r in counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     # languages that have only empty texts have no grams
-    leaves |= {r.lang: 0 for r in known.select("lang").distinct().collect() if r.lang not in leaves}
-    if not leaves:
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    if not langs:
         return None
-    out = Trained(sorted(leaves), [])
-    first = 0
-    for part in model_parts(sorted(leaves.items())):
-        which = F.array_position(F.array(*[F.lit(x) for x in part]), F.col("lang")).cast("int")
-        which, gram, n = (c.to_numpy() for c in counted.filter(F.col("lang").isin(part)).select(which.alias("which"), "gram", "n").toArrow().columns)
-        model = build_model({x: (gram[which == k].astype(np.uint32), n[which == k]) for k, x in enumerate(part, 1)})
-        out.parts.append((first, docs.sparkSession.sparkContext.broadcast(model)))
-        first += len(part)
+    rows = known.mapInArrow(_count, "lang string, gram long, n long")
+    k = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
+    counts = store(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select(k.alias("k"), F.col("gram").alias("code"), "n"), "language-grams")
+
+    def shorter(counts: DataFrame, order: int) -> DataFrame:
+        return counts.groupBy("k", F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
+
+    by_order = {ORDER: counts}
+    for order in range(ORDER - 1, LOWEST - 1, -1):
+        by_order[order] = store(shorter(by_order[order + 1], order), f"language-grams-{order}")
+    pairs = by_order[LOWEST].toArrow()
+    lowest = lowest_orders(*(pairs.column(c).to_numpy() for c in ("k", "code", "n")), len(langs))
+    bits = pa.FixedSizeListArray.from_arrays(pa.array(lowest.ravel()), len(langs)).cast(pa.list_(pa.float32()))
+    below = spark.createDataFrame(pa.table({"code": pa.array(np.arange(len(lowest))), "bits": bits}), "code long, bits array<float>")
+    tables = {}
+    for order in range(LOWEST + 1, ORDER + 1):
+        tables[order] = tree_level(by_order[order], below, order, len(langs))
+        below = tables[order][0]
+    sizes = [(order, r.prefix, r.n) for order in range(ORDER, LOWEST, -1)
+             for r in tables[order][0].groupBy(F.shiftright("code", PREFIX).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).orderBy("prefix").collect()]
+    out = Trained(langs, [])
+    cuts = cut_parts(sizes, len(langs))
+    for i, ranges in enumerate(cuts):
+        levels = []
+        for order, first, last in ranges:
+            codes, contexts = tables[order]
+            levels.append(Level(order, first, last, *_matrix(codes.filter(F.col("code").between(first, last)), "bits", len(langs)),
+                                *_matrix(contexts.filter(F.col("code").between(first >> 8, last >> 8)), "leave", len(langs))))
+        out.parts.append(spark.sparkContext.broadcast(Part(levels, lowest if i == len(cuts) - 1 else None)))
     return out
 
 
@@ -207,26 +278,25 @@ def identify(docs: DataFrame, model: Trained | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letter = batch.column("letter").to_numpy(zero_copy_only=False) & (len(langs) > 0)
-            # the shortest code so far, its language, and the sum of 2^-bits over its own
-            least, best, total = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, held in parts:
-                m = held.value
+            bits = np.zeros((batch.num_rows, max(1, len(langs))))  # of each text so far
+            orders: dict[int, np.ndarray] = {}  # by slice, where several parts need them
+            for held in parts:
+                part = held.value
                 for i, _, data, offs in B.slices(batch.column("text"), SLICE):
                     full = np.flatnonzero(np.diff(offs))
                     if not len(full):
                         continue
-                    bits = np.add.reduceat(m.bits(grams(data, offs)), offs[:-1][full], axis=0, dtype=np.float64)
-                    at, low = i + full, bits.min(axis=1)
-                    under = np.minimum(least[at], low)
-                    total[at] = total[at] * np.exp2(under - least[at]) + np.exp2(under[:, None] - bits).sum(axis=1)
-                    best[at] = np.where(low < least[at], first + bits.argmin(axis=1), best[at])
-                    least[at] = under
-                del m
+                    order = orders[i] if i in orders else np.full(len(data), ORDER, np.int8)
+                    bits[i + full] += np.add.reduceat(part.add_bits(grams(data, offs), order), offs[:-1][full], axis=0, dtype=np.float64)
+                    if len(parts) > 1:
+                        orders[i] = order
+                del part
                 if len(parts) > 1:
                     held.__dict__.pop("_value", None)  # read again from the worker's file for the next batch
-            p = 1 / np.where(letter, total, np.inf)
+            least = bits.min(axis=1)
+            p = np.where(letter, 1 / np.exp2(least[:, None] - bits).sum(axis=1), 0)
             names = pa.array([*langs, UNKNOWN], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(np.where(letter, best, len(langs)))), pa.array(p)], names=["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), names.take(pa.array(np.where(letter, bits.argmin(axis=1), len(langs)))), pa.array(p)], names=["row", "lang_pred", "score"])
 
     kind = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(score, kind)

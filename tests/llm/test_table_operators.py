@@ -284,62 +284,83 @@ def test_embeddings_of_odd_vectors(spark, folder):
 
 # language
 
-def test_code_lengths_match_a_plain_context_tree():
-    texts = {"aa": [b"abracadabra", b"aaab"], "bb": [b"banana\xc3\xa9", b"b"]}
-    counts = {}
+def code_lengths(trained, text):
+    """Bits of each byte by language, through all parts of the model."""
+    data = np.frombuffer(text, np.uint8)
+    code, order = language.grams(data, np.array([0, len(text)])), np.full(len(text), language.ORDER, np.int8)
+    bits = sum(part.value.add_bits(code, order) for part in trained.parts)
+    assert not order.any()
+    return bits
+
+
+def plain_tree(texts):
     tree = {x: defaultdict(Counter) for x in texts}
     for x, ts in texts.items():
-        codes = Counter()
         for t in ts:
             p = bytes([language.PAD] * 3) + t
             for k in range(3, len(p)):
-                codes[int.from_bytes(p[k - 3 : k + 1], "big")] += 1
                 for o in range(4):
                     tree[x][p[k - o : k]][p[k]] += 1
-        keys = sorted(codes)
-        counts[x] = (np.array(keys, np.uint32), np.array([codes[c] for c in keys]))
-    model = language.build_model(counts)
 
     def bits(x, context, byte):
         seen = tree[x].get(context)
         if seen is None:
-            return bits(x, context[1:], byte)
+            return bits(x, context[1:], byte) if context else 8.0
         total, kinds = sum(seen.values()), len(seen)
         if byte in seen:
             return -math.log2(seen[byte] / (total + kinds))
         return -math.log2(kinds / (total + kinds)) + (bits(x, context[1:], byte) if context else 8.0)
 
-    for text in (b"abra", b"banana", b"zebra \xc3\xa9", b"\n\n\nab"):
-        data = np.frombuffer(text, np.uint8)
-        got = model.bits(language.grams(data, np.array([0, len(text)])))
+    def lengths(text):
         p = bytes([language.PAD] * 3) + text
-        want = [[bits(x, p[k - 3 : k], p[k]) for x in ("aa", "bb")] for k in range(3, len(p))]
-        assert np.allclose(got, want, atol=1e-4)
+        return [[bits(x, p[k - 3 : k], p[k]) for x in sorted(texts)] for k in range(3, len(p))]
+
+    return lengths
 
 
-def test_all_grams_count_and_parts_of_the_model_agree(spark, monkeypatch):
-    """A model of one part a language scores like the model of all grams at once."""
+@pytest.mark.parametrize("cells", [language.MODEL_CELLS, 2000, 600])
+def test_code_lengths_match_a_plain_context_tree(spark, monkeypatch, cells):
+    """Whole, and cut into parts in the middle of languages and orders."""
+    monkeypatch.setattr(language, "MODEL_CELLS", cells)
+    rng = np.random.default_rng(9)
+    texts = {f"l{k}": ["".join(rng.choice(list("abcdef é日"), 60)) for _ in range(3)] for k in range(3)} | {"aa": ["abracadabra", "aaab"], "bb": ["bananaé", "b"], "none": [""]}
+    trained = language.train(spark.createDataFrame([(t, x) for x, ts in texts.items() for t in ts], "text string, lang string"))
+    assert trained.langs == sorted(texts) and (len(trained.parts) == 1) == (cells > 10_000)
+    lengths = plain_tree({x: [t.encode() for t in ts] for x, ts in texts.items()})
+    for text in (b"abra", b"banana", b"zebra \xc3\xa9", b"\n\n\nab", "日本é日a\uffffé".encode(), bytes(range(256)), texts["l1"][0].encode()):
+        assert np.allclose(code_lengths(trained, text), lengths(text), atol=1e-4)
+
+
+@pytest.mark.parametrize("cells", [language.MODEL_CELLS, 20_000])
+def test_scores_are_those_of_the_code_lengths(spark, monkeypatch, cells):
+    """Of one part or many, over slices of a batch."""
+    monkeypatch.setattr(language, "MODEL_CELLS", cells)
     rng = np.random.default_rng(9)
     docs = [(k, "".join(rng.choice(list("abcdefgh é"), 300)), f"l{k % 6}") for k in range(40)] + [(40, "", "a-none"), (41, "", "l9")]
-    counts = {x: (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _, _, x in docs}
-    for x in counts:
-        texts = [t.encode() for _, t, y in docs if x == y]
-        offs = np.cumsum([0, *map(len, texts)])
-        if offs[-1]:
-            counts[x] = np.unique(language.grams(np.frombuffer(b"".join(texts), np.uint8), offs), return_counts=True)
-    model = language.build_model(counts)
-    want = {}
-    for k, t, _ in docs[:-2]:
-        bits = model.bits(language.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))).sum(axis=0, dtype=np.float64)
-        want[k] = (model.langs[bits.argmin()], 1 / np.exp2(bits.min() - bits).sum())
+    texts = defaultdict(list)
+    for _, t, x in docs:
+        texts[x].append(t.encode())
+    lengths = plain_tree(texts)
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    for cells, parts in ((language.MODEL_CELLS, 1), (1, 8)):
-        monkeypatch.setattr(language, "MODEL_CELLS", cells)
-        trained = language.train(frame)
-        assert len(trained.parts) == parts
-        got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame.select("doc_id", "text"), trained).select("row.doc_id", "lang_pred", "score").collect()}
-        assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-3) for k in want)
-        assert got[40] == got[41] == ("und", 0.0)
+    trained = language.train(frame)
+    assert (len(trained.parts) == 1) == (cells > 20_000)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame.select("doc_id", "text"), trained).select("row.doc_id", "lang_pred", "score").collect()}
+    for k, t, _ in docs[:-2]:
+        bits = np.sum(lengths(t.encode()), axis=0)
+        assert got[k][0] == sorted(texts)[bits.argmin()] and math.isclose(got[k][1], 1 / np.exp2(bits.min() - bits).sum(), rel_tol=1e-3)
+    assert got[40] == got[41] == ("und", 0.0)
+
+
+def test_parts_cover_all_codes(monkeypatch):
+    monkeypatch.setattr(language, "MODEL_CELLS", 100)
+    sizes = [(3, 0, 10), (3, 5, 60), (3, 9, 30), (3, 60_000, 90), (2, 7, 5), (2, 200, 40)]
+    parts = language.cut_parts(sizes, 1)
+    for order in (3, 2):
+        ranges = [x[1:] for part in parts for x in part if x[0] == order]
+        assert ranges[0][0] == 0 and ranges[-1][1] == (1 << 8 * (order + 1)) - 1
+        assert all(a[1] + 1 == b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))
+    held = [sum(n for order, prefix, n in sizes for x in part if x[0] == order and x[1] <= prefix << 16 <= x[2]) for part in parts]
+    assert sum(held) == 235 and max(held) <= 100 and language.cut_parts([], 3) == [[(3, 0, 2**32 - 1), (2, 0, 2**24 - 1)]]
 
 
 def test_languages_are_told_on_held_out_rows(spark):
