@@ -25,10 +25,14 @@ are counted by their hash in Spark, with the smallest and largest byte to
 their left; only the windows of groups that vary there are cut out, sorted by
 hash and bytes, and read as a stream that keeps places but no bytes.
 
-``Repeats.groups`` is thus what step 4 needs for the removal, not the list of
-all maximal repeats: a repeated context stands there once, for all its copies;
-texts that step 2 settles (exact copies, the inside of long passages) are not
-there; and a length ends with the stretch, after ``2 * LEAST - SEED`` bytes.
+``Repeats.groups`` has the repeats of step 4, with all their occurrences: where
+one sample was sent for a repeated context, its copies are joined to the group
+again. It is not the list of all maximal repeats: texts that step 2 settles
+(exact copies, the inside of long passages) have no group, and a length ends
+with the stretch, after ``2 * LEAST - SEED`` bytes.
+
+The texts are read twice, and found the second time by id and text: an input
+may come in another order, but its rows must be the same.
 
 Step 2's equality, and the prefilter of step 4, are by 64-bit hashes; the
 repeats of step 4 are compared byte by byte.
@@ -60,12 +64,13 @@ HOT = 1 << 12  # stretches of a seed that one task compares
 BATCH = 1 << 16  # rows put out at once
 ALONE, EDGE, INNER, SAMPLE = 0, 1, 2, 3  # an anchor's seed or context: met once; context met once; context repeated; its chosen one
 SPANS = "array<struct<start:int,end:int>>"
+GROUPS = "seed long, length int, first_uid long, first_start int, uid long, start int"  # a group: length and first place
 
 
 @dataclass
 class Repeats:
     documents: DataFrame  # uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256
-    groups: DataFrame  # seed, length, uid, start: repeats among the stretches sent: edges and one sample a context, not all occurrences
+    groups: DataFrame  # GROUPS: the repeats of step 4, each with all its occurrences; worked out when read
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -191,6 +196,21 @@ def maximal_repeats(rows: np.ndarray, room: np.ndarray, left: np.ndarray, least:
             yield length, order[a : b + 1]
 
 
+def _first(uid: np.ndarray, start: np.ndarray) -> tuple[int, int]:
+    low = uid.min()
+    return int(low), int(start[uid == low].min())
+
+
+def _grouped(found: list[tuple]) -> pa.RecordBatch:
+    """Rows of GROUPS from (seed, length, uids, starts, first place or None for the first of these)."""
+    n = [len(x[2]) for x in found]
+    first = [x[4] or _first(x[2], x[3]) for x in found]
+    each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), n))
+    return pa.RecordBatch.from_arrays([each([x[0] for x in found], np.int64), each([x[1] for x in found], np.int32), each([f[0] for f in first], np.int64), each([f[1] for f in first], np.int32),
+                                       pa.array(np.concatenate([x[2] for x in found])), pa.array(np.concatenate([x[3] for x in found]).astype(np.int32))],
+                                      names=["seed", "length", "first_uid", "first_start", "uid", "start"])
+
+
 def _compare(least: int, seed: int):
     reach = 2 * least - seed  # longest body
 
@@ -228,10 +248,10 @@ def _compare(least: int, seed: int):
                     rows[np.arange(reach) >= room[:, None]] = 0
                     for length, group in maximal_repeats(rows, room, own[w], least):
                         g = w[group]
-                        out += zip(seeds[piece[g]].tolist(), [length] * len(g), uid[piece[g]].tolist(), (start[piece[g]] + nth[g]).tolist(), strict=True)
+                        out.append((seeds[piece[g[0]]], length, uid[piece[g]], start[piece[g]] + nth[g], None))
                     i = j
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["seed", "length", "uid", "start"])
+            if out:
+                yield _grouped(out)
     return run
 
 
@@ -259,17 +279,18 @@ def _scan_suffixes(least: int, seed: int):
     """Maximal repeats among suffixes sorted by (seed, same, body)."""
     reach = 2 * least - seed  # longest body
 
-    def found(parts: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def found(parts: list[tuple]) -> Iterator[tuple]:
         seeds, uid, start, prior, lcp = (np.concatenate(c) for c in zip(*parts, strict=True))
         left = np.where(prior < 0, -1 - np.arange(len(prior)), prior)
         turns = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
         for length, a, b in lcp_intervals(lcp[1:], least):
             if turns[b] > turns[a]:
+                first = _first(uid[a : b + 1], start[a : b + 1])
                 for i in range(a, b + 1, BATCH):
                     j = min(b + 1, i + BATCH)
-                    yield int(seeds[0]), length, uid[i:j], start[i:j]
+                    yield int(seeds[0]), length, uid[i:j], start[i:j], first
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         last_key, last_row, last_room, held = None, np.zeros((1, reach), np.uint8), 0, []
         for batch in batches:
             if not batch.num_rows:
@@ -300,19 +321,14 @@ def _scan_suffixes(least: int, seed: int):
         out: list[tuple] = []
         size = 0
 
-        def put() -> pa.RecordBatch:
-            n = [len(x[2]) for x in out]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in out], np.int64), n)), pa.array(np.repeat(np.array([x[1] for x in out], np.int32), n)),
-                                               pa.array(np.concatenate([x[2] for x in out])), pa.array(np.concatenate([x[3] for x in out]))], names=["seed", "length", "uid", "start"])
-
         for group in groups(batches):
             out.append(group)
             size += len(group[2])
             if size >= BATCH:
-                yield put()
+                yield _grouped(out)
                 out, size = [], 0
         if out:
-            yield put()
+            yield _grouped(out)
     return run
 
 
@@ -323,7 +339,7 @@ def _hot_groups(pieces: DataFrame, least: int, seed: int) -> DataFrame:
     varied = store(seen.filter("n > 1 and (lo < hi or lo < 0)").select("seed", "same"), "repeat-varied")
     wanted = windows.join(varied, ["seed", "same"]).select("uid", "start", "nth", "same", "prior")
     suffixes = pieces.join(wanted, ["uid", "start"]).selectExpr("seed", "same", "uid", "start + nth AS start", "prior", "substring(body, int(before) + nth + 1, length(body)) AS body")
-    return suffixes.repartition("seed", "same").sortWithinPartitions("seed", "same", "body").mapInArrow(_scan_suffixes(least, seed), "seed long, length int, uid long, start int")
+    return suffixes.repartition("seed", "same").sortWithinPartitions("seed", "same", "body").mapInArrow(_scan_suffixes(least, seed), GROUPS)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +358,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["uid", "n_removed", "n_spans", "kept"])
 
 
+def _all_occurrences(groups: DataFrame, met: DataFrame, least: int, seed: int) -> DataFrame:
+    """The groups with every copy of a context of which one sample was sent. A
+    stretch lies within the context of the anchor that its windows name, so what
+    was found there stands in all of the context's copies, as far from the anchor."""
+    near = groups.join(met.select("uid", "seed", "context", "pos"), ["uid", "seed"]).filter(F.col("pos").between(F.col("start"), F.col("start") + (least - seed)))
+    keys = ["seed", "length", "first_uid", "first_start", "uid", "start"]
+    named = near.groupBy(keys).agg(F.min(F.struct("pos", "context")).alias("anchor"))
+    sent = named.select("seed", "length", "first_uid", "first_start", (F.col("anchor.pos") - F.col("start")).alias("ahead"), F.col("anchor.context").alias("context"))
+    return sent.join(met.select("seed", "context", "uid", "pos"), ["seed", "context"]).select(*keys[:5], (F.col("pos") - F.col("ahead")).alias("start"))
+
+
 def find_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, hot: int = HOT) -> Repeats:
     """Remove repeated strings of ``least`` bytes from ``docs`` (doc_id, text)."""
     texts = with_uid(pick(docs, doc_id="doc_id", text="text")).withColumn("k_text", F.xxhash64("text"))
@@ -353,17 +380,19 @@ def find_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, hot: int
     contexts = met.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "pos")).alias("first"))
     chosen = F.col("several") & (F.struct("uid", "pos") == F.col("first"))
     marked = met.join(contexts, ["seed", "context"]).select("uid", "pos", F.when(F.col("n") == 1, EDGE).when(chosen, SAMPLE).otherwise(INNER).cast("byte").alias("kind"))
-    marks = store(marked.groupBy("uid").agg(F.collect_list(F.struct("pos", "kind")).alias("marks")).join(info.select("uid", "k_text"), "uid"), "repeat-marks")
-    # the texts are numbered anew by the same scan; k_text proves the numbers
-    with_marks = store(texts.select("uid", "text", "k_text").join(marks, ["uid", "k_text"]).select("uid", "text", "marks"), "repeat-texts")
+    marks = store(marked.groupBy("uid").agg(F.collect_list(F.struct("pos", "kind")).alias("marks")).join(info.select("uid", "doc_id", "k_text"), "uid"), "repeat-marks")
+    # a second read may number the texts otherwise, so they are found by id and text
+    k_doc = F.xxhash64("doc_id").alias("k_doc")  # not null, so that the join keeps the partitions of dropDuplicates
+    again = texts.select(k_doc, "k_text", "text").dropDuplicates(["k_doc", "k_text"])
+    with_marks = store(again.join(marks.select("uid", k_doc, "k_text", "marks"), ["k_doc", "k_text"]).select("uid", "text", "marks"), "repeat-texts")
     if with_marks.count() != marks.count():
-        raise RuntimeError("the documents were read in another order than before")
+        raise RuntimeError("the documents changed between two reads")
     cut = store(with_marks.mapInArrow(_cut_pieces(least, seed), f"uid long, spans {SPANS}, pieces array<struct<seed:long,start:int,before:boolean,body:binary>>"), "repeat-pieces")
     pieces = cut.select("uid", F.inline("pieces"))
     crowded = store(cut.select(F.explode("pieces.seed").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("seed"), "repeat-hot")
     some = not crowded.isEmpty()
     calm = (pieces.join(crowded, "seed", "left_anti") if some else pieces).select("uid", "seed", "start", "before", "body")
-    groups = store(calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare(least, seed), "seed long, length int, uid long, start int"), "repeat-groups")
+    groups = store(calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare(least, seed), GROUPS), "repeat-groups")
     if some:
         groups = groups.unionByName(store(_hot_groups(pieces.join(crowded, "seed", "left_semi"), least, seed), "repeat-hot-groups"))
     edges = groups.groupBy("uid", "start").agg(F.max("length").alias("length")).groupBy("uid").agg(
@@ -373,7 +402,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, hot: int
     none = F.lit(0).cast("long")
     out = info.select("uid", "doc_id", "n_bytes", "sha256").join(left, "uid", "left").select(
         "uid", "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
-    return Repeats(out, groups)
+    return Repeats(out, _all_occurrences(groups, met, least, seed))
 
 
 def q_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

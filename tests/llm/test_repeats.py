@@ -1,9 +1,10 @@
 """Repeated passages against brute force, over windows as short as 12 bytes."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from furlong.llm import repeats
 from tests.llm.conftest import SMALL, messy_rows
@@ -59,10 +60,49 @@ def test_groups_hold_all_occurrences(spark):
     found = repeats.find_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
     ids = {r.uid: r.doc_id for r in found.documents.collect()}
     assert all(300 <= r.n_removed < 310 for r in found.documents.collect() if r.doc_id < 3)
-    sizes = Counter((r.seed, r.length) for r in found.groups.collect())
+    sizes = Counter((r.length, r.first_uid, r.first_start) for r in found.groups.collect())
     assert max(sizes.values()) == 7 and {ids[r.uid] for r in found.groups.collect()} == set(range(7))
 
 
+def check_groups(found, docs, least):
+    """Each group is one string, at all the places that have it, and varied to its left."""
+    ids = {r.uid: r.doc_id for r in found.documents.collect()}
+    texts = {i: t.encode() for i, t in docs}
+    groups = defaultdict(list)
+    for r in found.groups.collect():
+        groups[r.length, r.first_uid, r.first_start].append((ids[r.uid], r.start))
+    for (length, uid, start), places in groups.items():
+        body = texts[ids[uid]][start : start + length]
+        every = {(i, s) for i, t in texts.items() for s in range(len(t) - length + 1) if t[s : s + length] == body}
+        assert length >= least and len(places) == len(set(places)) and set(places) == every
+    return groups
+
+
+@pytest.mark.parametrize("hot", [1 << 12, 4])
+def test_copies_of_a_sample_are_in_its_group(spark, hot):
+    """A context that repeats is sent once; its other copies are occurrences all the same."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage, other = text(900), text(200)
+    docs = [(k, text(120) + passage + text(120)) for k in range(12)]                       # contexts in 12 copies
+    docs += [(20 + k, text(80) + passage[300:640] + other + text(80)) for k in range(5)]   # and part of them in 5 more
+    docs += [(30 + k, docs[k][1]) for k in range(3)]                                       # exact copies of whole texts
+    found = repeats.find_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot)
+    groups = check_groups(found, docs, 200)
+    assert Counter(tuple(r)[1:] for r in found.documents.collect()) == brute(docs)
+    assert max(map(len, groups.values())) == 20
+
+
+def test_texts_may_come_in_another_order(spark):
+    """A second read of other columns deals and numbers the rows otherwise; repeated rows, null ids and null texts are found again."""
+    rng = np.random.default_rng(13)
+    text = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    shared = text(260)
+    docs = [(k, text(90) + shared + text(k)) for k in range(30)] + [(5, shared)] * 3 + [(None, shared), (None, shared + "x"), (None, None), (7, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(tuple(r)[1:] for r in repeats.find_repeats(frame.repartition(7)).documents.collect()) == brute(docs)
+
+
 def test_hot_seeds_are_split_by_window(spark, monkeypatch):
     """One passage in many surroundings: no task gathers its seeds, and the results are the same."""
     rng = np.random.default_rng(8)
