@@ -1,15 +1,20 @@
 """Fixed-width feed records -> typed landing rows (P1-P10), as a Spark job.
 
 Layouts are cp932 *byte* offsets, so slicing needs the cp932 encoding of
-each record. Spark has no cp932 codec without legacy flags, so one Arrow
-``pandas_udf`` encodes a whole batch at once, slices it field by field and
-decodes each field at once, returning every field in one struct. Everything
-else (lanes, metadata, tags, census, profiles) is built-in column work.
+each record. In a record of printable ASCII alone the cp932 bytes are its
+characters: it is sliced and trimmed by built-in columns, of which Catalyst
+evaluates only those that are read. Spark has no cp932 codec without legacy
+flags, so for all other records one Arrow ``pandas_udf`` encodes a whole batch
+at once, slices it field by field and decodes each field at once, returning
+every field in one struct. Everything else (lanes, metadata, tags, census,
+profiles) is built-in column work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -114,9 +119,42 @@ def parse_record(raw: str | None) -> dict:
 
 @F.pandas_udf(PARSED_SCHEMA)
 def _parse_udf(raw: pd.Series) -> pd.DataFrame:
-    out = parse_batch([None if v is None or v != v else v for v in raw])
+    """Fields of the records that are sent; a NULL gives NULLs."""
+    at = np.flatnonzero(raw.notna().to_numpy())
+    out = {name: np.full(len(raw), None, dtype=object) for name in PARSED_SCHEMA.names}
+    if len(at):
+        for name, values in parse_batch(raw.iloc[at].tolist()).items():
+            out[name][at] = values
     out["_parsed"] = pd.array(out["_parsed"], dtype="boolean")
-    return pd.DataFrame(out, columns=[f.name for f in PARSED_SCHEMA.fields])
+    return pd.DataFrame(out, columns=PARSED_SCHEMA.names)
+
+
+# Record types of equal layout, by the number of the layout.
+_LAYOUTS: dict[int, list[str]] = {}
+for _type, _spec in SPECS.items():
+    _k = next((k for k, types in _LAYOUTS.items() if SPECS[types[0]] == _spec), len(_LAYOUTS) + 1)
+    _LAYOUTS.setdefault(_k, []).append(_type)
+
+
+def _sliced(field: str) -> Column:
+    """A field of a printable ASCII record (bytes ``_b``, layout ``_k``): a
+    slice without the blanks around it, which are the only whitespace there."""
+    places: dict[tuple[int, int], list[int]] = {}
+    for k, types in _LAYOUTS.items():
+        spec = SPECS[types[0]]
+        if field == "raw_body":
+            places.setdefault((max(start + length for _, start, length in spec), 1 << 30), []).append(k)
+        for name, start, length in spec:
+            if name == field:
+                places.setdefault((start, length), []).append(k)
+    out = None
+    for (start, length), ks in places.items():
+        here = F.col("_k") > 0 if len(ks) == len(_LAYOUTS) else reduce(or_, [F.col("_k") == k for k in ks])
+        if field == "raw_body":
+            here = here & (F.octet_length("_b") > start)
+        text = F.trim(F.substring("_b", start + 1, length).cast("string"))
+        out = F.when(here, text) if out is None else out.when(here, text)
+    return out
 
 
 def ingest_time() -> Column:
@@ -137,8 +175,19 @@ def parse_records(df: DataFrame, raw_col: str = "raw_data", fetched_at: Column |
     ``keep`` names input columns carried through unchanged.
     """
     fa = ingest_time() if fetched_at is None else (F.lit(fetched_at) if isinstance(fetched_at, str) else fetched_at)
-    p = df.select(*keep, _parse_udf(F.col(raw_col)).alias("_p"), F.col(raw_col).alias("_raw"), fa.alias("_fa"))
-    return p.select(*keep, "_p.*", F.col("_fa").alias("fetched_at"), F.col("_raw").alias("raw_data"))
+    raw, wide, k = F.col("_raw"), F.col("_wide"), F.col("_k")
+    p = df.select(*keep, F.col(raw_col).alias("_raw"), fa.alias("_fa"))
+    spec = F.when(F.length(raw) >= 2, F.substring(raw, 1, 2))
+    layout = reduce(lambda e, item: e.when(spec.isin(item[1]), F.lit(item[0])), _LAYOUTS.items(), F.when(spec.isNull(), F.lit(-1)))
+    p = p.select("*", layout.otherwise(F.lit(0)).alias("_k"), raw.rlike("[^ -~]").alias("_wide"))
+    # a record that no layout cuts needs no bytes, and only wide ones go to Python
+    p = p.select("*", F.when(~wide & (k > 0), raw).cast("binary").alias("_b"), _parse_udf(F.when(wide & (k > 0), raw)).alias("_p"))
+    is_wide = F.coalesce(wide, F.lit(False)) & (k > 0)
+    own = {"record_type": spec,
+           "_parsed": F.when(k == 0, F.lit(False)).when(is_wide, F.col("_p._parsed")).when(k > 0, F.lit(True)),
+           "error": F.when(k < 0, F.lit(ERROR_TOO_SHORT)).when(is_wide, F.col("_p.error"))}
+    cols = [own[n] if n in own else F.when(is_wide, F.col("_p")[n]).otherwise(_sliced(n)) for n in PARSED_SCHEMA.names]
+    return p.select(*keep, *[c.alias(n) for n, c in zip(PARSED_SCHEMA.names, cols, strict=True)], F.col("_fa").alias("fetched_at"), raw.alias("raw_data"))
 
 
 def type_tag(record_type: Column | str = "record_type", raw_data: Column | str = "raw_data",

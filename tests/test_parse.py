@@ -96,3 +96,17 @@ def test_layout_ranges_show_hex_and_text(spark):
     assert sorted(got, key=str) == sorted([
         ("RA", 1, 1, 9, "4131", "A1"), ("SE", 1, 0, 2, "5345", "SE"), ("SE", 1, 2, 5, None, None), ("SE", 2, 0, 2, "5345", "SE"), ("SE", 2, 2, 5, "6162", "ab"),
         ("SE", 3, 0, 2, "5345", "SE"), ("SE", 3, 2, 5, "946E78", "馬x")], key=str)
+
+
+def test_ascii_records_are_sliced_as_the_helper_slices_them(spark):
+    """Plain, wide and control characters around every layout's edges; a read
+    of the type alone does not go through Python."""
+    rows = ["SE \n", " S", "S馬", ""]
+    for t in ("RA", "SE", "JG", "HR", "O1", "ZZ"):
+        rows += [t + (text * 400)[:n] for n in (0, 25, 28, 30, 40, 73, 74, 75, 98, 650, 699, 700, 790) for text in ("ab  12 ", "a \t\x00", "馬 ア", "~\x7f ")]
+    out = parse.parse_records(spark.createDataFrame([(r,) for r in rows], "raw_data string"), fetched_at="t")
+    for r in out.collect():
+        exp = parse.parse_record(r["raw_data"])
+        assert {k: r[k] for k in parse.LANDING_COLUMNS[:-2]} == {k: exp.get(k) for k in parse.LANDING_COLUMNS[:-2]}, r["raw_data"]
+    plan = out.filter("record_type = 'SE'").groupBy("record_type").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
