@@ -295,3 +295,21 @@ def test_scratch_needs_a_shared_folder_off_local_masters(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_landing_is_packed_and_backfilled_in_one_pass(spark, scratch):
+    """Landing files, backfilled ones and their plans: mostly blank records
+    take a fraction of their size, and no row is sorted by folder."""
+    from furlong.sources import fs
+    raw = spark.range(2000).select(F.concat(F.lit("RA7"), F.rpad(F.col("id").cast("string"), 700, " ")).alias("raw_data"))
+    landing.land_records(raw, f"{scratch}/land", fetched_at="t")
+    day = fs.list_dirs(spark, f"{scratch}/land/type_tag=RA")[0]
+    files = [x for x in fs.list_files(spark, f"{scratch}/land/type_tag=RA/{day}") if x.startswith("part-")]
+    assert files and all(x.endswith(".json.gz") for x in files)
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{scratch}/land").agg(F.sum("length")).first()[0] < 2000 * 700 / 5
+    lines = landing.reparse_lines(spark, f"{scratch}/land")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    landing.write_lines(lines, f"{scratch}/out")
+    assert {d for d in fs.list_dirs(spark, f"{scratch}/out")} == {f"source_file={x}" for x in files}
+    assert spark.read.text(f"{scratch}/out").count() == 2000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
