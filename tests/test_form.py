@@ -375,3 +375,19 @@ def metric_values(df, name, node):
             if m.isDefined():
                 out.append(m.get().value())
     return out
+
+
+def test_runs_cross_the_shuffles_once(spark):
+    """An entry is one row of the shuffle by race, its runs a list, and the
+    features read that shuffle once."""
+    e = spark.createDataFrame([(f"R{k % 40}", "1", f"{k % 9:02d}", None if k % 7 == 0 else str(k), f"H{k}") for k in range(200)],
+                              "race_id string, wakuban string, umaban string, ketto_num string, bamei string")
+    h = spark.sql("select 'H' || (id % 150) horse_name, date'2024-01-01' + int(id / 150) race_date, id % 9 + 1 rank, id % 5 popularity, 1600.0 distance, 'T' surface, 95.0 time_sec from range(1500)")
+    t = spark.sql("select 'R' || id race_id, date'2024-06-01' target_date, 1600L target_distance, 'T' target_surface from range(40)")
+    f = form.form_features(form.form_runs(e, h), t)
+    got = f.collect()
+    assert len(got) == 200 and {r.starts for r in got if r.ketto_num is None} == {0}
+    assert {(r.starts, r.surface_match_rate) for r in got if r.ketto_num and int(r.bamei[1:]) < 150} == {(5, 1.0)}
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("newest-runs") <= 1 and plan.count("Repartition") == 1
+    assert plan.index("explode(newest") < plan.index("Repartition")   # the list is opened above the shuffle
