@@ -57,3 +57,12 @@ def test_codes(spark):
     assert one(spark, codes.track_name("v"), "23") == "ダ・右"
     bands = [one(spark, codes.score_band("v"), x, "double") for x in [None, 80.0, 79.9, 65.0, 50.0, 49.9]]
     assert bands == [None, "high", "good", "good", "fair", "low"]
+
+
+def test_trim_by_ends_is_trim(spark):
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    texts = [None, "", "a", "、", "　", "~\x7f", "\x7f", "\x00a", "é", "a b", "芝"]
+    texts += [x for s in spaces for x in (s, f"a{s}", f"{s}a", f"芝{s}", f"{s}芝", f"a{s}a", f"{s}a{s}")]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for r in df.select("v", text.trim_ws("v").alias("a"), text.trim_ws_by_ends("v").alias("b")).collect():
+        assert r.a == r.b == (None if r.v is None else r.v.strip()), repr(r.v)

@@ -64,3 +64,29 @@ def test_race_card_errors_and_order(spark, results):
 def test_race_list_top_k(spark, results):
     lst = serving.race_list(serving.serving_races(serving.race_summary(results)), limit=1).collect()
     assert len(lst) == 1 and lst[0]["kaisai_basho"] == "中山"      # same date: venue ascending (byte order)
+
+
+SE = ("Year string, MonthDay string, JyoCD string, Kaiji string, Nichiji string, RaceNum string, "
+      "Wakuban string, Umaban string, KettoNum string, Bamei string")
+
+
+def test_ids_with_leading_zeros_and_wide_digits(spark, results):
+    se = spark.createDataFrame([("0000", "106", "5", "1", "2", "3", "1", " 1", "K", "zero"),
+                                ("２０２４", "106", "5", "1", "2", "3", "1", " 1", "K", "wide")], SE)
+    ids = [r["race_id"] for r in serving.serving_entries(se, serving.entry_fallback(results).limit(0)).collect()]
+    assert ids == ["0000010605010203"]
+
+
+def test_sorts_of_the_serving_tables_are_led_by_a_number(spark, results, capsys):
+    """Texts of many rows are grouped and ranked behind one number, and the
+    entries are sorted once, after the exchange."""
+    def plan(df):
+        df.explain()
+        return capsys.readouterr().out.split("AdaptiveSparkPlan")[-1]
+    for df in (serving.race_summary(results), serving.entry_fallback(results)):
+        assert "Sort [_race#" in plan(df)
+    entries = plan(serving.serving_entries(spark.createDataFrame([], SE).limit(1), serving.entry_fallback(results)))
+    lines = entries.splitlines()
+    sorts = [k for k, x in enumerate(lines) if "Sort [_rid#" in x]
+    deals = [k for k, x in enumerate(lines) if "hashpartitioning(_rid#" in x]
+    assert len(sorts) == 1 and len(deals) == 1 and sorts[0] < deals[0]
