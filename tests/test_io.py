@@ -349,3 +349,26 @@ def test_landing_is_packed_and_backfilled_in_one_pass(spark, scratch):
     assert {d for d in fs.list_dirs(spark, f"{scratch}/out")} == {f"source_file={x}" for x in files}
     assert spark.read.text(f"{scratch}/out").count() == 2000
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_rows_of_whole_keys_are_built_in_slices(spark, scratch, monkeypatch):
+    from furlong.functions import race_id
+    from furlong.operators import latest
+    year = F.when(F.col("id") % 7 == 0, F.lit(None).cast("string")).otherwise((F.col("id") % 5 + 2019).cast("string"))
+    horse = F.when(F.col("id") % 11 == 0, F.lit(None).cast("string")).when(F.col("id") % 2 == 0, F.lit(" 3")).otherwise((F.col("id") % 9).cast("string"))
+    rows = spark.range(3000).select(year.alias("Year"), *[F.lit("1").alias(c) for c in ("MonthDay", "JyoCD", "Kaiji", "Nichiji", "RaceNum")],
+                                    horse.alias("Umaban"), F.sha2(F.col("id").cast("string"), 256).alias("Bamei"), F.lit("t").alias("fetched_at"))
+    rows.unionByName(rows.limit(50)).write.parquet(f"{scratch}/rows")
+    rows = spark.read.parquet(f"{scratch}/rows")
+    want = latest.latest_entries(rows)
+    seen, build = [], lambda some: seen.append(some.count()) or latest.latest_entries(some)
+    before = shuffle_files(spark)
+    whole = tables.store_by_key(rows, race_id.runner_key_exprs(), build, f"{scratch}/whole")
+    monkeypatch.setattr(tables, "SLICE_ROWS", 1000)
+    cut = tables.store_by_key(rows, race_id.runner_key_exprs(), build, f"{scratch}/cut")
+    assert len(seen) == 1 + 4 and sum(seen[1:]) == seen[0] == 3050
+    assert shuffle_files(spark) <= before
+    for got in (whole, cut):
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    empty = tables.store_by_key(rows.limit(0), race_id.runner_key_exprs(), latest.latest_entries, f"{scratch}/none")
+    assert empty.columns == want.columns and empty.isEmpty()
