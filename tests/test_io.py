@@ -372,3 +372,53 @@ def test_rows_of_whole_keys_are_built_in_slices(spark, scratch, monkeypatch):
         assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     empty = tables.store_by_key(rows.limit(0), race_id.runner_key_exprs(), latest.latest_entries, f"{scratch}/none")
     assert empty.columns == want.columns and empty.isEmpty()
+
+
+def test_files_of_a_latest_table_are_sorted_by_key(spark, scratch):
+    from furlong.sources import fs
+    rows = spark.range(500).select(F.when(F.col("id") % 3 == 0, F.lit("2024")).otherwise(F.lit("2023")).alias("Year"),
+                                   F.lpad((F.col("id") * 37 % 500).cast("string"), 3, "0").alias("Umaban"), F.lit("a").alias("Bamei"))
+    tables.upsert_table(spark, f"{scratch}/latest", rows.repartition(4), KEYS)
+    for y in ("2023", "2024"):
+        for name in fs.list_files(spark, f"{scratch}/latest/part=p{y}"):
+            if name.startswith("part-"):
+                found = [r.Umaban for r in spark.read.parquet(f"{scratch}/latest/part=p{y}/{name}").coalesce(1).collect()]
+                assert found == sorted(found)
+    assert tables.read_latest(spark, f"{scratch}/latest").count() == 500
+
+
+def feed_tables(spark, d):
+    """Three races of two runners each, as the tables that the feed is made of."""
+    orders = [(k, 10 + k, "O", f"1995-0{k}-01", "5-LOW") for k in (1, 2, 3)]
+    lines = [(k, 100 + k, 1, n, 3.0, "A", "F", "1995-08-01") for k in (1, 2, 3) for n in (1, 2)]
+    o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_orderpriority string")
+    li = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, "
+                                      "l_linestatus string, l_shipdate string")
+    o.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{d}/orders.parquet")
+    li.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).write.parquet(f"{d}/lineitem.parquet")
+
+
+@pytest.mark.parametrize(("query", "during", "n"), [
+    ("stream_ingest", [["first"], ["second"]], 6),
+    ("stream_raw_latest", [["first"], ["second"]], 6),
+])
+def test_a_landing_goes_when_nothing_reads_it_any_more(spark, local_dir, monkeypatch, query, during, n):
+    from furlong.plans import registry
+    from furlong.sources import fs
+    feed_tables(spark, local_dir)
+    roots, seen = [], []
+    scratch_of, ingested, handler = registry._scratch, ingest.run_ingest, ingest.make_batch_handler
+
+    def scratch_path(s, name):
+        path = scratch_of(s, name)
+        roots.extend([path] if name == "stream-landing" else [])
+        return path
+
+    def listed():
+        seen.append(fs.list_dirs(spark, roots[0]))
+
+    monkeypatch.setattr(registry, "_scratch", scratch_path)
+    monkeypatch.setattr(ingest, "run_ingest", lambda *a: (listed(), ingested(*a))[1])
+    monkeypatch.setattr(ingest, "make_batch_handler", lambda *a: (listed() if len(a) == 4 else None, handler(*a))[1])
+    assert registry.QUERIES[query](spark, local_dir).count() == n
+    assert seen == during and fs.list_dirs(spark, roots[0]) == []
