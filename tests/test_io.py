@@ -401,6 +401,7 @@ def feed_tables(spark, d):
 @pytest.mark.parametrize(("query", "during", "n"), [
     ("stream_ingest", [["first"], ["second"]], 6),
     ("stream_raw_latest", [["first"], ["second"]], 6),
+    ("stream_replay", [["first"], ["second"], ["second"]], 6 + 9),
 ])
 def test_a_landing_goes_when_nothing_reads_it_any_more(spark, local_dir, monkeypatch, query, during, n):
     from furlong.plans import registry
