@@ -402,6 +402,7 @@ def feed_tables(spark, d):
     ("stream_ingest", [["first"], ["second"]], 6),
     ("stream_raw_latest", [["first"], ["second"]], 6),
     ("stream_replay", [["first"], ["second"], ["second"]], 6 + 9),
+    ("stream_ledger", [["first"], ["first", "second"], ["first"]], 2),
 ])
 def test_a_landing_goes_when_nothing_reads_it_any_more(spark, local_dir, monkeypatch, query, during, n):
     from furlong.plans import registry
