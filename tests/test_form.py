@@ -391,3 +391,16 @@ def test_runs_cross_the_shuffles_once(spark):
     plan = f._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("newest-runs") <= 1 and plan.count("Repartition") == 1
     assert plan.index("explode(newest") < plan.index("Repartition")   # the list is opened above the shuffle
+
+
+def test_what_the_entries_were_shuffled_in_goes_before_their_runs_are_joined(spark, local_dir):
+    from furlong.plans import registry
+    from tests.test_io import feed_tables, shuffle_files
+    feed_tables(spark, local_dir)
+    li = spark.read.parquet(f"{local_dir}/lineitem.parquet").withColumns({"l_extendedprice": F.col("l_orderkey") * 100.0, "l_tax": F.lit(0.02)})
+    li.write.parquet(f"{local_dir}/whole/lineitem.parquet")
+    spark.read.parquet(f"{local_dir}/orders.parquet").write.parquet(f"{local_dir}/whole/orders.parquet")
+    before = shuffle_files(spark)
+    _, _, e, _ = registry._analysis_parts(spark, f"{local_dir}/whole")
+    assert shuffle_files(spark) <= before
+    assert e.count() > 0 and e.columns == form.ENTRY_COLS and "Exchange" not in e._jdf.queryExecution().executedPlan().toString()

@@ -424,3 +424,10 @@ def test_a_landing_goes_when_nothing_reads_it_any_more(spark, local_dir, monkeyp
     monkeypatch.setattr(ingest, "make_batch_handler", lambda *a: (listed() if len(a) == 4 else None, handler(*a))[1])
     assert registry.QUERIES[query](spark, local_dir).count() == n
     assert seen == during and fs.list_dirs(spark, roots[0]) == []
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from furlong.session import materialize
+    before = shuffle_files(spark)
+    stored = materialize(spark.range(3000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    assert shuffle_files(spark) <= before and stored.count() == 100
