@@ -426,6 +426,20 @@ def test_a_landing_goes_when_nothing_reads_it_any_more(spark, local_dir, monkeyp
     assert seen == during and fs.list_dirs(spark, roots[0]) == []
 
 
+def test_both_landings_of_extra_fields_are_built_in_one_write(spark, local_dir, monkeypatch):
+    from furlong.plans import registry
+    feed_tables(spark, local_dir)
+    written, packed = [], landing.packed_by
+    monkeypatch.setattr(landing, "packed_by", lambda df, *columns: (written.append(columns), packed(df, *columns))[1])
+    raw = registry._raw_with_extras(spark, local_dir)
+    assert written == [("batch", "type_tag", "ingest_date")]
+    rows = [landing.read_raw(spark, raw, "SE", k, typed=False).select("raw_data", landing.EXTRA, "fetched_at").collect() for k in (0, 1)]
+    assert rows[0] and rows[1] and all(r[landing.EXTRA] is None and r.fetched_at == registry.FETCHED_AT for r in rows[0])
+    n = {len(r.raw_data): r[landing.EXTRA] for r in rows[1]}
+    assert all(x == {"weather": f"w{k % 5}", "temp": f"{k % 40}" if k % 3 == 0 else f"{k % 40}.5", "checked": f"2024-01-1{k % 9}", "live": str(k % 2 == 0).lower(),
+                     "heat": f"{k % 7}", "code": f"0{k % 7}"} for k, x in n.items())
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark):
     from furlong.session import materialize
     before = shuffle_files(spark)
