@@ -440,6 +440,39 @@ def test_both_landings_of_extra_fields_are_built_in_one_write(spark, local_dir,
                      "heat": f"{k % 7}", "code": f"0{k % 7}"} for k, x in n.items())
 
 
+def test_only_a_line_that_may_have_other_fields_is_parsed_again(spark):
+    """Plain lines, spaced ones, other orders, nulls, doubled keys, nested and malformed text: the fields of a parse of each line."""
+    plain = json.dumps({"record_type": "SE", "_parsed": True, "Umaban": "03", "raw_data": 'a"\\b 馬'}, ensure_ascii=False, separators=(",", ":"))
+    lines = [plain, plain[:-1] + ',"weather":"rain"}', plain.replace(",", " , "), '{"x":null,"Umaban":"1"}', '{"Umaban":"1","Umaban":"2"}', '{"Umaban":1,"x":2}', "{'x':'y'}",
+             '{"Umaban":{"a":1},"x":[1, 2]}', '{"_corrupt_record":"c"}', '{"_parsed":"maybe","x":"1"}', '{"Umaban":"1"', "null", "[]", "3", '{"Umaban":"1"} rest', "{}"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, value string")
+    every = F.from_json("value", "map<string,string>")
+    want = {r.k: {x: v for x, v in (r.m or {}).items() if x not in parse.LANDING_COLUMNS and v is not None} for r in rows.select("k", every.alias("m")).collect()}
+    out = landing.parse_json_lines(rows)
+    assert {r.k: r[landing.EXTRA] or {} for r in out.collect()} == want and want[1] == {"weather": "rain"} and want[0] == {}
+    assert "CASE WHEN NOT (value" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_partitions_that_a_table_lacks_are_merged_without_a_join(spark, scratch, monkeypatch):
+    monkeypatch.setattr(tables, "SLICE_ROWS", 2)
+    plans, upsert = [], tables.upsert_latest
+
+    def merged(*a, **k):
+        out = upsert(*a, **k)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tables, "upsert_latest", merged)
+    path = f"{scratch}/latest"
+    assert tables.upsert_table(spark, path, stage_of(spark, *[(y, u, "a") for y in ("2020", "2021", "2022") for u in "12"]), KEYS)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    wider = spark.createDataFrame([("2023", "1", "b", 7), ("2022", "2", "b", 8)], "Year string, Umaban string, Bamei string, extra int")
+    monkeypatch.setattr(tables, "SLICE_ROWS", 1)
+    assert tables.upsert_table(spark, path, wider, KEYS)
+    assert len(plans) == 5 and "Join" in plans[3] and "Join" not in plans[4]
+    assert sorted((r.Year, r.Umaban, r.Bamei, r.extra) for r in tables.read_latest(spark, path).collect() if r.Bamei == "b") == [("2022", "2", "b", 8), ("2023", "1", "b", 7)]
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark):
     from furlong.session import materialize
     before = shuffle_files(spark)

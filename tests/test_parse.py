@@ -110,3 +110,13 @@ def test_ascii_records_are_sliced_as_the_helper_slices_them(spark):
         assert {k: r[k] for k in parse.LANDING_COLUMNS[:-2]} == {k: exp.get(k) for k in parse.LANDING_COLUMNS[:-2]}, r["raw_data"]
     plan = out.filter("record_type = 'SE'").groupBy("record_type").count()._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_wide_records_come_back_from_python_as_one_column(spark):
+    raw = "SE7202401012024010105010203" + "1" + "03" + "0000000123" + "馬".ljust(35) + "後"
+    out = parse.parse_records(spark.createDataFrame([(raw,), ("SE\U0001f40e",), (None,)], "raw_data string"), fetched_at="t")
+    rows = [r.asDict() for r in out.collect()]
+    for r in rows:
+        assert {k: r[k] for k in parse.LANDING_COLUMNS[:-2]} == {k: parse.parse_record(r["raw_data"]).get(k) for k in parse.LANDING_COLUMNS[:-2]}
+    assert rows[0]["Bamei"] == "馬" and rows[0]["raw_body"] == "後" and rows[1]["_parsed"] is None and rows[1]["error"] == parse.ERROR_ENCODING
+    assert "array<string>" in str(parse._parse_udf.returnType.simpleString())
